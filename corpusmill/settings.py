@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,3 +47,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         )
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusmill-"))
     return df.checkpoint(eager=True)
+
+
+# A side with at most this many slim rows is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def join_small(df: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join with a side expected to be small, such as one row per class.
+
+    Its rows are counted first: up to ``BROADCAST_ROWS`` it is broadcast and
+    ``df`` stays where it is, above that both sides are shuffled.
+    """
+    fixed = cut_lineage(small)
+    return df.join(F.broadcast(fixed) if fixed.count() <= BROADCAST_ROWS else fixed, on, how)
