@@ -11,6 +11,7 @@ from corpusmill.functions.text import (
     fenced_block,
     json_object,
     json_text,
+    let,
     strip_ws,
 )
 
@@ -41,16 +42,20 @@ ANSWER_LINE = r"(?imd)^\s*(?:final\s+answer|answer)\s*[:=]\s*(.+?)\s*$"
 
 def normalize_answer(c: Column) -> Column:
     """Collapsed text; null for an empty answer or a word that stands for one."""
-    text = collapse_ws(c.cast("string"))
-    return F.when(~F.lower(text).isin(EMPTY_ANSWERS), text)
+    return let(
+        collapse_ws(c.cast("string")), lambda t: F.when(~F.lower(t).isin(EMPTY_ANSWERS), t)
+    )
 
 
 def clean_candidate(c: Column) -> Column:
     """Tidy one candidate: no dots-only text, no box around it, no ``answer:`` before it."""
-    text = strip_ws(c)
-    unboxed = F.when(text.rlike(BOXED), strip_ws(F.regexp_extract(text, BOXED, 1))).otherwise(text)
-    bare = strip_ws(F.regexp_replace(unboxed, r"(?is)^answer:", ""))
-    return F.when(~text.rlike(r"^(?:[.]+|[…]+)$"), blank_to_null(bare))
+
+    def unboxed(text: Column) -> Column:
+        inner = F.when(text.rlike(BOXED), strip_ws(F.regexp_extract(text, BOXED, 1))).otherwise(text)
+        bare = strip_ws(F.regexp_replace(inner, r"(?is)^answer:", ""))
+        return F.when(~text.rlike(r"^(?:[.]+|[…]+)$"), blank_to_null(bare))
+
+    return let(strip_ws(c), unboxed)
 
 
 def parse_answer(c: Column) -> Column:
@@ -60,18 +65,21 @@ def parse_answer(c: Column) -> Column:
     with a usable member; the first boxed result; ``invalid`` for a phrase that
     says so; the last answer line. Otherwise null.
     """
-    text = strip_ws(c)
-    document = json_object(F.coalesce(fenced_block(text), text))
-    from_json = F.coalesce(*[clean_candidate(json_text(document, key)) for key in LABEL_KEYS])
-    lowered = F.lower(text)
-    unusable = lowered.rlike("|".join(INVALID_PHRASES))
-    lines = F.regexp_extract_all(text, F.lit(ANSWER_LINE), F.lit(1))
-    return (
-        F.when(from_json.isNotNull(), from_json)
-        .when(text.rlike(BOXED), clean_candidate(F.regexp_extract(text, BOXED, 1)))
-        .when(unusable, F.lit("invalid"))
-        .otherwise(clean_candidate(F.try_element_at(lines, F.lit(-1))))
-    )
+
+    def members(document: Column) -> Column:
+        return F.coalesce(*[clean_candidate(json_text(document, key)) for key in LABEL_KEYS])
+
+    def rules(text: Column) -> Column:
+        document = json_object(F.coalesce(fenced_block(text), text))
+        lines = F.regexp_extract_all(text, F.lit(ANSWER_LINE), F.lit(1))
+        written = (
+            F.when(text.rlike(BOXED), clean_candidate(F.regexp_extract(text, BOXED, 1)))
+            .when(F.lower(text).rlike("|".join(INVALID_PHRASES)), F.lit("invalid"))
+            .otherwise(clean_candidate(F.try_element_at(lines, F.lit(-1))))
+        )
+        return F.coalesce(let(document, members), written)
+
+    return let(strip_ws(c), rules)
 
 
 def normalize_label(c: Column, is_boolean: bool = False) -> Column:

@@ -4,6 +4,7 @@ the last resort of :func:`extract_json`."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -26,6 +27,15 @@ SCORE_TOKEN = r"[a-z0-9]+"
 NULL_WORDS = ["", "none", "null", "nan", "n/a", "na"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it.
+
+    Without it an expression that uses its input twice doubles the work and the
+    plan at every level of nesting.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_ws(c: Column) -> Column:
     """Remove whitespace of every kind from both ends."""
     return F.regexp_replace(c, _EDGE_WS, "")
@@ -62,10 +72,12 @@ def tokens(c: Column) -> Column:
 
 def clip_text(c: Column, limit: int = 400) -> Column:
     """Strip; empty is null; a longer text keeps ``limit - 3`` characters and ``...``."""
-    text = strip_ws(c)
-    head = F.regexp_replace(F.substring(text, 1, limit - 3), rf"(?U){_WS}+$", "")
-    clipped = F.when(F.length(text) > limit, F.concat(head, F.lit("..."))).otherwise(text)
-    return blank_to_null(clipped)
+
+    def clipped(text: Column) -> Column:
+        head = F.regexp_replace(F.substring(text, 1, limit - 3), rf"(?U){_WS}+$", "")
+        return F.when(F.length(text) > limit, F.concat(head, F.lit("..."))).when(text != "", text)
+
+    return let(strip_ws(c), clipped)
 
 
 def is_null_word(c: Column) -> Column:
@@ -75,10 +87,8 @@ def is_null_word(c: Column) -> Column:
 
 def looks_numeric(c: Column) -> Column:
     """True when the stripped text reads as a floating-point number."""
-    body = F.lower(strip_ws(c))
-    special = body.rlike(r"^[+-]?(inf|infinity|nan)$")
-    plain = body.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$")
-    return F.coalesce(special | plain, F.lit(False))
+    number = r"^[+-]?(inf|infinity|nan|(\d+\.?\d*|\.\d+)(e[+-]?\d+)?)$"
+    return F.coalesce(F.lower(strip_ws(c)).rlike(number), F.lit(False))
 
 
 def url_host(c: Column) -> Column:
@@ -106,43 +116,53 @@ def fenced_block(c: Column) -> Column:
     return blank_to_null(F.regexp_extract(c, FENCE, 1))
 
 
-def _single_value(c: Column) -> Column:
-    """Variant of a text holding exactly one JSON value, else null.
+def _sole_value(text: Column) -> Column:
+    """Is the text exactly one JSON value?
 
-    The text is parsed as the only element of an array, because the parser
-    itself ignores whatever follows the first value.
+    It is parsed as the only element of an array, because the parser itself
+    ignores whatever follows the first value.
     """
-    boxed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    second = F.try_variant_get(boxed, "$[1]", "variant")
-    return F.when(second.isNull(), F.try_variant_get(boxed, "$[0]", "variant"))
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return listed.isNotNull() & alone
+
+
+def _shaped(c: Column, opener: str, closer: str) -> Column:
+    def check(text: Column) -> Column:
+        framed = text.startswith(opener) & text.endswith(closer)
+        return F.when(framed, F.when(let(text, _sole_value), text))
+
+    return let(strip_ws(c), check)
 
 
 def json_object(c: Column) -> Column:
     """The stripped text when it is one JSON object, else null."""
-    text = strip_ws(c)
-    shaped = text.startswith("{") & text.endswith("}")
-    return F.when(shaped & _single_value(F.when(shaped, text)).isNotNull(), text)
+    return _shaped(c, "{", "}")
 
 
 def json_array(c: Column) -> Column:
     """The stripped text when it is one JSON array, else null."""
-    text = strip_ws(c)
-    shaped = text.startswith("[") & text.endswith("]")
-    return F.when(shaped & _single_value(F.when(shaped, text)).isNotNull(), text)
+    return _shaped(c, "[", "]")
 
 
 def json_text(document: Column, key: str) -> Column:
     """A member of a JSON object as Python's ``str`` would print it."""
-    member = F.try_variant_get(F.try_parse_json(document), f"$.{key}", "variant")
-    printed = F.get_json_object(document, f"$.{key}")
-    return F.when(F.schema_of_variant(member) == "BOOLEAN", F.initcap(printed)).otherwise(printed)
+
+    def printed(text: Column) -> Column:
+        member = F.try_variant_get(F.try_parse_json(text), f"$.{key}", "variant")
+        truth = F.schema_of_variant(member) == "BOOLEAN"
+        return let(F.get_json_object(text, f"$.{key}"), lambda v: F.when(truth, F.initcap(v)).otherwise(v))
+
+    return let(document, printed)
 
 
 def strip_fence(c: Column) -> Column:
     """Inner lines of a text that is one fenced block as a whole; otherwise the stripped text."""
-    text = strip_ws(c)
-    inner = strip_ws(F.regexp_extract(text, r"(?s)^```[^\n]*\n(.*)\n[^\n]*```$", 1))
-    return F.when(text.rlike(r"(?s)^```[^\n]*\n.*\n[^\n]*```$"), inner).otherwise(text)
+    fence = r"(?s)^```[^\n]*\n(.*)\n[^\n]*```$"
+    return let(
+        strip_ws(c),
+        lambda t: F.when(t.rlike(fence), strip_ws(F.regexp_extract(t, fence, 1))).otherwise(t),
+    )
 
 
 _JSON_MARK = re.compile(r'"(?:\\.|[^"\\])*(?:"|\Z)|[{}\[\]]', re.DOTALL)
@@ -182,7 +202,8 @@ def extract_json(c: Column, field: str | None = None) -> Column:
     that the expressions could not parse.
     """
     direct = F.coalesce(json_object(c), json_object(strip_fence(c)))
-    found = F.coalesce(direct, json_object(_balanced_slice(F.when(direct.isNull(), c))))
+    sliced = _balanced_slice(F.when(direct.isNull(), c))
+    found = F.coalesce(direct, json_object(sliced))
     if field is None:
         return found
     code = blank_to_null(strip_ws(F.regexp_extract(c, r"(?s)```(?:[a-zA-Z0-9_+-]+)?\n(.*?)```", 1)))
@@ -214,20 +235,25 @@ def _sorted_keys(c: Column, dtype: T.DataType) -> Column:
 
 def stable_json_text(c: Column) -> Column:
     """Key-sorted form of a JSON object held as text; other text is unchanged."""
-    parsed = F.from_json(json_object(c), "map<string,string>")
-    keys = F.array_sort(F.json_object_keys(json_object(c)))
-    members = F.transform(
-        keys,
-        lambda k: F.concat(F.lit('"'), k, F.lit('":'), _json_member(parsed, k)),
-    )
-    return F.coalesce(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")), c)
+
+    def rebuilt(document: Column) -> Column:
+        parsed = F.from_json(document, "map<string,string>")
+        keys = F.array_sort(F.json_object_keys(document))
+        members = F.transform(
+            keys, lambda k: F.concat(F.lit('"'), k, F.lit('":'), _json_member(parsed, k))
+        )
+        return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+    return F.coalesce(let(json_object(c), rebuilt), c)
 
 
 def _json_member(parsed: Column, key: Column) -> Column:
-    value = F.try_element_at(parsed, key)
-    is_json = F.try_parse_json(value).isNotNull()
-    quoted = F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1)
-    return F.when(value.isNull(), F.lit("null")).when(is_json, value).otherwise(quoted)
+    def printed(value: Column) -> Column:
+        is_json = F.try_parse_json(value).isNotNull()
+        quoted = F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1)
+        return F.when(value.isNull(), F.lit("null")).when(is_json, value).otherwise(quoted)
+
+    return let(F.try_element_at(parsed, key), printed)
 
 
 # ------------------------------------------------------------------- row identity

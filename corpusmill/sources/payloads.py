@@ -16,6 +16,7 @@ from corpusmill.functions.text import (
     fenced_block,
     json_array,
     json_object,
+    let,
     strip_ws,
 )
 
@@ -74,12 +75,10 @@ def payload_document(raw: Column) -> Column:
 
     Only outputs that are not JSON reach Python.
     """
-    text = strip_ws(raw)
-    fenced = strip_ws(fenced_block(text))
-    parsed = F.coalesce(_document(text), _document(fenced))
+    parsed = let(strip_ws(raw), lambda t: F.coalesce(_document(t), _document(fenced_block(t))))
+    left = F.when(parsed.isNull(), strip_ws(raw))
     literal = F.coalesce(
-        _document(_literal_to_json(F.when(parsed.isNull(), text))),
-        _document(_literal_to_json(F.when(parsed.isNull(), fenced))),
+        _document(_literal_to_json(left)), _document(_literal_to_json(fenced_block(left)))
     )
     return F.coalesce(parsed, literal)
 
