@@ -403,7 +403,7 @@ def _(spark, folder):
 @query(
     "infer_features",
     "WITH s AS (SELECT 'text' AS column, 3.0 * 1 + 4.0 + least(avg(length(text)) / 80.0, 4.0) AS score FROM documents) "
-    "SELECT column, round(score, 6) AS score, TRUE AS selected FROM s",
+    "SELECT \"column\", round(score, 6) AS score, TRUE AS selected FROM s",
 )
 def _(spark, folder):
     rows = table(spark, folder, "documents").drop("n_chars")
@@ -583,9 +583,9 @@ def _(spark, folder):
 
 def _labeled_split(spark, folder):
     labeled = ac.with_label(docs(spark, folder).where("label IS NOT NULL"), "label")
-    split = cut_lineage(ac.stratified_split(labeled.select("doc_id", "text", "label_text"), "doc_id", "label_text"))
-    rows = split if "label_text" in split.columns else ac.with_label(split, "label_text")
-    return rows.where("split = 'train'"), rows.where("split = 'val'")
+    rows = labeled.select("doc_id", "text", "label_text")
+    split = cut_lineage(ac.stratified_split(rows, "doc_id", "label_text"))
+    return split.where("split = 'train'"), split.where("split = 'val'")
 
 
 @query("train_classifier")
@@ -619,11 +619,10 @@ def _(spark, folder):
 @query("learning_curve")
 def _(spark, folder):
     train, val = _labeled_split(spark, folder)
-    seed, rest = ac.stratified_split(train.drop("split"), "doc_id", "label_text", 0.5), None
-    rows = cut_lineage(ac.with_label(seed, "label_text") if "label_text" not in seed.columns else seed)
-    rest = rows.where("split = 'val'")
+    halves = cut_lineage(ac.stratified_split(train.drop("split"), "doc_id", "label_text", 0.5))
+    start, rest = halves.where("split = 'train'"), halves.where("split = 'val'")
     return tr.learning_curve(
-        rows.where("split = 'train'"), rest, val, "doc_id", n_iterations=2, batch_size=50, epochs=3
+        start, rest, val, "doc_id", n_iterations=2, batch_size=50, epochs=3
     )
 
 

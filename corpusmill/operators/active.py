@@ -227,9 +227,11 @@ def stratified_split(
     validate. The hash that ends them is found from counts per hash bucket and
     a look into one bucket per class, so no class is sorted as a whole.
     """
-    rows = with_label(df, target).withColumn("__hash", seeded_hash(seed, F.col(key)))
+    rows = with_label(df, target, "__class").withColumn("__hash", seeded_hash(seed, F.col(key)))
     bucket = F.substring("__hash", 1, _HEX_DIGITS)
-    counts = rows.groupBy("label_text", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
+    counts = rows.groupBy(F.col("__class").alias("label_text"), bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("k")
+    )
     classes = counts.groupBy("label_text").agg(F.sum("k").alias("size"))
     sizes = validation_sizes(classes, test_size).select("label_text", "take")
 
@@ -238,23 +240,27 @@ def stratified_split(
         counts.withColumn("upto", upto)
         .join(sizes, "label_text")
         .where("take > 0 AND upto >= take AND upto - k < take")
-        .select("label_text", F.col("bucket").alias("edge"), (F.col("take") - F.col("upto") + F.col("k")).alias("rest"))
+        .select(
+            F.col("label_text").alias("__class"),
+            F.col("bucket").alias("__bucket"),
+            (F.col("take") - F.col("upto") + F.col("k")).alias("rest"),
+        )
     )
-    slim = rows.select("label_text", "__hash", key, bucket.alias("edge"))
-    inside = join_small(slim, edge, ["label_text", "edge"])
-    rank = F.row_number().over(Window.partitionBy("label_text").orderBy("__hash", key))
+    slim = rows.select("__class", "__hash", key, bucket.alias("__bucket"))
+    inside = join_small(slim, edge, ["__class", "__bucket"])
+    rank = F.row_number().over(Window.partitionBy("__class").orderBy("__hash", key))
     last = (
         inside.withColumn("rank", rank)
         .where("rank = rest")
-        .select("label_text", F.col("__hash").alias("__last"), F.col(key).alias("__last_key"))
+        .select("__class", F.col("__hash").alias("__last"), F.col(key).alias("__last_key"))
     )
     first = (F.col("__hash") < F.col("__last")) | (
         (F.col("__hash") == F.col("__last")) & (F.col(key) <= F.col("__last_key"))
     )
     return (
-        join_small(rows, last, "label_text", "left")
+        join_small(rows, last, "__class", "left")
         .withColumn("split", F.when(first, "val").otherwise("train"))
-        .drop("__hash", "__last", "__last_key", "label_text")
+        .drop("__class", "__hash", "__last", "__last_key")
     )
 
 

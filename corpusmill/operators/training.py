@@ -90,10 +90,11 @@ def evaluate(df: DataFrame, truth: str, prediction: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     n = F.col("n")
-    hit = F.when(F.col("t") == F.col("p"), n).otherwise(0)
+    none = F.lit(0).cast("bigint")
+    hit = F.when(F.col("t") == F.col("p"), n).otherwise(none)
     sides = F.array(
-        F.struct(F.col("t").alias("c"), n.alias("support"), F.lit(0).cast("bigint").alias("called"), hit.alias("hit")),
-        F.struct(F.col("p").alias("c"), F.lit(0).cast("bigint"), n, F.lit(0).cast("bigint")),
+        F.struct(F.col("t").alias("c"), n.alias("support"), none.alias("called"), hit.alias("hit")),
+        F.struct(F.col("p").alias("c"), none.alias("support"), n.alias("called"), none.alias("hit")),
     )
     per_class = (
         cells.select(F.explode(sides).alias("s"))
