@@ -121,7 +121,8 @@ def drop_duplicate_rows(df: DataFrame, key: str) -> DataFrame:
     neither shuffle sees a large group.
     """
     columns = [(f.name, f.dataType) for f in df.schema if f.name != key]
-    firsts = df.groupBy(content_key(columns).alias("k")).agg(F.min(key).alias(key)).select(key)
+    groups = df.groupBy(content_key(columns).alias("__k"))
+    firsts = groups.agg(F.min(key).alias(key)).select(key)
     return df.join(firsts, key, "left_semi")
 
 

@@ -151,19 +151,19 @@ def cross_source_duplicates(
     """Texts that occur in more than one source: first key, sources, rows."""
     norm = F.nullif(normalize_text(F.col(text)), F.lit(""))
     per_source = (
-        df.groupBy(text_key(norm).alias("k"), source)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
-        .where("k IS NOT NULL")
+        df.groupBy(text_key(norm).alias("__k"), source)
+        .agg(F.count(F.lit(1)).alias("__n"), F.min(key).alias("__first"))
+        .where("__k IS NOT NULL")
     )
     return (
-        per_source.groupBy("k")
+        per_source.groupBy("__k")
         .agg(
-            F.min("first").alias("first_key"),
+            F.min("__first").alias("first_key"),
             F.count(source).alias("sources"),
-            F.sum("n").alias("rows"),
+            F.sum("__n").alias("rows"),
         )
         .where("sources > 1")
-        .drop("k")
+        .drop("__k")
     )
 
 

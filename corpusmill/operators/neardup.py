@@ -61,7 +61,7 @@ def _signatures(texts: DataFrame, key: str, words: int) -> DataFrame:
         steps = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MIX
         factors, offsets = _mixed(steps) | np.uint64(1), _mixed(~steps)
         for batch in batches:
-            sets = [shingles(t, words) for t in batch["t"]]
+            sets = [shingles(t, words) for t in batch["__t"]]
             yield pd.DataFrame(
                 {
                     key: batch[key],
@@ -70,7 +70,7 @@ def _signatures(texts: DataFrame, key: str, words: int) -> DataFrame:
                 }
             )
 
-    return texts.select(key, "t").mapInPandas(
+    return texts.select(key, "__t").mapInPandas(
         sign, f"{key} {kind}, runs array<bigint>, bands array<bigint>"
     )
 
@@ -100,14 +100,14 @@ def near_duplicates(
     no bucket is capped.
     """
     norm = F.nullif(normalize_text(F.col(text)), F.lit(""))
-    texts = df.select(key, norm.alias("t"))
+    texts = df.select(key, norm.alias("__t"))
     firsts = (
-        texts.groupBy(text_key(F.col("t")).alias("k"))
+        texts.groupBy(text_key(F.col("__t")).alias("__k"))
         .agg(F.min(key).alias(key))
-        .where("k IS NOT NULL")
+        .where("__k IS NOT NULL")
         .select(key)
     )
-    copies = texts.where("t IS NOT NULL").select(key).join(firsts, key, "left_anti")
+    copies = texts.where("__t IS NOT NULL").select(key).join(firsts, key, "left_anti")
 
     signed = cut_lineage(_signatures(texts.join(firsts, key, "left_semi"), key, words))
     sets = signed.select(key, "runs")

@@ -128,8 +128,11 @@ def corrupt_rows(
     """Lines of a JSON lines source that do not parse, as a ledger row."""
     widened = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     lines = spark.read.schema(widened).option("mode", "PERMISSIVE").json(path)
+    # The reader parses only when a column of the schema is asked for as well.
+    fields = F.count(schema.names[0])
     return lines.agg(
         F.lit(source).alias("source"),
         F.count(F.lit(1)).alias("row_count"),
         F.count("_corrupt_record").alias("corrupt_rows"),
-    )
+        fields.alias("read_rows"),
+    ).where("read_rows >= 0").drop("read_rows")
