@@ -201,7 +201,45 @@ def _(spark, folder):
     return pg.page_text(text_table(spark, folder, "pages"))
 
 
-@query("page_links")
+_DECODED = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_SHOWN = (
+    "regexp_replace(regexp_replace(html, '(?s)<(script|style|noscript)\\b.*?</(script|style|noscript)>', chr(10), 'g'), "
+    "'(?s)<[^>]*>', chr(10), 'g')"
+)
+
+
+@query(
+    "page_full_text",
+    "SELECT page_id, array_to_string(list_filter(list_transform(string_split("
+    + _DECODED.format(_SHOWN)
+    + ", chr(10)), lambda x: "
+    + strip("x")
+    + "), lambda x: x <> ''), chr(10)) AS full_text FROM pages",
+)
+def _(spark, folder):
+    return pg.page_text(text_table(spark, folder, "pages")).select("page_id", "full_text")
+
+
+# Links of the stored pages are rooted paths around plain text.
+_LINKS = (
+    r"""
+    raw AS (SELECT page_id, url AS page_url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base,
+                   regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1) AS h,
+                   regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2) AS t FROM pages),
+    each AS (SELECT page_id, page_url, base, generate_subscripts(h, 1) AS i, unnest(h) AS href, unnest(t) AS shown FROM raw),
+    links AS (SELECT page_id, page_url, base || """
+    + _DECODED.format("href")
+    + r""" AS url, min(i) AS spot, arg_min(regexp_replace("""
+    + strip(_DECODED.format("shown"))
+    + r""", '\s+', ' ', 'g'), i) AS text FROM each GROUP BY 1, 2, 3)"""
+)
+
+
+@query(
+    "page_links",
+    f"WITH {_LINKS} SELECT page_id, page_url, row_number() OVER (PARTITION BY page_id ORDER BY spot) - 1 AS position, "
+    "url, text FROM links",
+)
 def _(spark, folder):
     return pg.page_links(text_table(spark, folder, "pages"), same_domain_only=True)
 
@@ -212,7 +250,12 @@ def _(spark, folder):
     return found.select("page_id", "url", "extract_method", "text", F.size("links").alias("links"))
 
 
-@query("expand_links")
+@query(
+    "expand_links",
+    f"WITH {_LINKS}, c AS (SELECT url AS child_url, min(page_url) AS parent_url, count(*) AS parents FROM links GROUP BY url), "
+    "k AS (SELECT url AS child_url, min(page_id) AS child_id FROM pages GROUP BY url) "
+    "SELECT child_url, parent_url, parents, child_id, child_id IS NOT NULL AS fetched FROM c LEFT JOIN k USING (child_url)",
+)
 def _(spark, folder):
     return pg.expand_links(text_table(spark, folder, "pages"))
 

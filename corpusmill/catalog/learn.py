@@ -56,7 +56,16 @@ def _longest_word(payloads):
     return answers
 
 
-@query("annotate_pass")
+@query(
+    "annotate_pass",
+    r"""
+    WITH s AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS words FROM documents),
+         w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM s),
+         l AS (SELECT doc_id, word FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(word) DESC, i) = 1)
+    SELECT doc_id, replace(json_object('label', lower(substr(word, 1, 20)))::VARCHAR, '{"label":', '{"label": ') AS pass_1_raw,
+           CAST(NULL AS VARCHAR) AS pass_1_error FROM l
+    """,
+)
 def _(spark, folder):
     rows = text_table(spark, folder, "documents").select("doc_id", "text")
     return an.annotate_pass(rows, "text", _longest_word, "pass_1").select("doc_id", "pass_1_raw", "pass_1_error")

@@ -4,20 +4,22 @@ the last resort of :func:`extract_json`."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Whitespace as Python's str.strip and str.split see it: the Unicode property
-# plus the four ASCII separators.
-_WS = r"[\s\x1c-\x1f]"
-_EDGE_WS = rf"(?U)^{_WS}+|{_WS}+$"
-_RUN_WS = rf"(?U){_WS}+"
-_WORD = r"(?U)[^\s\x1c-\x1f]+"
+# Whitespace as Python's str.strip and str.split see it. Spelled
+# out, because trim takes characters and a Unicode-aware \s is several times slower.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_RUN_WS = f"[{WHITESPACE}]+"
+_WORD = f"[^{WHITESPACE}]+"
 
 # A fenced block, and the tokens used for scoring.
 FENCE = r"(?s)```(?:json)?\s*(.+?)\s*```"
@@ -36,9 +38,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def compute_once(df: DataFrame, keep: Sequence[str], **computed: Column) -> DataFrame:
+    """The kept columns and the computed ones, each computed exactly once.
+
+    The optimizer copies an expression into every filter and aggregation that
+    uses it, and sorts its inputs along. It does not look into a generator, so
+    the rows pass through one of a single element.
+    """
+    cells = [F.col(name) for name in keep] + [c.alias(name) for name, c in computed.items()]
+    return df.select(F.explode(F.array(F.struct(*cells))).alias("__r")).select("__r.*")
+
+
 def strip_ws(c: Column) -> Column:
     """Remove whitespace of every kind from both ends."""
-    return F.regexp_replace(c, _EDGE_WS, "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -74,7 +87,7 @@ def clip_text(c: Column, limit: int = 400) -> Column:
     """Strip; empty is null; a longer text keeps ``limit - 3`` characters and ``...``."""
 
     def clipped(text: Column) -> Column:
-        head = F.regexp_replace(F.substring(text, 1, limit - 3), rf"(?U){_WS}+$", "")
+        head = F.rtrim(F.substring(text, 1, limit - 3), F.lit(WHITESPACE))
         return F.when(F.length(text) > limit, F.concat(head, F.lit("..."))).when(text != "", text)
 
     return let(strip_ws(c), clipped)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.answers import normalize_label
 from corpusmill.functions.stats import quantile_at, quantile_map, with_scalar
-from corpusmill.functions.text import SCORE_TOKEN, seeded_hash, seeded_uniform, tokens
+from corpusmill.functions.text import SCORE_TOKEN, let, seeded_hash, seeded_uniform, tokens
 from corpusmill.schema import string_columns
 from corpusmill.settings import BROADCAST_ROWS, cut_lineage, join_small
 
@@ -112,8 +112,9 @@ def compose_text(df: DataFrame, columns: Sequence[str], prompt: str | None = Non
 
 def score_diversity(text: Column) -> Column:
     """Share of distinct tokens; 0 without any."""
-    found = tokens(text)
-    share = F.size(F.array_distinct(found)) / F.nullif(F.size(found), F.lit(0))
+    share = let(
+        tokens(text), lambda t: F.size(F.array_distinct(t)) / F.when(F.size(t) > 0, F.size(t))
+    )
     return F.coalesce(share, F.lit(0.0)).cast("float")
 
 
@@ -312,7 +313,12 @@ def _margin_rounds(
     slim = cut_lineage(pool.select(key, F.length(text).cast("double").alias("__size")))
     taken: DataFrame | None = None
     for iteration in range(1, n_iterations + 1):
-        left = slim if taken is None else slim.join(taken.select(key), key, "left_anti")
+        left = slim
+        if taken is not None:
+            # At most one batch per round so far.
+            small = (iteration - 1) * batch_size <= BROADCAST_ROWS
+            done = F.broadcast(taken.select(key)) if small else taken.select(key)
+            left = slim.join(done, key, "left_anti")
         center = quantile_map(left, ["__size"], [0.5])
         gap = F.abs(F.col("__size") - quantile_at("__q", "__size", 0))
         scored = with_scalar(left, "__q", center).select(key, (1.0 / (1.0 + gap)).cast("float").alias("score"))

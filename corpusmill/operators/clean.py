@@ -16,6 +16,7 @@ from corpusmill.functions.stats import (
     with_scalar,
 )
 from corpusmill.functions.text import (
+    compute_once,
     content_key,
     looks_numeric,
     normalize_text,
@@ -121,8 +122,8 @@ def drop_duplicate_rows(df: DataFrame, key: str) -> DataFrame:
     neither shuffle sees a large group.
     """
     columns = [(f.name, f.dataType) for f in df.schema if f.name != key]
-    groups = df.groupBy(content_key(columns).alias("__k"))
-    firsts = groups.agg(F.min(key).alias(key)).select(key)
+    keys = compute_once(df, [key], __k=content_key(columns))
+    firsts = keys.groupBy("__k").agg(F.min(key).alias(key)).select(key)
     return df.join(firsts, key, "left_semi")
 
 
@@ -149,7 +150,9 @@ def dedup_text_keep_richest(
         (-extra).alias("extra"),
         F.col(key).alias("key"),
     )
-    best = df.groupBy(group.alias("g")).agg(F.min(order).alias("best"))
+    best = compute_once(df, [], group=group, order=order).groupBy("group").agg(
+        F.min("order").alias("best")
+    )
     return df.join(best.select(F.col("best.key").alias(key)), key, "left_semi")
 
 

@@ -16,6 +16,7 @@ from corpusmill.functions.stats import (
     with_scalar,
 )
 from corpusmill.functions.text import (
+    compute_once,
     content_key,
     looks_numeric,
     normalize_text,
@@ -34,8 +35,10 @@ STEM_WORDS = 8
 # Names taken for a label column when none is configured.
 LABEL_NAMES = ["label", "labels", "sentiment", "target", "class"]
 
-# A text that ends in none of these reads as cut off.
-SENTENCE_END = r"[.!?…。！？][\"'»”’)\]]*$"
+# A text reads as cut off unless it ends in one of the marks,
+# perhaps followed by closing signs.
+END_MARKS = [".", "!", "?", "…", "。", "！", "？"]
+CLOSING_SIGNS = "\"'»”’)]"
 
 
 def primary_text(df: DataFrame, hint: str | None = None) -> str | None:
@@ -111,10 +114,11 @@ def detect_duplicate_rows(df: DataFrame, exclude: set[str] | None = None) -> Dat
 def text_groups(df: DataFrame, text: str, by: list[str] | None = None, normalized: bool = True) -> DataFrame:
     """Rows per distinct text (and ``by`` columns); blank texts are left out."""
     form = normalize_text(F.col(text)) if normalized else F.col(text)
+    keys = compute_once(df, by or [], text_key=text_key(F.nullif(form, F.lit(""))))
     return (
-        df.groupBy(text_key(F.nullif(form, F.lit(""))).alias("text_key"), *(by or []))
+        keys.where("text_key IS NOT NULL")
+        .groupBy("text_key", *(by or []))
         .agg(F.count(F.lit(1)).alias("rows"))
-        .where("text_key IS NOT NULL")
     )
 
 
@@ -133,13 +137,12 @@ def near_dup_stems(df: DataFrame, text: str = "text", words: int = STEM_WORDS) -
     Copies fold per text before they meet under their stem.
     """
     norm = F.nullif(normalize_text(F.col(text)), F.lit(""))
-    stem = F.substring_index(norm, " ", words)
-    variants = df.groupBy(stem.alias("stem"), text_key(norm).alias("k")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    texts = compute_once(df, [], t=norm).where("t IS NOT NULL")
+    variants = texts.groupBy(
+        F.substring_index("t", " ", words).alias("stem"), text_key(F.col("t")).alias("k")
+    ).agg(F.count(F.lit(1)).alias("n"))
     return (
-        variants.where("k IS NOT NULL")
-        .groupBy("stem")
+        variants.groupBy("stem")
         .agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("variants"))
         .where("variants > 1")
     )
@@ -151,9 +154,10 @@ def cross_source_duplicates(
     """Texts that occur in more than one source: first key, sources, rows."""
     norm = F.nullif(normalize_text(F.col(text)), F.lit(""))
     per_source = (
-        df.groupBy(text_key(norm).alias("__k"), source)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(key).alias("__first"))
+        compute_once(df, [key, source], __k=text_key(norm))
         .where("__k IS NOT NULL")
+        .groupBy("__k", source)
+        .agg(F.count(F.lit(1)).alias("__n"), F.min(key).alias("__first"))
     )
     return (
         per_source.groupBy("__k")
@@ -278,12 +282,13 @@ def _text_aggs(text: str) -> list[Column]:
     c, size = F.col(text), F.col("__len")
     low, high = fences("__q", "__len", 0, 2)
     words = word_count(c)
+    last = F.right(F.rtrim(strip_ws(c), F.lit(CLOSING_SIGNS)), F.lit(1))
     return [
         F.count_if(size.isNull()).alias("t_empty"),
         F.count_if(size.isNotNull() & (words < NEAR_EMPTY_WORDS)).alias("t_near"),
         F.count_if(size < low).alias("t_short"),
         F.count_if(size > high).alias("t_long"),
-        F.count_if(size.isNotNull() & ~strip_ws(c).rlike(SENTENCE_END)).alias("t_cut"),
+        F.count_if(size.isNotNull() & ~last.isin(END_MARKS)).alias("t_cut"),
         F.avg(size).alias("t_mean"),
         F.max(size).alias("t_max"),
         F.any_value("__q").alias("q"),
@@ -392,9 +397,10 @@ def quality_report(
 
 def _duplicate_rows(content: DataFrame, text: str) -> DataFrame:
     norm = F.nullif(normalize_text(F.col(text)), F.lit(""))
-    rows = content.groupBy(
-        content_key(_columns(content, set())).alias("row_key"), text_key(norm).alias("text_key")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    keys = compute_once(
+        content, [], row_key=content_key(_columns(content, set())), text_key=text_key(norm)
+    )
+    rows = keys.groupBy("row_key", "text_key").agg(F.count(F.lit(1)).alias("n"))
     texts = rows.groupBy("text_key").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("extra_rows")
     )

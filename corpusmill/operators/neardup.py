@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import normalize_text, text_key
+from corpusmill.functions.text import compute_once, normalize_text, text_key
 from corpusmill.settings import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -100,7 +100,7 @@ def near_duplicates(
     no bucket is capped.
     """
     norm = F.nullif(normalize_text(F.col(text)), F.lit(""))
-    texts = df.select(key, norm.alias("__t"))
+    texts = compute_once(df, [key], __t=norm)
     firsts = (
         texts.groupBy(text_key(F.col("__t")).alias("__k"))
         .agg(F.min(key).alias(key))
