@@ -121,7 +121,7 @@ def score_diversity(text: Column) -> Column:
 def score_margin(df: DataFrame, text: str, name: str = "score", exact: bool = True) -> DataFrame:
     """Adds closeness of the text length to the median length of the table."""
     sized = df.withColumn("__len", F.length(text).cast("double"))
-    center = quantile_map(sized.select("__len"), ["__len"], [0.5], exact)
+    center = quantile_map(cut_lineage(sized.select("__len")), ["__len"], [0.5], exact)
     gap = F.abs(F.col("__len") - quantile_at("__q", "__len", 0))
     return with_scalar(sized, "__q", center).withColumn(
         name, (1.0 / (1.0 + gap)).cast("float")

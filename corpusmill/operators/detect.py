@@ -26,6 +26,7 @@ from corpusmill.functions.text import (
 )
 from corpusmill.operators.profile import present, value_counts
 from corpusmill.schema import numeric_columns, string_columns
+from corpusmill.settings import cut_lineage
 
 IMBALANCE_THRESHOLD = 0.75
 NEAR_EMPTY_WORDS = 3
@@ -273,22 +274,32 @@ def detect_imbalance(
 # ----------------------------------------------------------------------------- text
 
 
-def _text_lengths(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``__len``: characters of a text that is not blank."""
-    return df.withColumn("__len", F.when(~is_blank(F.col(text)), F.length(text)).cast("double"))
+def _text_facts(text: str) -> dict[str, Column]:
+    """What the text figures need of a row: length, shortness, ending, identity.
 
+    ``__len`` is null for a blank text.
+    """
+    c = F.col(text)
+    filled = ~is_blank(c)
+    last = F.right(F.rtrim(strip_ws(c), F.lit(CLOSING_SIGNS)), F.lit(1))
+    norm = F.nullif(normalize_text(c), F.lit(""))
+    return {
+        "__len": F.when(filled, F.length(c)).cast("double"),
+        "__near": filled & (word_count(c) < NEAR_EMPTY_WORDS),
+        "__cut": filled & ~last.isin(END_MARKS),
+        "__text": text_key(norm),
+    }
 
-def _text_aggs(text: str) -> list[Column]:
-    c, size = F.col(text), F.col("__len")
+
+def _text_aggs() -> list[Column]:
+    size = F.col("__len")
     low, high = fences("__q", "__len", 0, 2)
-    words = word_count(c)
-    last = F.right(F.rtrim(strip_ws(c), F.lit(CLOSING_SIGNS)), F.lit(1))
     return [
         F.count_if(size.isNull()).alias("t_empty"),
-        F.count_if(size.isNotNull() & (words < NEAR_EMPTY_WORDS)).alias("t_near"),
+        F.count_if("__near").alias("t_near"),
         F.count_if(size < low).alias("t_short"),
         F.count_if(size > high).alias("t_long"),
-        F.count_if(size.isNotNull() & ~last.isin(END_MARKS)).alias("t_cut"),
+        F.count_if("__cut").alias("t_cut"),
         F.avg(size).alias("t_mean"),
         F.max(size).alias("t_max"),
         F.any_value("__q").alias("q"),
@@ -310,18 +321,23 @@ def _text_rows() -> list[tuple[str, str, str, Column]]:
 
 
 def text_profile(df: DataFrame, text: str | None = None, exact: bool = True) -> DataFrame:
-    """Empty, near-empty, extreme, cut-off and repeated texts, and length figures."""
-    name = primary_text(df, text)
-    slim = _text_lengths(df.select(name), name)
-    q = quantile_map(slim, ["__len"], [0.25, 0.5, 0.75], exact)
-    profile = rows_from(with_scalar(slim, "__q", q).agg(*_text_aggs(name)), _text_rows())
-    repeated = rows_from(
-        detect_duplicate_text(df, name),
-        [("text", "duplicate_text_rows", "", F.col("duplicate_text_rows"))],
-    )
+    """Empty, near-empty, extreme, cut-off and repeated texts, and length figures.
+
+    One read of the texts writes a slim row per text; the rest works on those.
+    """
+    facts = cut_lineage(df.select(*_named(_text_facts(primary_text(df, text)))))
+    q = quantile_map(facts, ["__len"], [0.25, 0.5, 0.75], exact)
+    profile = rows_from(with_scalar(facts, "__q", q).agg(*_text_aggs()), _text_rows())
+    texts = facts.where("__text IS NOT NULL").groupBy("__text").agg(F.count(F.lit(1)).alias("n"))
+    extra = texts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
+    repeated = rows_from(extra, [("text", "duplicate_text_rows", "", F.col("extra"))])
     return profile.unionByName(repeated)
 
 
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in columns.items()]
+
+
 # ------------------------------------------------------------------------- sparsity
 
 
@@ -357,28 +373,36 @@ def quality_report(
     threshold: float = IMBALANCE_THRESHOLD,
     exact: bool = True,
 ) -> DataFrame:
-    """Everything above as one tall table.
+    """Everything above as one tall table, after a single read of the input.
 
-    Three reads of the input: the length and number sketches with their
-    brackets, one pass for all counts, one for the content keys. Row
-    duplicates and text duplicates share a scan, because the text is part of
-    the row: keys of rows fold first, keys of texts from what is left.
+    That read writes a slim row of facts per row: which cells are missing, the
+    numbers, text length and flags, and the keys of row and text. All counts,
+    fences and groups come from the facts. Row and text duplicates share a
+    grouping, because the text is part of the row.
     """
     body = primary_text(df, text)
     target = label_column(df, label)
     skip = {name for name in (key, target) if name}
     content = df.drop(key) if key else df
     numbers = numeric_columns(content.schema, skip)
-
-    sized = _text_lengths(content, body)
-    q = quantile_map(sized, [*numbers, "__len"], [0.25, 0.5, 0.75], exact)
-    bounds = {name: fences("__q", name, 0, 2) for name in numbers}
-    outs = [
-        F.count_if((F.col(n) < bounds[n][0]) | (F.col(n) > bounds[n][1])).alias(f"o{i}")
-        for i, n in enumerate(numbers)
-    ]
-    counted = with_scalar(sized, "__q", q).agg(
-        F.count(F.lit(1)).alias("n"), *_missing_aggs(content, False), *outs, *_text_aggs(body)
+    facts = cut_lineage(
+        content.select(
+            *[(~present(f)).alias(f"m{i}") for i, f in enumerate(content.schema)],
+            *[F.col(n).cast("double").alias(f"n{i}") for i, n in enumerate(numbers)],
+            *_named(_text_facts(body)),
+            content_key(_columns(content, set())).alias("__row"),
+            (F.col(target).cast("string") if target else F.lit(None)).alias("__label"),
+        )
+    )
+    measured = [f"n{i}" for i in range(len(numbers))]
+    q = quantile_map(facts, [*measured, "__len"], [0.25, 0.5, 0.75], exact)
+    outs = []
+    for i, name in enumerate(measured):
+        low, high = fences("__q", name, 0, 2)
+        outs.append(F.count_if((F.col(name) < low) | (F.col(name) > high)).alias(f"o{i}"))
+    missing = [F.count_if(f"m{i}").alias(f"m{i}") for i in range(len(content.columns))]
+    counted = with_scalar(facts, "__q", q).agg(
+        F.count(F.lit(1)).alias("n"), *missing, *outs, *_text_aggs()
     )
     parts = [F.col(f"o{i}") for i in range(len(numbers))]
     entries = [
@@ -389,22 +413,19 @@ def quality_report(
         *[("outliers", "iqr_count", name, part) for name, part in zip(numbers, parts)],
         *_text_rows(),
     ]
-    report = rows_from(counted, entries).unionByName(_duplicate_rows(content, body))
+    report = rows_from(counted, entries).unionByName(_duplicate_rows(facts))
     if target:
-        report = report.unionByName(_imbalance_rows(label_semantics(df, target), target, threshold))
+        semantics = label_semantics(facts, "__label")
+        report = report.unionByName(_imbalance_rows(semantics, target, threshold))
     return report
 
 
-def _duplicate_rows(content: DataFrame, text: str) -> DataFrame:
-    norm = F.nullif(normalize_text(F.col(text)), F.lit(""))
-    keys = compute_once(
-        content, [], row_key=content_key(_columns(content, set())), text_key=text_key(norm)
-    )
-    rows = keys.groupBy("row_key", "text_key").agg(F.count(F.lit(1)).alias("n"))
-    texts = rows.groupBy("text_key").agg(
+def _duplicate_rows(facts: DataFrame) -> DataFrame:
+    rows = facts.groupBy("__row", "__text").agg(F.count(F.lit(1)).alias("n"))
+    texts = rows.groupBy("__text").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("extra_rows")
     )
-    extra_texts = F.when(F.col("text_key").isNotNull(), F.col("n") - 1).otherwise(0)
+    extra_texts = F.when(F.col("__text").isNotNull(), F.col("n") - 1).otherwise(0)
     counted = texts.agg(
         F.coalesce(F.sum("extra_rows"), F.lit(0)).alias("d"),
         F.coalesce(F.sum(extra_texts), F.lit(0)).alias("t"),

@@ -15,6 +15,7 @@ from corpusmill.functions.stats import (
 )
 from corpusmill.functions.text import NULL_WORDS, strip_ws, word_count
 from corpusmill.schema import numeric_columns
+from corpusmill.settings import cut_lineage
 
 TOP_VALUES = 10
 HISTOGRAM_BINS = 30
@@ -116,7 +117,8 @@ def _describe(df: DataFrame, column: str) -> DataFrame:
 
 def profile_text_words(df: DataFrame, text: str = "text") -> DataFrame:
     """Words per text (null counts 0): mean, median, ninth decile, maximum."""
-    words = df.select(word_count(F.col(text)).alias("words"))
+    # Counted in one read of the texts; the figures then need the counts only.
+    words = cut_lineage(df.select(word_count(F.col(text)).alias("words")))
     stats = with_scalar(
         words.agg(F.avg("words").alias("mean"), F.max("words").alias("max")),
         "q",
@@ -173,7 +175,7 @@ def recommended_sections(
 
 def length_histogram(df: DataFrame, text: str = "text", bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Word counts in equal bins between minimum and maximum, the last one closed."""
-    words = df.select(word_count(F.col(text)).cast("double").alias("x"))
+    words = cut_lineage(df.select(word_count(F.col(text)).cast("double").alias("x")))
     ends = words.agg(F.array(F.min("x"), F.max("x")).alias("e"))
     # A single value gets a range of one around it.
     flat = F.col("e")[0] == F.col("e")[1]
