@@ -81,17 +81,23 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     )
 
     def at(rank: Column) -> Column:
-        return F.min(F.when((F.col("upto") > rank) & ~F.col("gap"), F.col("v")))
+        return F.min(F.when(F.col("upto") > rank, F.struct("v", "gap")))
 
     picks = []
     for k, p in enumerate(probs):
         rank = F.lit(float(p)) * (F.col("n") - 1)
         picks += [at(F.floor(rank)).alias(f"lo{k}"), at(F.ceil(rank)).alias(f"hi{k}")]
     picked = counted.groupBy("c", "n").agg(*picks)
+    # A rank in a gap would mean that its bracket missed it; better no result than a wrong one.
+    missed = F.raise_error(F.lit("A quantile lies outside its bracket")).cast("double")
     points = []
     for k, p in enumerate(probs):
         rank = F.lit(float(p)) * (F.col("n") - 1)
-        points.append(F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (rank - F.floor(rank)))
+        low, high = (
+            F.when(F.col(f"{side}{k}")["gap"], missed).otherwise(F.col(f"{side}{k}")["v"])
+            for side in ("lo", "hi")
+        )
+        points.append(low + (high - low) * (rank - F.floor(rank)))
     names = F.array(*[F.lit(name) for name in columns])
     return picked.select(
         F.element_at(names, F.col("c") + 1).alias("column"), "n", F.array(*points).alias("q")

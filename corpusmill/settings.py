@@ -13,6 +13,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Long expressions are built from many calls; recording where each was made takes longer.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -249,6 +249,8 @@ def assemble_pages(
     """Document texts from page texts: the first extractor with 200 characters wins.
 
     ``extractors`` are ``(method, column)``: alternative texts of the same page.
+    A document's text is one cell, so its pages meet in one task; the key must
+    name a document, not a source.
     """
     ordered = {}
     for method, column in extractors:

@@ -60,6 +60,12 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         raise ValueError(f"Unsupported table format: {suffix!r}")
 
 
+def processed_path(path: str) -> str:
+    """Where a transformed table goes: beside its source, as ``<stem>_processed<suffix>``."""
+    whole = PurePosixPath(path)
+    return path[: len(path) - len(whole.name)] + f"{whole.stem}_processed{whole.suffix}"
+
+
 def limit_source(df: DataFrame, key: str, limit: int | None) -> DataFrame:
     """First ``limit`` rows of a source in key order; all rows without a limit."""
     return df if limit is None else df.orderBy(key).limit(limit)

@@ -15,6 +15,7 @@ def test_round_trip(spark, tmp_path):
         assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
     raw = spark.read.text(str(tmp_path / "t.jsonl")).collect()
     assert any('"c":null' in r["value"] and "é" in r["value"] for r in raw)
+    assert tables.processed_path("s3://b/d/t.csv") == "s3://b/d/t_processed.csv"
     with pytest.raises(ValueError):
         tables.read_table(spark, "x.xml")
     with pytest.raises(ValueError):
