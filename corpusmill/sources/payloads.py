@@ -70,17 +70,17 @@ def _document(c: Column) -> Column:
     return F.coalesce(json_object(c), json_array(c))
 
 
-def payload_document(raw: Column) -> Column:
-    """JSON in a raw output: the text, its fenced block, or either as a Python literal.
+def with_payload_document(df: DataFrame, raw: str, name: str) -> DataFrame:
+    """Adds the JSON in a raw output: the text, its fenced block, or either as a Python literal.
 
     Only outputs that are not JSON reach Python.
     """
-    parsed = let(strip_ws(raw), lambda t: F.coalesce(_document(t), _document(fenced_block(t))))
-    left = F.when(parsed.isNull(), strip_ws(raw))
-    literal = F.coalesce(
-        _document(_literal_to_json(left)), _document(_literal_to_json(fenced_block(left)))
+    found = let(
+        strip_ws(F.col(raw)), lambda t: F.coalesce(_document(t), _document(fenced_block(t)))
     )
-    return F.coalesce(parsed, literal)
+    left = F.when(F.col(name).isNull(), strip_ws(F.col(raw)))
+    literal = F.coalesce(_literal_to_json(left), _literal_to_json(fenced_block(left)))
+    return df.withColumn(name, found).withColumn(name, F.coalesce(name, _document(literal)))
 
 
 def _as_list(document: Column) -> Column:
@@ -112,7 +112,7 @@ def parse_payload_records(df: DataFrame, raw: str) -> DataFrame:
         F.when(notes.isNotNull(), F.array(notes)),
         F.array().cast("array<string>"),
     )
-    parsed = df.withColumn("__document", payload_document(F.col(raw))).select(
+    parsed = with_payload_document(df, raw, "__document").select(
         *kept,
         F.transform(
             F.from_json(F.when(document.isNotNull(), records), "array<variant>"), _record_text
