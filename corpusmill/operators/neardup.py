@@ -80,6 +80,37 @@ def _jaccard(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def _by_rare_runs(sets: DataFrame, still_open: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Pairs ``(later, earlier)`` that may reach the threshold, for the open rows.
+
+    With all runs in one order, two sets that overlap by the threshold share a
+    run among the first ``n - ceil(threshold * n) + 1`` of each. The order is
+    rarest first: text that many rows have in common comes last and makes no
+    pairs, as long as a row has enough words of its own.
+    """
+    size = F.size("runs")
+    runs = sets.select(key, size.alias("n"), F.explode("runs").alias("run"))
+    # Written out, so that both sides of the joins below are plain shuffles, whose
+    # large partitions the adaptive planner splits.
+    counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    common = cut_lineage(counts)
+    per_row = Window.partitionBy(key)
+    # Runs of a single row come first in its order and match nothing.
+    alone = F.col("n") - F.count(F.lit(1)).over(per_row)
+    spot = alone + F.row_number().over(per_row.orderBy("rows", "run"))
+    # The margin only ever adds a run, should the product be rounded up.
+    least = F.ceil(F.col("n") * threshold - 1e-9)
+    leading = cut_lineage(
+        runs.join(common, "run")
+        .select(key, "run", (spot <= F.col("n") - least + 1).alias("first"))
+        .where("first")
+        .select(key, "run")
+    )
+    later = leading.withColumnRenamed(key, "later").join(still_open, "later", "left_semi")
+    earlier = leading.withColumnRenamed(key, "earlier")
+    return later.join(earlier, "run").where("earlier < later").select("later", "earlier")
+
+
 def near_duplicates(
     df: DataFrame,
     key: str,
@@ -95,9 +126,9 @@ def near_duplicates(
     Copies fold into their first row before anything is compared. Band buckets
     are split by salt; each member is compared with the first of its part, the
     firsts with the first of the bucket, so a bucket of similar texts costs one
-    comparison per member. Only rows that found no match there meet the other
-    earlier members of their buckets. Every comparison uses the whole sets, and
-    no bucket is capped.
+    comparison per member. Rows that found no match there go to
+    :func:`_by_rare_runs`. Every comparison uses the whole sets, and no bucket
+    is capped.
     """
     norm = F.nullif(normalize_text(F.col(text)), F.lit(""))
     texts = compute_once(df, [key], __t=norm)
@@ -135,19 +166,13 @@ def near_duplicates(
 
     to_lead = members.where("lead < later").select("later", F.col("lead").alias("earlier"))
     to_first = leads.where("first < later").select("later", F.col("first").alias("earlier"))
-    found = cut_lineage(matched(to_lead.union(to_first)))
-
-    # Rows still open in a bucket they did not start; they visit every part of it.
-    open_rows = (
-        members.where("lead < later")
-        .select("band", "later")
-        .union(leads.where("first < later").select("band", "later"))
-        .join(found, "later", "left_anti")
-        .select("band", "later", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    earlier = members.select("band", F.col("salt").cast("int").alias("salt"), F.col("later").alias("earlier"))
-    rest = open_rows.join(earlier, ["band", "salt"]).where("earlier < later")
-    near = found.union(matched(rest.select("later", "earlier")))
+    pairs = cut_lineage(to_lead.union(to_first).distinct())
+    found = cut_lineage(matched(pairs))
+    # All rows that share a bucket, and those of them still without a match.
+    shared = pairs.select(F.col("later").alias(key)).union(pairs.select(F.col("earlier").alias(key)))
+    bucketed = sets.join(shared.distinct(), key, "left_semi")
+    still_open = pairs.select("later").distinct().join(found, "later", "left_anti")
+    near = found.union(matched(_by_rare_runs(bucketed, still_open, key, threshold)))
     return copies.select(key, F.lit("copy").alias("kind")).union(
         near.select(F.col("later").alias(key), F.lit("near").alias("kind"))
     )
