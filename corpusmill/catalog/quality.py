@@ -599,10 +599,25 @@ def _(spark, folder):
 # --------------------------------------------------------------------------- comparison
 
 _AFTER = report_sql("cleaned", _CONTENT, ["n_chars"], 7)
-_COMPARED = (
-    f"{CLEANED}, b AS ({_REPORT}), a AS ({_AFTER}), c AS (SELECT section, metric, \"column\", b.value AS before, "
-    "a.value AS after, round(b.value - a.value, 6) AS delta FROM b FULL JOIN a USING (section, metric, \"column\"))"
+
+
+def fine(sql: str) -> str:
+    """The same metric rows with more places, for taking differences before rounding."""
+    return sql.replace(", 6) AS value", ", 12) AS value")
+
+
+def differences(before: str, after: str) -> str:
+    """CTEs ending in ``c``: both sides and their difference, not yet rounded."""
+    return (
+        f"b AS ({fine(before)}), a AS ({fine(after)}), c AS (SELECT section, metric, \"column\", b.value AS before, "
+        "a.value AS after, b.value - a.value AS delta FROM b FULL JOIN a USING (section, metric, \"column\"))"
+    )
+
+
+_SIDES = (
+    "SELECT section, metric, \"column\", round(before, 6) AS before, round(after, 6) AS after, round(delta, 6) AS delta FROM c"
 )
+_COMPARED = f"{CLEANED}, {differences(_REPORT, _AFTER)}"
 
 
 def _both(spark, folder):
@@ -610,7 +625,7 @@ def _both(spark, folder):
     return cm.compare(before, cleaned(before), "doc_id", "text", "label")
 
 
-@query("compare", f"WITH {_COMPARED} SELECT * FROM c")
+@query("compare", f"WITH {_COMPARED} {_SIDES}")
 def _(spark, folder):
     return _both(spark, folder)
 
@@ -619,7 +634,7 @@ def _(spark, folder):
     "delta_direction",
     f"WITH {_COMPARED} SELECT section, metric, \"column\", CASE WHEN delta IS NULL THEN 'not available' "
     "WHEN delta > 0 THEN 'improved' WHEN delta < 0 THEN 'increased' ELSE 'unchanged' END AS direction, "
-    "abs(delta) AS amount FROM c",
+    "round(abs(delta), 6) AS amount FROM c",
 )
 def _(spark, folder):
     changes = cm.delta_direction(_both(spark, folder))
@@ -645,9 +660,7 @@ def _text_after_sql(name: str) -> str:
 
 @query(
     "compare_text",
-    f"WITH {CLEANED}, b AS ({_text_after_sql('dirty')}), a AS ({_text_after_sql('cleaned')}) "
-    "SELECT section, metric, \"column\", b.value AS before, a.value AS after, round(b.value - a.value, 6) AS delta "
-    "FROM b FULL JOIN a USING (section, metric, \"column\")",
+    f"WITH {CLEANED}, {differences(_text_after_sql('dirty'), _text_after_sql('cleaned'))} {_SIDES}",
 )
 def _(spark, folder):
     before = dirty(spark, folder)
