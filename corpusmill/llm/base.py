@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +49,7 @@ def slices(
     empty = b"" if as_bytes else ""
     for batch in batches:
         column = batch.column(text)
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         place = (np.cumsum(lengths) - 1) // SLICE_BYTES
         for cut in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1):
             if len(cut):
