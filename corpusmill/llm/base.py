@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.settings import cut_lineage
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -86,3 +89,15 @@ class WordHashes(dict):
         if len(self) > self.limit:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` and let Spark's cleaner drop the shuffle files behind it.
+
+    The cleaner frees what the driver's collector finds unreachable; asking for a collection after
+    a large stage keeps the disks of the executors from holding the shuffles of all stages at once.
+    """
+    done = cut_lineage(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done

@@ -1,4 +1,4 @@
 """All queries of this subpackage, by name."""
 
-from corpusmill.llm import bpe, minhash, mixing, quality, secrets  # noqa: F401
+from corpusmill.llm import bpe, minhash, mixing, quality, secrets, substring  # noqa: F401
 from corpusmill.llm.base import ORACLE, QUERIES  # noqa: F401
