@@ -1,4 +1,4 @@
 """All queries of this subpackage, by name."""
 
-from corpusmill.llm import bpe, maintext, minhash, mixing, quality, secrets, substring, toxicity  # noqa: F401
+from corpusmill.llm import bpe, maintext, minhash, mixing, nearest, quality, secretscan, substring, toxicity  # noqa: F401
 from corpusmill.llm.base import ORACLE, QUERIES  # noqa: F401
