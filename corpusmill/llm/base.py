@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -98,6 +99,19 @@ def settled(df: DataFrame) -> DataFrame:
     a large stage keeps the disks of the executors from holding the shuffles of all stages at once.
     """
     done = cut_lineage(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    context = df.sparkSession.sparkContext
+    # The plan that has run holds its shuffles.
+    del df
+    for _ in range(2):
+        gc.collect()
+        context._jvm.System.gc()
+        time.sleep(0.2)
     return done
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one in ``spark.checkpoint.dir``."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return str(folder).rstrip("/")
