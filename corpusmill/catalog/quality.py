@@ -339,18 +339,18 @@ def _(spark, folder):
     "findings",
     f"""
     WITH {DIRTY}, r AS ({_REPORT})
-    SELECT 1::BIGINT AS position, 'Missing values: ' || value::BIGINT || '. Cells need imputation or row-level handling.' AS finding
-    FROM r WHERE section = 'missing' AND metric = 'total'
-    UNION ALL SELECT 2, 'Duplicate rows: ' || value::BIGINT || '. Rows may distort evaluation and training.'
-    FROM r WHERE section = 'duplicates' AND metric = 'rows'
-    UNION ALL SELECT 3, 'Numeric outliers: ' || value::BIGINT || '. Values may need clipping, filtering, or review.'
-    FROM r WHERE section = 'outliers' AND metric = 'iqr_total'
-    UNION ALL SELECT 4, 'Largest class of ' || "column" || ' holds a share of ' || printf('%.3f', value) || '.'
-    FROM r WHERE section = 'imbalance' AND metric = 'majority_share'
-    UNION ALL SELECT 5, value::BIGINT || ' rows have empty text content.'
-    FROM r WHERE section = 'text' AND metric = 'empty_rows' AND value > 0
-    UNION ALL SELECT 6, value::BIGINT || ' rows repeat the same text payload.'
-    FROM r WHERE section = 'text' AND metric = 'duplicate_text_rows' AND value > 0
+    SELECT position, metric, "column", value,
+      CASE WHEN value = floor(value) THEN (value::BIGINT)::VARCHAR ELSE printf('%.3f', value) END || ' ' || meaning AS finding
+    FROM r JOIN (VALUES
+      (1::BIGINT, 'missing', 'total', 'cells have no value'),
+      (2, 'duplicates', 'rows', 'rows are copies of an earlier one'),
+      (3, 'outliers', 'iqr_total', 'numbers lie beyond the quartile fences'),
+      (4, 'imbalance', 'majority_share', 'of the labelled rows are in one class'),
+      (5, 'text', 'empty_rows', 'rows come without text'),
+      (6, 'text', 'duplicate_text_rows', 'rows bring a text seen before')
+    ) h(position, section, metric, meaning) USING (section, metric)
+    WHERE value IS NOT NULL AND (value > 0 OR section <> 'text')
+      AND (section <> 'missing' OR "column" = '')
     """,
 )
 def _(spark, folder):

@@ -2,105 +2,127 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rank error of the sketch is 1/SKETCH_ACCURACY; the bracket around a wanted
-# rank is a few times wider, so it always holds the rank.
+# Rank error of the sketch is 1/SKETCH_ACCURACY; the bracket around a wanted rank is a few times
+# wider. A bracket that misses its rank all the same is drawn wider and tried again.
 SKETCH_ACCURACY = 10_000
 _MARGIN = 4.0 / SKETCH_ACCURACY
+# Brackets are narrowed until at most so many values lie strictly inside.
+BRACKET_VALUES = 2_000
 
 IQR_FACTOR = 1.5
 Z_LIMIT = 3.0
 
 
-def _finite(name: str) -> Column:
+def finite(name: str) -> Column:
+    """A numeric cell as double, NaN as null."""
     value = F.col(f"`{name}`").cast("double")
     return F.when(~F.isnan(value), value)
 
 
-def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Per column ``(c, low, high)``: bounds that surely hold each wanted rank."""
-    wanted = [min(max(p + side * _MARGIN, 0.0), 1.0) for p in probs for side in (-1, 1)]
-    cells = []
-    for i, name in enumerate(columns):
-        v = _finite(name)
-        near = F.percentile_approx(v, wanted, SKETCH_ACCURACY)
-        cells.append(
-            F.struct(
-                F.lit(i).alias("c"),
-                F.count(v).alias("rows"),
-                F.min(v).alias("least"),
-                F.max(v).alias("most"),
-                near.alias("near"),
-            )
+class _Bracket:
+    """Bounds that hold a wanted rank, and what is known about the rows around them."""
+
+    def __init__(self, column: int, k: int, p: float):
+        self.column, self.k, self.p = column, k, p
+        self.low, self.high = float("-inf"), float("inf")
+        self.rows = self.below = self.inside = self.between = 0
+        self.margin = _MARGIN
+        self.wider: tuple | None = None
+
+    def ranks(self) -> tuple[int, int]:
+        rank = self.p * (self.rows - 1)
+        return math.floor(rank), math.ceil(rank)
+
+    def holds(self) -> bool:
+        first, last = self.ranks()
+        return self.below <= first and last < self.below + self.inside
+
+    def done(self) -> bool:
+        return self.between <= BRACKET_VALUES or self.low == self.high
+
+    def counts(self, v: Column) -> list[Column]:
+        within = v.between(F.lit(self.low), F.lit(self.high))
+        strictly = (v > F.lit(self.low)) & (v < F.lit(self.high))
+        cells = (F.count(v), F.count_if(v < F.lit(self.low)), F.count_if(within), F.count_if(strictly))
+        return [c.cast("double") for c in cells]
+
+    def near(self, v: Column) -> Column:
+        """Two values of the bracket that enclose its ranks, by the sketch of what is inside."""
+        first, last = ((r - self.below) / max(self.inside - 1, 1) for r in self.ranks())
+        wanted = [max(first - self.margin, 0.0), min(last + self.margin, 1.0)]
+        return F.percentile_approx(
+            F.when(v.between(F.lit(self.low), F.lit(self.high)), v), wanted, SKETCH_ACCURACY
         )
-    rows = df.agg(F.array(*cells).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-    # Up to this size the whole column is the bracket.
-    small = F.col("rows") <= SKETCH_ACCURACY
-    spots = range(len(probs))
-    low = F.array(*[F.when(small, F.col("least")).otherwise(F.col("near")[2 * k]) for k in spots])
-    high = F.array(*[F.when(small, F.col("most")).otherwise(F.col("near")[2 * k + 1]) for k in spots])
-    return rows.select("c", low.alias("low"), high.alias("high"))
+
+
+def _ask(df: DataFrame, cells: list[Column]) -> list:
+    """Aggregates of one pass, as one row of the driver."""
+    return list(df.agg(F.array(*cells).alias("a")).first()["a"]) if cells else []
+
+
+def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> list[_Bracket]:
+    """Narrow brackets for every wanted rank of every column.
+
+    Counting and sketching passes take turns; each sketch leaves a fixed small share of the values
+    inside, so a few passes do for any number of rows. The driver sees a few numbers per rank.
+    """
+    brackets = [_Bracket(i, k, p) for i in range(len(columns)) for k, p in enumerate(probs)]
+    todo = brackets
+    while todo:
+        told = _ask(df, [c for b in todo for c in b.counts(finite(columns[b.column]))])
+        for b, (rows, below, inside, between) in zip(todo, (told[i : i + 4] for i in range(0, len(told), 4))):
+            b.rows, b.below, b.inside, b.between = int(rows), int(below), int(inside), int(between)
+            if b.rows and not b.holds():
+                # Back to the bounds before, and wider ones within them.
+                b.low, b.high, b.below, b.inside, b.between = b.wider
+                b.margin *= 4
+        todo = [b for b in todo if b.rows and not b.done()]
+        near = _ask(df, [b.near(finite(columns[b.column])) for b in todo])
+        for b, (low, high) in zip(todo, near):
+            b.wider = (b.low, b.high, b.below, b.inside, b.between)
+            b.low, b.high = low, high
+    return [b for b in brackets if b.rows]
 
 
 def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles: ``(column, n, q array<double>)``.
 
-    A mergeable sketch brackets every wanted rank. The second pass keeps the
-    values inside the brackets and counts all others into the gap they fall in,
-    which the map side already folds to a few rows. Only the bracketed share of
-    distinct values (less than a thousandth per quantile) is sorted.
+    The last pass counts the distinct values inside the brackets, which the map side folds, and
+    sorts those few: no task gets more than ``BRACKET_VALUES`` and the two bounds, whatever the
+    number of rows. NaN counts as missing; a column without values has no row.
     """
     probs = list(probs)
-    order = sorted(range(len(probs)), key=lambda k: probs[k])
-    cells = [F.struct(F.lit(i).alias("c"), _finite(n).alias("v")) for i, n in enumerate(columns)]
+    brackets = _brackets(df, columns, probs)
+    names = F.array(*[F.lit(name) for name in columns])
+    shape = "c int, k int, low double, high double, below bigint, n bigint"
+    bounds = [(b.column, b.k, b.low, b.high, b.below, b.rows) for b in brackets]
+    # One row per wanted rank.
+    held = F.broadcast(df.sparkSession.createDataFrame(bounds, shape))
+    cells = [F.struct(F.lit(i).alias("c"), finite(n).alias("v")) for i, n in enumerate(columns)]
     values = df.select(F.explode(F.array(*cells)).alias("r")).select("r.*").where("v IS NOT NULL")
-
-    inside = F.lit(False)
-    below = F.lit(float("-inf"))
-    for k in order:
-        low, high = F.col("low")[k], F.col("high")[k]
-        inside = inside | F.col("v").between(low, high)
-        below = F.when(F.col("v") > high, high).otherwise(below)
+    order = Window.partitionBy("c", "k").orderBy("v")
     counted = (
-        # One row per named column, so the broadcast side is as long as the schema is wide.
-        values.join(F.broadcast(_brackets(df, columns, probs)), "c")
-        .select("c", F.when(inside, F.col("v")).otherwise(below).alias("v"), (~inside).alias("gap"))
-        .groupBy("c", "v", "gap")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .selectExpr(
-            "c",
-            "v",
-            "gap",
-            "sum(k) OVER (PARTITION BY c ORDER BY v, gap ROWS UNBOUNDED PRECEDING) AS upto",
-            "sum(k) OVER (PARTITION BY c) AS n",
-        )
+        values.join(held, "c")
+        .where("v BETWEEN low AND high")
+        .groupBy("c", "k", "below", "n", "v")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .withColumn("upto", F.col("below") + F.sum("times").over(order))
     )
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") > rank, F.struct("v", "gap")))
-
-    picks = []
-    for k, p in enumerate(probs):
-        rank = F.lit(float(p)) * (F.col("n") - 1)
-        picks += [at(F.floor(rank)).alias(f"lo{k}"), at(F.ceil(rank)).alias(f"hi{k}")]
-    picked = counted.groupBy("c", "n").agg(*picks)
-    # A rank in a gap would mean that its bracket missed it; better no result than a wrong one.
-    missed = F.raise_error(F.lit("A quantile lies outside its bracket")).cast("double")
-    points = []
-    for k, p in enumerate(probs):
-        rank = F.lit(float(p)) * (F.col("n") - 1)
-        low, high = (
-            F.when(F.col(f"{side}{k}")["gap"], missed).otherwise(F.col(f"{side}{k}")["v"])
-            for side in ("lo", "hi")
-        )
-        points.append(low + (high - low) * (rank - F.floor(rank)))
-    names = F.array(*[F.lit(name) for name in columns])
-    return picked.select(
-        F.element_at(names, F.col("c") + 1).alias("column"), "n", F.array(*points).alias("q")
+    rank = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("k") + 1) * (F.col("n") - 1)
+    ranked = counted.withColumn("rank", rank)
+    low = F.min(F.when(F.col("upto") > F.floor("rank"), F.col("v")))
+    high = F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("v")))
+    part = F.first(F.col("rank") - F.floor("rank"))
+    points = ranked.groupBy("c", "k", "n").agg((low + (high - low) * part).alias("q"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda s: s["q"])
+    return points.groupBy("c", "n").agg(ordered.alias("q")).select(
+        F.element_at(names, F.col("c") + 1).alias("column"), "n", "q"
     )
 
 
@@ -113,7 +135,7 @@ def quantile_map(
     """
     if not exact:
         near = [
-            F.struct(F.lit(c), F.percentile_approx(_finite(c), list(probs), SKETCH_ACCURACY))
+            F.struct(F.lit(c), F.percentile_approx(finite(c), list(probs), SKETCH_ACCURACY))
             for c in columns
         ]
         return df.agg(F.map_from_entries(F.array(*near)).alias("q"))

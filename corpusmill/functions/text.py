@@ -99,8 +99,12 @@ def is_null_word(c: Column) -> Column:
 
 
 def looks_numeric(c: Column) -> Column:
-    """True when the stripped text reads as a floating-point number."""
-    number = r"^[+-]?(inf|infinity|nan|(\d+\.?\d*|\.\d+)(e[+-]?\d+)?)$"
+    """True when the stripped text reads as a floating-point number.
+
+    Digits of any script count, and single underscores may stand between digits.
+    """
+    digits = r"\p{Nd}(_?\p{Nd})*"
+    number = rf"^[+-]?(inf|infinity|nan|({digits}\.?({digits})?|\.{digits})(e[+-]?{digits})?)$"
     return F.coalesce(F.lower(strip_ws(c)).rlike(number), F.lit(False))
 
 
@@ -224,13 +228,21 @@ def extract_json(c: Column, field: str | None = None) -> Column:
     return F.coalesce(found, F.when(body.isNotNull(), F.to_json(F.struct(body.alias(field)))))
 
 
+# JSON that keeps every null and every microsecond.
+EXACT_JSON = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def stable_json(c: Column, dtype: T.DataType) -> Column:
     """Text form of a nested cell that does not depend on key order.
 
     Maps and structs have their keys sorted, also inside arrays. A JSON string
     is sorted through its map form by :func:`stable_json_text`.
     """
-    return F.to_json(_sorted_keys(c, dtype), {"ignoreNullFields": "false"})
+    return F.to_json(_sorted_keys(c, dtype), EXACT_JSON)
 
 
 def _sorted_keys(c: Column, dtype: T.DataType) -> Column:
@@ -243,6 +255,9 @@ def _sorted_keys(c: Column, dtype: T.DataType) -> Column:
         return F.when(c.isNotNull(), rebuilt)
     if isinstance(dtype, T.ArrayType):
         return F.transform(c, lambda item: _sorted_keys(item, dtype.elementType))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        # The two zeros are equal.
+        return c + F.lit(0.0).cast(dtype)
     return c
 
 
@@ -276,13 +291,12 @@ def content_key(columns: list[tuple[str, T.DataType]]) -> Column:
     """SHA-256 of the values of several columns, null equal to null.
 
     Equal rows share the 32-byte key, so grouping shuffles the digest and not
-    the text. Nested cells enter in their stable form.
+    the text. Cells are equal as Spark groups them: timestamps to the microsecond,
+    the two zeros and all NaN alike. Maps and structs compare without the order
+    of their keys.
     """
-    cells = [
-        (stable_json(F.col(name), dtype) if _is_nested(dtype) else F.col(name)).alias(name)
-        for name, dtype in columns
-    ]
-    whole = F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
+    cells = [_sorted_keys(F.col(f"`{name}`"), dtype).alias(name) for name, dtype in columns]
+    whole = F.to_json(F.struct(*cells), EXACT_JSON)
     return F.unhex(F.sha2(whole, 256))
 
 
@@ -291,10 +305,6 @@ def text_key(c: Column) -> Column:
     return F.unhex(F.sha2(c, 256))
 
 
-def _is_nested(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.MapType, T.StructType, T.ArrayType))
-
-
 def seeded_hash(seed: int, key: Column) -> Column:
     """Hex digest that orders rows at random but repeatably for a seed."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

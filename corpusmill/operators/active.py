@@ -13,7 +13,7 @@ from corpusmill.functions.answers import normalize_label
 from corpusmill.functions.stats import quantile_at, quantile_map, with_scalar
 from corpusmill.functions.text import SCORE_TOKEN, let, seeded_hash, seeded_uniform, tokens
 from corpusmill.schema import string_columns
-from corpusmill.settings import BROADCAST_ROWS, cut_lineage, join_small
+from corpusmill.settings import cut_lineage, join_small
 
 # Column names that usually hold text.
 TEXT_HINTS = [
@@ -168,9 +168,7 @@ def enrich_queries(
         F.col(score).cast("double").alias("active_learning_score"),
         F.col("rank").alias("active_learning_rank"),
     )
-    # The batch has at most batch_size rows.
-    side = F.broadcast(slim) if batch_size <= BROADCAST_ROWS else slim
-    return df.join(side, key, "left").withColumns(
+    return join_small(df, slim, key, "left").withColumns(
         {
             "active_learning_selected": F.col("active_learning_rank").isNotNull(),
             "active_learning_target_column": F.lit(target),
@@ -315,10 +313,7 @@ def _margin_rounds(
     for iteration in range(1, n_iterations + 1):
         left = slim
         if taken is not None:
-            # At most one batch per round so far.
-            small = (iteration - 1) * batch_size <= BROADCAST_ROWS
-            done = F.broadcast(taken.select(key)) if small else taken.select(key)
-            left = slim.join(done, key, "left_anti")
+            left = join_small(slim, taken.select(key), key, "left_anti")
         center = quantile_map(left, ["__size"], [0.5])
         gap = F.abs(F.col("__size") - quantile_at("__q", "__size", 0))
         scored = with_scalar(left, "__q", center).select(key, (1.0 / (1.0 + gap)).cast("float").alias("score"))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.stats import (
     Z_LIMIT,
+    finite,
     fences,
     quantile_at,
     quantile_map,
@@ -191,7 +192,7 @@ def outliers_zscore(
     """Values more than three population deviations from the mean, and the total."""
     names = columns or numeric_columns(df.schema, exclude)
     moments = [
-        F.struct(F.lit(n), F.array(F.avg(n), F.stddev_pop(n))) for n in names
+        F.struct(F.lit(n), F.array(F.avg(finite(n)), F.stddev_pop(finite(n)))) for n in names
     ]
     q = df.agg(F.map_from_entries(F.array(*moments)).alias("q"))
     bounds = {}
@@ -203,7 +204,7 @@ def outliers_zscore(
 
 def _outliers(df: DataFrame, names: list[str], bounds: dict, method: str, q: Column) -> DataFrame:
     aggs = [
-        F.count_if((F.col(n) < bounds[n][0]) | (F.col(n) > bounds[n][1])).alias(f"o{i}")
+        F.count_if((finite(n) < bounds[n][0]) | (finite(n) > bounds[n][1])).alias(f"o{i}")
         for i, n in enumerate(names)
     ]
     counted = df.agg(F.any_value("__q").alias("__q"), *aggs)
@@ -399,7 +400,7 @@ def quality_report(
     outs = []
     for i, name in enumerate(measured):
         low, high = fences("__q", name, 0, 2)
-        outs.append(F.count_if((F.col(name) < low) | (F.col(name) > high)).alias(f"o{i}"))
+        outs.append(F.count_if((finite(name) < low) | (finite(name) > high)).alias(f"o{i}"))
     missing = [F.count_if(f"m{i}").alias(f"m{i}") for i in range(len(content.columns))]
     counted = with_scalar(facts, "__q", q).agg(
         F.count(F.lit(1)).alias("n"), *missing, *outs, *_text_aggs()
@@ -439,44 +440,34 @@ def _duplicate_rows(facts: DataFrame) -> DataFrame:
     )
 
 
-def findings(report: DataFrame) -> DataFrame:
-    """Headline sentences of a report, most general first."""
-    value = F.col("value")
-    number = F.format_string("%d", value.cast("long"))
-    table = F.col("column") == ""
+# What a headline counts: section, metric, whether zero is worth telling, and what the number means.
+HEADLINES = (
+    ("missing", "total", True, "cells have no value"),
+    ("duplicates", "rows", True, "rows are copies of an earlier one"),
+    ("outliers", "iqr_total", True, "numbers lie beyond the quartile fences"),
+    ("imbalance", "majority_share", True, "of the labelled rows are in one class"),
+    ("text", "empty_rows", False, "rows come without text"),
+    ("text", "duplicate_text_rows", False, "rows bring a text seen before"),
+)
 
-    def of(section: str, metric: str) -> Column:
-        return (F.col("section") == section) & (F.col("metric") == metric)
-
-    line = (
-        F.when(
-            of("missing", "total") & table,
-            _ranked(1, "Missing values: ", number, ". Cells need imputation or row-level handling."),
-        )
-        .when(
-            of("duplicates", "rows"),
-            _ranked(2, "Duplicate rows: ", number, ". Rows may distort evaluation and training."),
-        )
-        .when(
-            of("outliers", "iqr_total"),
-            _ranked(3, "Numeric outliers: ", number, ". Values may need clipping, filtering, or review."),
-        )
-        .when(
-            of("imbalance", "majority_share") & value.isNotNull(),
-            _ranked(4, "Largest class of ", F.col("column"), " holds a share of ", F.format_number(value, 3), "."),
-        )
-        .when(
-            of("text", "empty_rows") & (value > 0),
-            _ranked(5, "", number, " rows have empty text content."),
-        )
-        .when(
-            of("text", "duplicate_text_rows") & (value > 0),
-            _ranked(6, "", number, " rows repeat the same text payload."),
-        )
-    )
-    return report.select(line.alias("f")).where("f IS NOT NULL").select("f.*")
 
+def findings(report: DataFrame) -> DataFrame:
+    """Headlines of a report in a fixed order: ``(position, metric, column, value, finding)``.
 
-def _ranked(position: int, *parts: str | Column) -> Column:
-    text = F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.struct(F.lit(position).alias("position"), text.alias("finding"))
+    Only the headline of the whole table counts where a metric has one per column too.
+    """
+    value = F.col("value")
+    shown = F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(
+        F.format_string("%.3f", value)
+    )
+    line = F.lit(None).cast("struct<position:int,finding:string>")
+    for position, (section, metric, zero, meaning) in enumerate(HEADLINES, 1):
+        mine = (F.col("section") == section) & (F.col("metric") == metric) & value.isNotNull()
+        if section == "missing":
+            mine &= F.col("column") == ""
+        if not zero:
+            mine &= value > 0
+        told = F.struct(F.lit(position).alias("position"), F.concat(shown, F.lit(f" {meaning}")).alias("finding"))
+        line = F.when(mine, told).otherwise(line)
+    told = report.select("metric", "column", "value", line.alias("f")).where("f IS NOT NULL")
+    return told.select("f.position", "metric", "column", "value", "f.finding")

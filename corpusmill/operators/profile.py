@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.stats import (
     fences,
+    finite,
     quantile_at,
     quantile_map,
     rows_from,
@@ -222,7 +223,7 @@ def boxplot_stats(
     boxed = with_scalar(df, "__q", quantile_map(df, columns, [0.25, 0.5, 0.75]))
     aggs = [F.any_value("__q").alias("q")]
     for i, name in enumerate(columns):
-        v = F.col(name).cast("double")
+        v = finite(name)
         low, high = fences("__q", name, 0, 2)
         aggs += [
             F.min(F.when(v >= low, v)).alias(f"lo{i}"),

@@ -18,17 +18,20 @@ def read_table(
     path: str,
     schema: T.StructType | None = None,
     other_as_lines: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read a table by suffix: CSV with header, JSON array, JSON lines, Parquet.
 
     A schema saves the inference pass over the data. ``other_as_lines`` reads
-    any unknown suffix as JSON lines instead of failing.
+    any unknown suffix as JSON lines instead of failing. ``multi_line`` allows line
+    ends inside quoted CSV cells; a file is then read by a single task, so it is
+    off unless asked for. A JSON array is one document and always is.
     """
     suffix = PurePosixPath(path).suffix.lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix == ".csv":
         return reader.option("header", True).option("escape", '"').option(
-            "multiLine", True
+            "multiLine", multi_line
         ).option("inferSchema", schema is None).csv(path)
     if suffix == ".json":
         return reader.option("multiLine", True).json(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import json_array, json_object
+from corpusmill.functions.text import EXACT_JSON, json_array, json_object
 from corpusmill.schema import CONTENT_COLUMNS, UNIFIED_COLUMNS, UNIFIED_SCHEMA
 
 # Raw names accepted for a unified column, best first.
@@ -53,7 +53,7 @@ def pack_metadata(df: DataFrame) -> DataFrame:
     if not rest:
         packed = F.lit("{}")
     else:
-        packed = F.to_json(F.struct(*[F.col(n) for n in rest]), {"ignoreNullFields": "false"})
+        packed = F.to_json(F.struct(*[F.col(f"`{n}`") for n in rest]), EXACT_JSON)
     content = [F.col(name) for name in CONTENT_COLUMNS if name in df.columns]
     return df.select(*content, packed.alias("metadata"))
 
@@ -86,8 +86,9 @@ def merge_sources(spark: SparkSession, frames: Sequence[DataFrame]) -> DataFrame
 def restore_nested(df: DataFrame, reference: T.StructType) -> DataFrame:
     """Give text cells back the nested type or timestamp they had in ``reference``.
 
-    A cell that does not parse to its type becomes null; its text is kept in
-    ``<column>_text`` for nested columns, so no content is lost.
+    A cell that does not parse to its type becomes null. For nested columns the
+    text is kept in ``<column>_text`` whenever a part of it is not in the restored
+    cell: no JSON, a member of another type, or a member that the type lacks.
     """
     changed = {}
     for field in reference:
@@ -98,9 +99,16 @@ def restore_nested(df: DataFrame, reference: T.StructType) -> DataFrame:
             document = (
                 json_array(cell) if isinstance(field.dataType, T.ArrayType) else json_object(cell)
             )
-            parsed = F.from_json(document, field.dataType)
-            changed[field.name] = parsed
-            changed[f"{field.name}_text"] = F.when(document.isNull(), cell)
+            # Spark reports a cell that lost a member only through the corrupt-record column.
+            wrapped = F.concat(F.lit('{"v":'), document, F.lit("}"))
+            shape = T.StructType([T.StructField("v", field.dataType), T.StructField("lost", T.StringType())])
+            read = F.from_json(wrapped, shape, {"columnNameOfCorruptRecord": "lost"})
+            lost = read["v"].isNull() | read["lost"].isNotNull()
+            if isinstance(field.dataType, T.StructType):
+                known = F.array(*[F.lit(f.name) for f in field.dataType])
+                lost = lost | (F.size(F.array_except(F.json_object_keys(document), known)) > 0)
+            changed[field.name] = read["v"]
+            changed[f"{field.name}_text"] = F.when(F.coalesce(lost, F.lit(True)), cell)
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             changed[field.name] = F.try_to_timestamp(cell)
     return df.withColumns(changed) if changed else df
