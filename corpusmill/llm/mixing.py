@@ -111,7 +111,7 @@ def balance(rows: DataFrame, targets: DataFrame, moments: Sequence[str], cap: fl
     """
     size = F.col("__size").cast("double")
     d = 1 + len(moments)
-    means = rows.groupBy("__s").agg(*[(F.sum(size * F.col(m)) / F.sum(size)).alias(f"__{m}") for m in moments], F.count(F.lit(1)).alias("__n"))
+    means = rows.groupBy("__s").agg(*[F.try_divide(F.sum(size * F.col(m)), F.sum(size)).alias(f"__{m}") for m in moments], F.count(F.lit(1)).alias("__n"))
     centred = join_small(rows, means, "__s").select(
         "__s", "__size", *[F.coalesce(F.col(m) - F.col(f"__{m}"), F.lit(0.0)).alias(f"x{i}") for i, m in enumerate(moments, 1)]
     )
@@ -192,7 +192,7 @@ def copies_for_weights(
     )
     targets = cut_lineage(source_targets(rows, weights, share, cap))
     tilts = balance(rows, targets, ["__long"], cap)
-    means = rows.groupBy("__s").agg((F.sum(F.col("__size") * F.col("__long")) / F.sum("__size")).alias("__mean"))
+    means = rows.groupBy("__s").agg(F.try_divide(F.sum(F.col("__size") * F.col("__long")), F.sum("__size")).alias("__mean"))
     per_source = cut_lineage(targets.join(tilts, "__s", "left").join(means, "__s"))
     score = F.col("tilt")[0] + F.col("tilt")[1] * (F.col("__long") - F.col("__mean"))
     rate = F.when(F.col("__size") > 0, F.least(F.exp(score), F.lit(cap))).otherwise(0.0)
