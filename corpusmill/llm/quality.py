@@ -12,13 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.llm.base import WordHashes, mixed, query, slices, sql_type, table
-from corpusmill.settings import cut_lineage
+from corpusmill.llm.base import WordHashes, mixed, query, slices, table
 
 WINDOW_WORDS = 8
 SYMBOLS = b"#*$%&|<>"
-# Rows that are fitted on: so many labelled rows with the smallest hash of their key.
+# Rows that are fitted on: about so many labelled rows, chosen by the hash of their key.
 LABELLED_ROWS = 20_000
 MAX_RULES = 12
 MAX_TESTS = 4
@@ -111,23 +111,28 @@ def text_counts(texts: list[bytes], hashes: WordHashes) -> dict[str, np.ndarray]
     return got
 
 
-def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, *COUNTS)``: one row per row; null and empty texts count as 0 words.
+def with_statistics(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """``columns`` of ``docs`` and the counts of its texts (``COUNTS``), one row per row.
 
-    Words are runs without space and ``\\x09-\\x0D``. Repeated rows and null keys stay, other
-    columns are not read.
+    Words are runs without space and ``\\x09-\\x0D``; null and empty texts count as 0 words.
+    Texts are counted whole. Repeated rows stay. A column that has the name of a count is refused.
     """
+    clash = set(columns) & set(COUNTS)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} have the names of counts")
+    chosen = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("__text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for part, texts in slices(batches, 1, as_bytes=True):
+        for part, texts in slices(batches, len(columns), as_bytes=True):
             got = text_counts(texts, hashes)
             yield pa.record_batch(
-                [part.column(0), *(pa.array(got[c], pa.int64()) for c in COUNTS)], [key, *COUNTS]
+                [*(part.column(i) for i in range(len(columns))), *(pa.array(got[c], pa.int64()) for c in COUNTS)],
+                [*columns, *COUNTS],
             )
 
-    counts = ", ".join(f"{c} bigint" for c in COUNTS)
-    return docs.select(key, text).mapInArrow(work, f"`{key}` {sql_type(docs, key)}, {counts}")
+    fields = [*chosen.drop("__text").schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)]
+    return chosen.mapInArrow(work, T.StructType(fields))
 
 
 # ------------------------------------------------------------------------ learning
@@ -218,22 +223,26 @@ def rule_expression(rules: list[list[Test]]) -> Column:
 
 
 def fit_rules(
-    statistics: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality"
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> list[list[Test]]:
-    """Learn from labelled rows (``label`` 0 is bad), ``LABELLED_ROWS`` at most.
+    """Learn from labelled rows (``label`` 0 is bad), about ``LABELLED_ROWS`` at most.
 
-    Rows without label or key are left out; of several labels of one key the worst counts.
+    The hash of the key chooses them, the same in every run. Rows without label or key are left
+    out; of several labels of one key the worst counts.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     known = known.groupBy(key).agg(F.min(label).alias("__label"))
+    share = min(LABELLED_ROWS / max(known.count(), 1), 1.0)
+    chosen = known.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    chosen = chosen.select(F.col(key).alias("__key"), "__label")
+    texts = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("text"))
+    # About LABELLED_ROWS keys.
+    labelled = texts.join(F.broadcast(chosen), "__key")
     values = [F.expr(e).alias(f"__{name}") for name, e in FEATURES.items()]
-    rows = (
-        statistics.select(key, *values)
-        .join(known, key)
-        .orderBy(F.xxhash64(key), key, *(f"__{name}" for name in FEATURES))
-        .limit(LABELLED_ROWS)
-        .toPandas()
-    )
+    rows = with_statistics(labelled, ["__key", "__label"]).select("__key", "__label", *values).toPandas()
+    rows = rows.sort_values(["__key", *(f"__{name}" for name in FEATURES)], kind="stable")
+    # Every third row prunes, so the order must not follow the key.
+    rows = rows.sample(frac=1.0, random_state=0)
     x = rows[[f"__{name}" for name in FEATURES]].to_numpy(dtype=float)
     return learn_list(x, rows["__label"].to_numpy() == 0)
 
@@ -241,19 +250,33 @@ def fit_rules(
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 
+def _verdict(rules: list[list[Test]]) -> list[Column]:
+    rule = rule_expression(rules).cast("int")
+    failed = F.expr(BASE_FAILED)
+    return [failed.alias("base_failed"), rule.alias("rule"), (~failed & (rule == 0)).alias("kept")]
+
+
 def judge(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> DataFrame:
     """``(key, *COUNTS, base_failed, rule, kept)``: one row per row of ``docs``.
 
-    ``rule`` is the number of the first learned rule that rejects the text, 0 if none does. Texts
-    are read once; the slim counts are stored for learning and judging.
+    ``rule`` is the number of the first learned rule that rejects the text, 0 if none does. Null
+    keys and repeated rows stay; without labels no rule is learned and only the base counts.
     """
-    counts = cut_lineage(text_statistics(docs, key, text))
-    rule = rule_expression(fit_rules(counts, labels, key, label))
-    return counts.select(
-        key, *COUNTS, F.expr(BASE_FAILED).alias("base_failed"), rule.cast("int").alias("rule")
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    rules = fit_rules(docs, labels, key, text, label)
+    return with_statistics(docs, [key], text).select(key, *COUNTS, *_verdict(rules))
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns; nothing is shuffled."""
+    rules = fit_rules(docs, labels, key, text, label)
+    columns = docs.columns
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    counted = with_statistics(named, named.columns, f"c{columns.index(text)}").withColumn("kept", _verdict(rules)[2])
+    return counted.where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 @query("op5_quality_rules")
