@@ -3,7 +3,8 @@
 A sketch keeps the smallest hashes of a document's shingles. Inverted lists of runs of retained
 values bring documents together; the union sketch of a pair estimates its similarity, and the
 whole sets decide. Lists never emit all their pairs: every member meets a few leaders, and only
-members that the links so far leave in different components meet each other.
+documents that the links so far leave in different components are compared further, in blocks that
+give back nothing but links.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +30,12 @@ RETAINED = 48
 RUN = 3
 # Of the union's 48 smallest, 38.4 are shared on average at 0.8; 20 is 6.6 deviations below.
 LEAST_SHARED = 20
-# One bit for the smallest hash of each of 256 ranges. At 0.8 about 26 bits differ; 60 is 7
-# deviations above.
+# One bit for the smallest hash of each of 256 ranges. At 0.8 about 26 bits differ at most; 52 is
+# 5.4 deviations above.
 BITS = 256
-MOST_DIFFERENT = 60
+MOST_DIFFERENT = 52
+# Documents of a neighbourhood that are compared in one go.
+BLOCK_ROWS = 512
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(1 << 63)
@@ -176,6 +180,64 @@ def _linked(pairs: DataFrame, classes: DataFrame, whole: DataFrame, percent: int
     return full.where(exact).select("a", "b")
 
 
+def _inside_areas(rows: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between documents of one area and different components.
+
+    ``rows`` holds ``id, area, fine, n, bits, whole``. The largest component of an area is not
+    compared with itself: blocks of all other documents meet blocks of the whole area, and only
+    links leave a block. A document travels once for each block of the other side.
+    """
+    sizes = rows.groupBy("area", "fine").agg(F.count(F.lit(1)).alias("rows"))
+    areas = cut_lineage(
+        sizes.groupBy("area")
+        .agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "fine")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1")
+        .select(
+            "area",
+            F.col("main.fine").alias("main"),
+            F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"),
+            F.ceil((F.col("rows") - F.col("main.rows")) / BLOCK_ROWS).alias("others"),
+        )
+    )
+    open_rows = cut_lineage(rows.join(areas, "area"))
+    every = open_rows.select(
+        "area", "id", "fine", "n", "bits", "whole", F.lit(1).alias("role"),
+        F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"),
+        F.pmod(F.xxhash64("id"), F.col("blocks")).alias("j"),
+    )
+    other = open_rows.where("fine != main").select(
+        "area", "id", "fine", "n", "bits", "whole", F.lit(0).alias("role"),
+        F.pmod(F.xxhash64("id"), F.col("others")).alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"),
+    )
+
+    def meet(block: pd.DataFrame) -> pd.DataFrame:
+        left, right = block[block["role"] == 0], block[block["role"] == 1]
+        links = []
+        if len(left) and len(right):
+            sets = right["whole"].tolist()
+            flat = np.concatenate(sets)
+            starts = np.append(0, np.cumsum([len(x) for x in sets]))
+            bits = np.array(right["bits"].tolist(), dtype=np.int64).view(np.uint64)
+            n, fine, ids = right["n"].to_numpy(), right["fine"].to_numpy(), right["id"].to_numpy()
+            for i, f, m, b, own in zip(left["id"], left["fine"], left["n"], left["bits"], left["whole"]):
+                different = np.bitwise_count(bits ^ np.asarray(b, dtype=np.int64).view(np.uint64)).sum(axis=1)
+                likely = (fine != f) & (different <= MOST_DIFFERENT) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                at = np.flatnonzero(likely)
+                if len(at):
+                    take = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in at.tolist()])
+                    held = np.asarray(own)
+                    spot = np.minimum(np.searchsorted(held, flat[take]), len(held) - 1)
+                    ends = np.append(0, np.cumsum(n[at]))
+                    shared = np.diff(np.append(0, np.cumsum(held[spot] == flat[take]))[ends])
+                    linked = 100 * shared >= percent * (n[at] + m - shared)
+                    links += [(i, j) for j in ids[at[linked]].tolist()]
+        return pd.DataFrame({"a": [x[0] for x in links], "b": [x[1] for x in links]}).astype(block["id"].dtype)
+
+    met = every.union(other).groupBy("area", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}")
+    return cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def near_duplicate_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 2, percent: int = 80
 ) -> DataFrame:
@@ -208,7 +270,7 @@ def near_duplicate_groups(
     look = classes.select("id", "n", "bits")
     pairs = members.select(F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("a"), F.col("id").alias("b"))
     pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = (
+    pairs = cut_lineage(
         pairs.join(_side(look, "a_"), F.col("a") == F.col("a_id"))
         .join(_side(look, "b_"), F.col("b") == F.col("b_id"))
         .where(_near("a_", "b_", percent))
@@ -218,32 +280,40 @@ def near_duplicate_groups(
     whole = cut_lineage(_whole_sets(docs, key, text, wanted, length))
     first = cut_lineage(_linked(pairs, classes, whole, percent))
 
-    # Members of a list that are still in different components meet: those outside the component
-    # of the list's first member with all others.
-    found = cut_lineage(components(first))
+    # Documents that the leaders tie loosely together are one neighbourhood; inside it, documents
+    # of different components are compared block by block.
+    found = cut_lineage(components(first).select("id", F.col("component").alias("fine")))
+    loose = cut_lineage(components(pairs).select("id", F.col("component").alias("area")))
+    inside = _inside_areas(
+        loose.join(found, "id", "left").withColumn("fine", F.coalesce("fine", "id")).join(look, "id").join(whole, "id"),
+        kind,
+        percent,
+    )
+    # What shares a list beyond its neighbourhood is rarely alike; size and bits sort it out
+    # within the join.
     spot = cut_lineage(
         members.select("run", "id", "l0")
         .join(look, "id")
-        .join(found.withColumnRenamed("component", "c"), "id", "left")
-        .join(found.select(F.col("id").alias("l0"), F.col("component").alias("c0")), "l0", "left")
-        .select("run", "id", "n", "bits", F.coalesce("c", "id").alias("c"), F.coalesce("c0", "l0").alias("c0"))
+        .join(loose, "id", "left")
+        .join(loose.select(F.col("id").alias("l0"), F.col("area").alias("area0")), "l0", "left")
+        .select("run", "id", "n", "bits", F.coalesce("area", "id").alias("area"), F.coalesce("area0", "l0").alias("area0"))
     )
-    outside = cut_lineage(spot.where("c != c0"))
+    outside = cut_lineage(spot.where("area != area0"))
     open_runs = spot.join(outside.select("run").distinct(), "run", "left_semi")
     rest = (
         _side(outside, "a_")
         .join(
             _side(cut_lineage(open_runs), "b_"),
             (F.col("a_run") == F.col("b_run"))
-            & (F.col("a_c") != F.col("b_c"))
-            & ((F.col("b_c") == F.col("b_c0")) | (F.col("a_id") < F.col("b_id")))
+            & (F.col("a_area") != F.col("b_area"))
+            & ((F.col("b_area") == F.col("b_area0")) | (F.col("a_id") < F.col("b_id")))
             & _near("a_", "b_", percent),
         )
         .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
         .distinct()
     )
     second = cut_lineage(_linked(rest, classes, whole, percent))
-    groups = cut_lineage(components(first.union(second)))
+    groups = cut_lineage(components(first.union(inside).union(second)))
 
     named = classes.select("digest", F.col("id").alias("first")).join(groups, F.col("first") == F.col("id"), "left")
     named = cut_lineage(named.select("digest", F.coalesce("component", "first").alias("component")))
@@ -257,6 +327,17 @@ def near_duplicate_groups(
     )
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """All columns of ``docs``, one document of each near-duplicate group; repeated rows count once.
+
+    Rows without key have nothing to be chosen by and stay.
+    """
+    kept = near_duplicate_groups(docs, key, text, **options).where("kept")
+    kept = kept.where(F.col(f"`{key}`").isNotNull()).select(key).distinct()
+    chosen = docs.join(kept, key, "left_semi").dropDuplicates([key])
+    return chosen.select(*docs.columns).union(docs.where(F.col(f"`{key}`").isNull()))
+
+
 @query("op4_minhash_groups")
 def _op4(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups(table(spark, folder, "documents"))
