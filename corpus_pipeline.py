@@ -1,31 +1,67 @@
-"""The corpus pipeline: each stage filters, mixes or encodes what its predecessor kept."""
+"""The corpus pipeline: each stage filters, cleans, mixes or encodes what its predecessor kept."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe
+from corpusmill.llm import bpe, minhash, mixing, quality, secretscan
+from corpusmill.llm.base import shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rule nor the learned list rejects."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: two-word shingles, similarity 0.8."""
+    return minhash.one_of_each(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a mark in place of every secret; ``n_chars`` follows."""
+    return secretscan.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Digests of the token ids of every document and of the text they decode to."""
     tokens, pattern = bpe.public_vocabulary()
     return bpe.round_trip(docs, tokens, pattern)
 
 
-STAGES: list[tuple[str, Stage]] = [("bpe", encode_bpe)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", keep_quality),
+    ("near duplicates", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("source mix", mix_sources),
+    ("byte-level BPE", encode_bpe),
+]
 
-# The learned stages have no SQL.
+# Learned rules and merge ranks have no SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Rows of the last stage over ``documents``.
+
+    Every stage is written to the shared folder and read again, so that no stage is computed twice
+    and a lost executor costs tasks of one stage only.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
