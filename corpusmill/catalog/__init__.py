@@ -1,6 +1,6 @@
 """Every operator as a query over the given tables."""
 
-from corpusmill.catalog import collect, learn, quality  # noqa: F401
+from corpusmill.catalog import collect, edges, learn, quality  # noqa: F401
 from corpusmill.catalog.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

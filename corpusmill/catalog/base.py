@@ -47,11 +47,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table with long texts. One in fewer files than cores is spread over the cores;
-    a table of many files is read as it lies."""
+    """A table with long texts, read as it lies.
+
+    A session on one machine may ask with ``spark.corpusmill.spread`` for so many partitions, since
+    a test table is a single file of one row group; a cluster leaves that unset.
+    """
     df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    spread = spark.conf.get("spark.corpusmill.spread", None)
+    return df.repartition(int(spread)) if spread else df
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,10 +31,9 @@ COLLECTED = "2024-01-01T00:00:00+00:00"
 # ------------------------------------------------------------------------------ sources
 
 
-@query("limit_source", "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 55")
+@query("limit_source", "SELECT doc_id, text, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 55")
 def _(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
-    return tb.limit_source(rows, "doc_id", 55)
+    return tb.limit_source(table(spark, folder, "documents"), "doc_id", 55)
 
 
 @query(
@@ -622,11 +621,11 @@ def _(spark, folder):
 
 @query(
     "preview",
-    "SELECT doc_id, json_object('doc_id', doc_id, 'lang', lang, 'source', source, 'n_chars', n_chars)::VARCHAR "
+    "SELECT doc_id, json_object('doc_id', doc_id, 'text', text, 'lang', lang, 'source', source, 'n_chars', n_chars)::VARCHAR "
     "AS record FROM documents ORDER BY doc_id LIMIT 3",
 )
 def _(spark, folder):
-    return pf.preview(table(spark, folder, "documents").drop("text"), "doc_id")
+    return pf.preview(table(spark, folder, "documents"), "doc_id")
 
 
 @query(

@@ -160,7 +160,6 @@ def enrich_queries(
     target: str,
     features: Sequence[str],
     score: str = "score",
-    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """The full table with score, rank and selection of the queried rows."""
     slim = batch.select(

@@ -29,6 +29,7 @@ def local_session(
         builder = builder.config(name, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.corpusmill.spread", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
