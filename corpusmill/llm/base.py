@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.settings import cut_lineage
+from corpusmill.settings import checkpoint_folder, cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +19,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 # Texts are handled in slices of about this many bytes, whatever an Arrow batch holds.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -74,22 +73,54 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept for words seen before; bounded by ``limit`` words."""
+# A word's hash is the sum of a random number per byte times a power of an odd number per place, so
+# that running sums over a whole slice give the hashes of all its words.
+_BASE = np.uint64(0xD6E8FEB86659FD95)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FOLDED = _BYTES.copy()
+_FOLDED[65:91] = _BYTES[97:123]
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_PART = 2_000_000
+_POWERS: dict[str, np.ndarray] = {}
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = value
-        return value
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept between slices."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, number in (("up", _BASE), ("down", _INVERSE)):
+            steps = np.full(n, number, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.multiply.accumulate(steps)
+    return _POWERS["up"], _POWERS["down"]
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+def hashed_words(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, and how many words each text has.
+
+    Words are runs without space and ``\\x09-\\x0D``; ``fold`` takes A-Z as a-z.
+    """
+    raw = np.frombuffer(b"\n".join([b"", *texts, b""]), dtype=np.uint8)
+    inside = ~_SPACE[raw]
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    ends = np.flatnonzero(~inside[1:] & inside[:-1]) + 1
+    bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    counts = np.diff(np.searchsorted(starts, bounds))
+    hashes = np.zeros(len(starts), dtype=np.uint64)
+    numbers = _FOLDED if fold else _BYTES
+    first = 0
+    while first < len(starts):
+        # Whole words of about _PART bytes, at least one.
+        last = max(int(np.searchsorted(ends, starts[first] + _PART, side="right")), first + 1)
+        low, high = int(starts[first]), int(ends[last - 1])
+        up, down = _powers(max(high - low, _PART))
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum(numbers[raw[low:high]] * up[: high - low], out=sums[1:])
+        at, to = starts[first:last] - low, ends[first:last] - low
+        hashes[first:last] = mixed((sums[to] - sums[at]) * down[at] + (to - at).astype(np.uint64) * _BASE)
+        first = last
+    return hashes, counts
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -102,16 +133,11 @@ def settled(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     # The plan that has run holds its shuffles.
     del df
-    for _ in range(2):
-        gc.collect()
-        context._jvm.System.gc()
-        time.sleep(0.2)
+    gc.collect()
+    context._jvm.System.gc()
     return done
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one in ``spark.checkpoint.dir``."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir names no shared folder")
-    return str(folder).rstrip("/")
+    return checkpoint_folder(spark).rstrip("/")

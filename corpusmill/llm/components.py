@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.settings import cut_lineage
+from corpusmill.llm.base import settled
 
 
 def _least(sides: DataFrame) -> DataFrame:
     """Per node the smallest of itself and its neighbours, stored so that joins on it are plain."""
     least = sides.groupBy("u").agg(F.min("v").alias("m"))
-    return cut_lineage(least.select("u", F.least("u", "m").alias("m")))
+    return settled(least.select("u", F.least("u", "m").alias("m")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large and small stars: each step hangs neighbours on the smallest node around and
     keeps the links connected, until only stars are left. Links of a hub stay spread over tasks.
     """
-    links = cut_lineage(
+    links = settled(
         links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("v < u").distinct()
     )
     told = None
@@ -28,12 +28,12 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of u hangs on u's smallest.
         both = links.union(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
         large = both.join(_least(both), "u").where("v > u").select(F.col("m").alias("v"), F.col("v").alias("u"))
-        large = cut_lineage(large.where("v < u").distinct())
+        large = settled(large.where("v < u").distinct())
         # Small star: u and its smaller neighbours hang on the smallest of them.
         least = _least(large)
         small = large.join(least, "u").select(F.col("m").alias("v"), F.col("v").alias("u"))
         small = small.union(least.select(F.col("m").alias("v"), "u"))
-        links = cut_lineage(small.where("v < u").distinct())
+        links = settled(small.where("v < u").distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == told:
             break

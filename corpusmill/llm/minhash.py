@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.base import WordHashes, mixed, query, slices, sql_type, table
+from corpusmill.llm.base import hashed_words, mixed, query, settled, slices, sql_type, table
 from corpusmill.llm.components import components
-from corpusmill.settings import cut_lineage
 
 # 48 retained values; a list belongs to three values that follow each other. At similarity 0.8
 # four of five neighbours in the union agree, so two documents miss all 46 lists with a chance
@@ -79,11 +78,9 @@ def _lists(cells: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *cells])))
 
 
-def _sets(texts: list[bytes], hashes: WordHashes, length: int) -> list[np.ndarray]:
-    words = [t.lower().split() for t in texts]
-    flat = hashes.of([w for ws in words for w in ws])
-    ends = np.cumsum([len(w) for w in words])
-    return [shingle_set(w, length) for w in np.split(flat, ends[:-1])]
+def _sets(texts: list[bytes], length: int) -> list[np.ndarray]:
+    flat, counts = hashed_words(texts, fold=True)
+    return [shingle_set(w, length) for w in np.split(flat, np.cumsum(counts)[:-1])]
 
 
 def _digest(values: np.ndarray) -> bytes:
@@ -94,9 +91,8 @@ def sketches(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """``(id, n, digest, bits, retained)`` per row: set size, digest of the whole set, sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part, texts in slices(batches, 1, as_bytes=True):
-            sets = _sets(texts, hashes, length)
+            sets = _sets(texts, length)
             yield pa.record_batch(
                 [
                     part.column(0),
@@ -136,9 +132,8 @@ def _whole_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, length:
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part, cells in slices(batches, 2, as_bytes=True):
-            sets = _sets(cells, hashes, length)
+            sets = _sets(cells, length)
             # Rows that share a key with the wanted one but not the text fall out here.
             right = [i for i, (s, d) in enumerate(zip(sets, part.column(1).to_pylist())) if _digest(s) == d]
             yield pa.record_batch(
@@ -171,7 +166,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, whole: DataFrame, percent: int
     union = F.slice(F.array_sort(F.array_union("a_retained", "b_retained")), 1, RETAINED)
     shared = F.array_intersect("a_retained", "b_retained")
     likely = RETAINED * F.size(F.array_intersect(union, shared)) >= LEAST_SHARED * F.size(union)
-    likely_pairs = cut_lineage(sketched.where(likely).select("a", "b"))
+    likely_pairs = settled(sketched.where(likely).select("a", "b"))
     full = likely_pairs.join(_side(whole, "a_"), F.col("a") == F.col("a_id")).join(
         _side(whole, "b_"), F.col("b") == F.col("b_id")
     )
@@ -188,7 +183,7 @@ def _inside_areas(rows: DataFrame, kind: str, percent: int) -> DataFrame:
     links leave a block. A document travels once for each block of the other side.
     """
     sizes = rows.groupBy("area", "fine").agg(F.count(F.lit(1)).alias("rows"))
-    areas = cut_lineage(
+    areas = settled(
         sizes.groupBy("area")
         .agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "fine")).alias("main"), F.count(F.lit(1)).alias("parts"))
         .where("parts > 1")
@@ -199,7 +194,7 @@ def _inside_areas(rows: DataFrame, kind: str, percent: int) -> DataFrame:
             F.ceil((F.col("rows") - F.col("main.rows")) / BLOCK_ROWS).alias("others"),
         )
     )
-    open_rows = cut_lineage(rows.join(areas, "area"))
+    open_rows = settled(rows.join(areas, "area"))
     every = open_rows.select(
         "area", "id", "fine", "n", "bits", "whole", F.lit(1).alias("role"),
         F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"),
@@ -235,7 +230,7 @@ def _inside_areas(rows: DataFrame, kind: str, percent: int) -> DataFrame:
         return pd.DataFrame({"a": [x[0] for x in links], "b": [x[1] for x in links]}).astype(block["id"].dtype)
 
     met = every.union(other).groupBy("area", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}")
-    return cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return settled(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_duplicate_groups(
@@ -250,40 +245,40 @@ def near_duplicate_groups(
     component of its copies, null when no copy has a key; it is kept only in that case.
     """
     kind = sql_type(docs, key)
-    signed = cut_lineage(sketches(docs, key, text, length))
+    signed = settled(sketches(docs, key, text, length))
     # Equal sets are one class with the smallest key; a third of all rows may be copies, and the
     # map side folds them.
-    classes = cut_lineage(
+    classes = settled(
         signed.where("n > 0 AND id IS NOT NULL")
         .groupBy("digest")
         .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("retained").alias("retained"))
     )
     postings = _postings(classes, kind)
     # Three leaders for each list of two or more.
-    leads = cut_lineage(
+    leads = settled(
         postings.groupBy("run")
         .agg(F.min("id").alias("l0"), F.max("id").alias("l1"), F.min(F.struct(F.xxhash64("id"), "id")).alias("l2"))
         .where("l0 < l1")
         .select("run", "l0", "l1", F.col("l2.id").alias("l2"))
     )
-    members = cut_lineage(postings.join(leads, "run"))
+    members = settled(postings.join(leads, "run"))
     look = classes.select("id", "n", "bits")
     pairs = members.select(F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("a"), F.col("id").alias("b"))
     pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut_lineage(
+    pairs = settled(
         pairs.join(_side(look, "a_"), F.col("a") == F.col("a_id"))
         .join(_side(look, "b_"), F.col("b") == F.col("b_id"))
         .where(_near("a_", "b_", percent))
         .select("a", "b")
     )
     wanted = members.select("id").distinct().join(classes.select("id", "digest"), "id")
-    whole = cut_lineage(_whole_sets(docs, key, text, wanted, length))
-    first = cut_lineage(_linked(pairs, classes, whole, percent))
+    whole = settled(_whole_sets(docs, key, text, wanted, length))
+    first = settled(_linked(pairs, classes, whole, percent))
 
     # Documents that the leaders tie loosely together are one neighbourhood; inside it, documents
     # of different components are compared block by block.
-    found = cut_lineage(components(first).select("id", F.col("component").alias("fine")))
-    loose = cut_lineage(components(pairs).select("id", F.col("component").alias("area")))
+    found = settled(components(first).select("id", F.col("component").alias("fine")))
+    loose = settled(components(pairs).select("id", F.col("component").alias("area")))
     inside = _inside_areas(
         loose.join(found, "id", "left").withColumn("fine", F.coalesce("fine", "id")).join(look, "id").join(whole, "id"),
         kind,
@@ -291,19 +286,19 @@ def near_duplicate_groups(
     )
     # What shares a list beyond its neighbourhood is rarely alike; size and bits sort it out
     # within the join.
-    spot = cut_lineage(
+    spot = settled(
         members.select("run", "id", "l0")
         .join(look, "id")
         .join(loose, "id", "left")
         .join(loose.select(F.col("id").alias("l0"), F.col("area").alias("area0")), "l0", "left")
         .select("run", "id", "n", "bits", F.coalesce("area", "id").alias("area"), F.coalesce("area0", "l0").alias("area0"))
     )
-    outside = cut_lineage(spot.where("area != area0"))
+    outside = settled(spot.where("area != area0"))
     open_runs = spot.join(outside.select("run").distinct(), "run", "left_semi")
     rest = (
         _side(outside, "a_")
         .join(
-            _side(cut_lineage(open_runs), "b_"),
+            _side(settled(open_runs), "b_"),
             (F.col("a_run") == F.col("b_run"))
             & (F.col("a_area") != F.col("b_area"))
             & ((F.col("b_area") == F.col("b_area0")) | (F.col("a_id") < F.col("b_id")))
@@ -312,11 +307,11 @@ def near_duplicate_groups(
         .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
         .distinct()
     )
-    second = cut_lineage(_linked(rest, classes, whole, percent))
-    groups = cut_lineage(components(first.union(inside).union(second)))
+    second = settled(_linked(rest, classes, whole, percent))
+    groups = settled(components(first.union(inside).union(second)))
 
     named = classes.select("digest", F.col("id").alias("first")).join(groups, F.col("first") == F.col("id"), "left")
-    named = cut_lineage(named.select("digest", F.coalesce("component", "first").alias("component")))
+    named = settled(named.select("digest", F.coalesce("component", "first").alias("component")))
     joined = signed.select("id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return joined.select(
