@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.base import WordHashes, mixed, query, slices, table
+from corpusmill.llm.base import hashed_words, mixed, query, slices, table
 
 WINDOW_WORDS = 8
 SYMBOLS = b"#*$%&|<>"
@@ -72,7 +72,7 @@ def _lines(text: bytes) -> tuple[int, int]:
     return total, repeated
 
 
-def text_counts(texts: list[bytes], hashes: WordHashes) -> dict[str, np.ndarray]:
+def text_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     """The counts of ``COUNTS`` for every text, whole."""
     ends = np.append(0, np.cumsum([len(t) for t in texts]))
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -83,10 +83,8 @@ def text_counts(texts: list[bytes], hashes: WordHashes) -> dict[str, np.ndarray]
 
     got = {name: per_text(known[raw], ends) for name, known in _CLASSES.items()}
     got["word_chars"] = np.diff(ends) - got.pop("continued") - got.pop("space")
-    words = [t.split() for t in texts]
-    n = np.array([len(w) for w in words], dtype=np.int64)
+    flat, n = hashed_words(texts)
     bounds = np.append(0, np.cumsum(n))
-    flat = hashes.of([w for ws in words for w in ws])
     owner = np.repeat(np.arange(len(texts)), n)
     covered = np.zeros(len(flat) + 1, dtype=np.int64)
     count = len(flat) - WINDOW_WORDS + 1
@@ -123,9 +121,8 @@ def with_statistics(docs: DataFrame, columns: list[str], text: str = "text") ->
     chosen = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("__text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part, texts in slices(batches, len(columns), as_bytes=True):
-            got = text_counts(texts, hashes)
+            got = text_counts(texts)
             yield pa.record_batch(
                 [*(part.column(i) for i in range(len(columns))), *(pa.array(got[c], pa.int64()) for c in COUNTS)],
                 [*columns, *COUNTS],
