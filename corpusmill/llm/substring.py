@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.base import WordHashes, mixed, query, settled, slices, sql_type, table
+from corpusmill.llm.base import hashed_words, mixed, query, settled, slices, sql_type, table
 
 WINDOW_WORDS = 13
 BLOCK_WORDS = 5
@@ -37,10 +37,8 @@ def _runs(words: np.ndarray, span: int) -> np.ndarray:
 class Windows:
     """Windows of a slice of texts: hash, owner and block of each, in order."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes, window: int):
-        self.words = [t.split() for t in texts]
-        self.counts = np.array([len(w) for w in self.words], dtype=np.int64)
-        flat = hashes.of([w for ws in self.words for w in ws])
+    def __init__(self, texts: list[bytes], window: int):
+        flat, self.counts = hashed_words(texts)
         runs = _runs(flat, window)
         owner = np.repeat(np.arange(len(texts)), self.counts)
         inside = np.flatnonzero(owner[: len(runs)] == owner[len(owner) - len(runs) :])
@@ -68,9 +66,8 @@ def _blocks(docs: DataFrame, kind: str, window: int) -> DataFrame:
     """``(block, id)``, once per row and block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part, texts in slices(batches, 1, as_bytes=True):
-            found = Windows(texts, hashes, window)
+            found = Windows(texts, window)
             owner, block = _distinct(found.owner, found.block)
             yield pa.record_batch(
                 [pa.array(block.view(np.int64)), part.column(0).take(pa.array(owner))], ["block", "id"]
@@ -82,9 +79,8 @@ def _candidates(listed: DataFrame, kind: str, window: int) -> DataFrame:
     """``(run, id)`` of windows whose block is in the list of their document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part, texts in slices(batches, 1, as_bytes=True):
-            found = Windows(texts, hashes, window)
+            found = Windows(texts, window)
             lists = part.column(2)
             counts = lists.value_lengths().to_numpy(zero_copy_only=False)
             index = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -159,14 +155,13 @@ def remove_repeats(
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
 
         for part, cells in slices(batches, 1, as_bytes=True):
-            texts = Windows(cells, hashes, window)
+            texts = Windows(cells, window)
             bounds = np.searchsorted(texts.owner, np.arange(len(cells) + 1))
             runs, firsts = part.column(2), part.column(3)
             removed, kept, spans, names = [], [], [], []
-            for i, words in enumerate(texts.words):
+            for i, words in enumerate(t.split() for t in cells):
                 factors = []
                 if runs[i].is_valid:
                     held = runs[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
