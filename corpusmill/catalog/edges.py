@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from corpusmill.catalog.base import query, table
+from corpusmill.catalog.base import DOCS, docs, query, table
 from corpusmill.catalog.collect import _box_sql
 from corpusmill.catalog.quality import _bounds_sql, _zscore_sql, fence_sql
 from corpusmill.functions import text as fx
@@ -104,6 +106,31 @@ def _(spark, folder):
     )
 
 
+def _by_language(payloads):
+    return [f'{{"answer": "{json.loads(p)["lang"]}"}}' for p in payloads]
+
+
+def _by_length(payloads):
+    """Agrees on texts of even length."""
+    rows = map(json.loads, payloads)
+    return [{"answer": r["lang"] if r["n_chars"] % 2 == 0 else "unsure"} for r in rows]
+
+
+@query(
+    "auto_label",
+    f"WITH {DOCS} SELECT doc_id, label, '{{\"answer\": \"' || lang || '\"}}' AS annotation_raw_response_1, "
+    "CASE WHEN n_chars % 2 = 0 THEN lang END AS annotation_label, n_chars % 2 <> 0 AS annotation_needs_review, "
+    "CAST(n_chars % 2 = 0 AS INT)::DOUBLE AS annotation_confidence FROM docs",
+)
+def _(spark, folder):
+    """Two passes over the whole table; the given quality label stays."""
+    done = an.auto_label(docs(spark, folder), "doc_id", _by_language, _by_length, columns=["lang", "n_chars"])
+    return done.select(
+        "doc_id", "label", "annotation_raw_response_1", "annotation_label",
+        "annotation_needs_review", "annotation_confidence",
+    )
+
+
 @query("read_table", "SELECT * FROM customer")
 def _(spark, folder):
     return tb.read_table(spark, f"{folder}/customer.parquet")
