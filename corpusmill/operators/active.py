@@ -28,6 +28,13 @@ TEXT_HINTS = [
     "title",
 ]
 
+# How columns are scored as features.
+PROMPT_WORD_SCORE = 3.0
+HINT_SCORE = 4.0
+LENGTH_UNIT, LENGTH_SCORE = 80.0, 4.0
+LEAST_SCORE, NEAR_BEST = 3.0, 1.5
+TEXT_LENGTH = 8
+
 BATCH_SIZE = 20
 TEST_SIZE = 0.25
 SEED = 13
@@ -77,10 +84,10 @@ def infer_features(df: DataFrame, prompt: str, key: str, most: int = 3) -> DataF
         first = df.where(F.col(name).isNotNull()).orderBy(key).select(name).limit(10)
         lengths = with_scalar(lengths, f"f{i}", first.agg(F.avg(F.length(name)).alias("m")))
         words = set(re.findall(SCORE_TOKEN, name.lower()))
-        fixed = 3.0 * len(asked & words) + (4.0 if name.lower() in TEXT_HINTS else 0.0)
-        score = F.lit(fixed) + F.least(F.col(f"a{i}") / 80.0, F.lit(4.0))
+        fixed = PROMPT_WORD_SCORE * len(asked & words) + HINT_SCORE * (name.lower() in TEXT_HINTS)
+        score = F.lit(fixed) + F.least(F.col(f"a{i}") / LENGTH_UNIT, F.lit(LENGTH_SCORE))
         cells.append(
-            F.when(F.col(f"f{i}") >= 8, F.struct(F.lit(name).alias("column"), score.alias("score")))
+            F.when(F.col(f"f{i}") >= TEXT_LENGTH, F.struct(F.lit(name).alias("column"), score.alias("score")))
         )
     if not cells:
         return df.sparkSession.createDataFrame([], "column string, score double, selected boolean")
@@ -88,7 +95,7 @@ def infer_features(df: DataFrame, prompt: str, key: str, most: int = 3) -> DataF
         F.array_sort(F.transform(F.array_compact(F.array(*cells)), lambda c: F.struct(c["score"], c["column"])))
     )
     rows = lengths.select(ranked.alias("r")).where(F.size("r") > 0)
-    near = F.greatest(F.lit(3.0), F.col("r")[0]["score"] - 1.5)
+    near = F.greatest(F.lit(LEAST_SCORE), F.col("r")[0]["score"] - NEAR_BEST)
     return rows.select(near.alias("near"), F.posexplode("r").alias("p", "c")).select(
         "c.column",
         "c.score",
