@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -123,18 +124,23 @@ def hashed_words(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np
     return hashes, counts
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, wait: bool = False) -> DataFrame:
     """Cut the lineage of ``df`` and let Spark's cleaner drop the shuffle files behind it.
 
     The cleaner frees what the driver's collector finds unreachable; asking for a collection after
     a large stage keeps the disks of the executors from holding the shuffles of all stages at once.
+    With ``wait`` the files of ``df`` itself go too: the session lets go of a job when the next one
+    ends, and Python hands its references over within a second.
     """
     done = cut_lineage(df)
-    context = df.sparkSession.sparkContext
+    session = df.sparkSession
     # The plan that has run holds its shuffles.
     del df
     gc.collect()
-    context._jvm.System.gc()
+    if wait:
+        session.range(1, numPartitions=1).checkpoint()
+        time.sleep(1.2)
+    session.sparkContext._jvm.System.gc()
     return done
 
 

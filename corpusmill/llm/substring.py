@@ -84,8 +84,9 @@ def _candidates(listed: DataFrame, kind: str, window: int) -> DataFrame:
             lists = part.column(2)
             counts = lists.value_lengths().to_numpy(zero_copy_only=False)
             index = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            # The index is that of the whole slice; a chance match only adds a look-up.
-            known = np.isin(found.block, index) if counts.sum() else np.zeros(len(found.block), dtype=bool)
+            # A document is asked for the blocks of its own list.
+            listed = mixed(index + mixed(np.repeat(np.arange(len(counts), dtype=np.uint64), counts)))
+            known = np.isin(mixed(found.block + mixed(found.owner.astype(np.uint64))), listed)
             owner, run = _distinct(found.owner[known], found.run[known])
             yield pa.record_batch(
                 [pa.array(run.view(np.int64)), part.column(0).take(pa.array(owner))], ["run", "id"]
@@ -120,21 +121,24 @@ def repeated_windows(docs: DataFrame, key: str, text: str, window: int = WINDOW_
         blocks.groupBy("block")
         .agg(F.min("id").alias("low"), F.max("id").alias("high"))
         .where("low < high")
-        .select("block")
+        .select("block"),
+        wait=True,
     )
-    lists = settled(blocks.join(index, "block").groupBy("id").agg(F.collect_set("block").alias("list")))
+    lists = settled(blocks.join(index, "block").groupBy("id").agg(F.collect_set("block").alias("list")), wait=True)
     windows = _candidates(texts.join(lists, "id").select("id", "text", "list"), kind, window)
     earliest = settled(
         windows.groupBy("run")
         .agg(F.min("id").alias("first"), F.max("id").alias("last"))
         .where("first < last")
-        .select("run", "first")
+        .select("run", "first"),
+        wait=True,
     )
     later = windows.join(earliest, "run").where("first < id")
     return settled(
         later.groupBy("id")
         .agg(F.collect_set(F.struct("run", "first")).alias("found"))
-        .select("id", F.col("found.run").alias("runs"), F.col("found.first").alias("firsts"))
+        .select("id", F.col("found.run").alias("runs"), F.col("found.first").alias("firsts")),
+        wait=True,
     )
 
 def remove_repeats(
