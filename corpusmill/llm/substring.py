@@ -48,7 +48,8 @@ class Windows:
         wanted = window - BLOCK_WORDS + 1
         while width < wanted:
             step = min(width, wanted - width)
-            least = np.minimum(least[: len(least) - step], least[step:])
+            # Fewer words than a window leave fewer blocks than a step.
+            least = np.minimum(least[: max(len(least) - step, 0)], least[step:])
             width += step
         self.run, self.owner, self.block = runs[inside], owner[inside], least[inside] if len(inside) else runs[inside]
         # Number of the window's first word in its text.

@@ -308,6 +308,18 @@ def test_repeats_in_odd_rows(spark):
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_windows_of_every_short_length():
+    for n in range(15):
+        found = substring.Windows([" ".join(f"w{i}" for i in range(n)).encode()], 13)
+        assert len(found.run) == len(found.block) == len(found.owner) == max(n - 12, 0)
+        assert found.start.tolist() == list(range(max(n - 12, 0)))
+
+
+def test_repeats_in_a_table_of_ten_words(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h i j")], "doc_id long, text string").coalesce(1)
+    assert [(r.n_words, r.n_removed) for r in substring.remove_repeats(df).collect()] == [(10, 0)]
+
+
 def test_repeats_as_sql_says(spark):
     query = "op1_rlz_spans"
     assert oracle.difference(QUERIES[query](spark, FOLDER), oracle.connect(FOLDER), ORACLE[query]) is None
