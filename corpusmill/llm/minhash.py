@@ -23,10 +23,14 @@ from corpusmill.llm.components import components
 
 # 48 retained values; a list belongs to three values that follow each other. At similarity 0.8
 # four of five neighbours in the union agree, so two documents miss all 46 lists with a chance
-# below one in a million. A set of up to 48 shingles is retained whole: with one value in five
-# unshared, some three shared values stay together, or the whole set is a run of one or two.
+# below one in a million. Two sets with a union of up to 48 shingles are retained whole: with one
+# value in five unshared, some three shared values stay together, or the sets are equal. The only
+# exception is a union of five whose third value is the unshared one; sets of four and five values
+# therefore post runs of two as well, since two neighbours on one side are always shared.
 RETAINED = 48
 RUN = 3
+SHORT_RUN = 2
+SHORT_SETS = (4, 5)
 # Of the union's 48 smallest, 38.4 are shared on average at 0.8; 20 is 6.6 deviations below.
 LEAST_SHARED = 20
 # One bit for the smallest hash of each of 256 ranges. At 0.8 about 26 bits differ at most; 52 is
@@ -59,12 +63,21 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def _keys(values: np.ndarray, span: int, mark: int) -> np.ndarray:
+    """A key for every run of ``span`` values; runs of different marks never meet."""
+    keys = np.full(len(values) - span + 1, mark, dtype=np.uint64)
+    for step in range(span):
+        keys = mixed(keys * _C + values[step : step + len(keys)])
+    return keys
+
+
 def _runs(values: np.ndarray) -> np.ndarray:
     """Keys of the inverted lists of a sketch."""
     span = min(RUN, len(values))
-    keys = np.full(len(values) - span + 1, span, dtype=np.uint64)
-    for step in range(span):
-        keys = mixed(keys * _C + values[step : step + len(keys)])
+    keys = _keys(values, span, span)
+    if len(values) in SHORT_SETS:
+        # The mark keeps whole sets of two out of these lists.
+        keys = np.append(keys, _keys(values, SHORT_RUN, RUN + SHORT_RUN))
     return keys
 
 

@@ -78,6 +78,36 @@ def test_groups_of_templates_chains_and_short_texts(spark):
     check_groups(spark, docs)
 
 
+def test_short_texts_at_the_threshold_share_a_list():
+    rng = random.Random(3)
+    for _ in range(2000):
+        words = [f"s{rng.randrange(10**6)}" for _ in range(6)]
+        a, b = minhash._sets([" ".join(words).encode(), " ".join(words[:5]).encode()], 2)
+        assert (len(a), len(b)) == (5, 4)
+        assert len(np.intersect1d(minhash._runs(a), minhash._runs(b)))
+
+
+def test_unions_up_to_the_sketch_share_a_list_at_the_threshold():
+    rng = np.random.default_rng(6)
+    for size in range(5, minhash.RETAINED + 1):
+        union = np.unique(rng.integers(1, 1 << 63, size, dtype=np.uint64))
+        for _ in range(400):
+            lost = rng.permutation(size)[: size // 5]
+            side = rng.random(len(lost)) < 0.5
+            a, b = np.delete(union, lost[side]), np.delete(union, lost[~side])
+            assert len(np.intersect1d(minhash._runs(a), minhash._runs(b)))
+
+
+def test_groups_of_five_and_six_words(spark):
+    rng = random.Random(12)
+    docs = []
+    for i in range(120):
+        words = [f"s{i}x{j}" for j in range(6)]
+        texts = [words, words[:5], words[1:], [*words[:5], "end"]]
+        docs += [(len(docs) + j, " ".join(t)) for j, t in enumerate(texts[: rng.randrange(2, 5)])]
+    check_groups(spark, docs)
+
+
 def test_large_group_below_the_threshold_makes_no_pairs(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(120)]
