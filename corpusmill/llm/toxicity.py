@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.base import query, slices, sql_type, table
-from corpusmill.settings import cut_lineage
+from corpusmill.settings import cut_lineage, join_small
 
-# Rows that are fitted on, about so many of each; all other passes cover every row.
+# Rows whose levels the driver fits on, about so many of each; all other passes, the document
+# frequencies too, cover every row.
 POSITIVES = 5_000
 UNLABELLED = 20_000
 FEATURES = 4_096
@@ -164,39 +165,45 @@ def _below(key: Column, seed: int, share: float) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < F.lit(min(int(share * (1 << 40)), 1 << 40))
 
 
-def _frequency(rows: DataFrame, among: np.ndarray | None = None) -> dict[int, int]:
-    """In how many texts each hash is; of all hashes those in ``LEAST_POSITIVES`` texts or more."""
+def _frequency(rows: DataFrame) -> DataFrame:
+    """``(hash, inside, among)``: in how many positives and in how many texts each hash is.
+
+    ``rows`` holds ``text, positive``. A task hands over each hash of a slice once.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon()
-        for _, texts in slices(batches, 0):
+        for part, texts in slices(batches, 0):
             at, counts = lexicon.rows(texts)
             own = [np.unique(h) for h in np.split(lexicon.table[at], np.cumsum(counts)[:-1])]
-            hashes, often = np.unique(np.concatenate(own), return_counts=True)
-            keep = hashes > 0 if among is None else np.isin(hashes, among)
+            positive = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), [len(h) for h in own])
+            hashes, place = np.unique(np.concatenate(own), return_inverse=True)
+            among = np.bincount(place, minlength=len(hashes))
+            inside = np.bincount(place[positive], minlength=len(hashes))
+            keep = hashes > 0
             yield pa.record_batch(
-                [pa.array(hashes[keep].view(np.int64)), pa.array(often[keep])], ["hash", "often"]
+                [pa.array(hashes[keep].view(np.int64)), pa.array(inside[keep]), pa.array(among[keep])],
+                ["hash", "inside", "among"],
             )
 
-    counted = rows.select("text").mapInArrow(work, "hash bigint, often bigint")
-    counted = counted.groupBy("hash").agg(F.sum("often").alias("often"))
-    if among is None:
-        counted = counted.where(F.col("often") >= LEAST_POSITIVES)
-    got = counted.toPandas()
-    return dict(zip(got["hash"].to_numpy(np.int64).view(np.uint64).tolist(), got["often"].tolist()))
+    counted = rows.select("text", "positive").mapInArrow(work, "hash bigint, inside bigint, among bigint")
+    return counted.groupBy("hash").agg(F.sum("inside").alias("inside"), F.sum("among").alias("among"))
 
 
-def choose(inside: dict[int, int], n_p: int, among: dict[int, int], n_u: int) -> np.ndarray:
-    """The hashes that are far more frequent among positives than in unlabelled text."""
-    hashes = np.array(sorted(inside), dtype=np.uint64)
-    a = np.array([inside[h] for h in hashes.tolist()], dtype=float)
-    b = np.array([among.get(h, 0) for h in hashes.tolist()], dtype=float)
-    share = np.clip((b + 0.5) / (n_u + 1), 1e-9, 1 - 1e-9)
-    own = np.clip(a / max(n_p, 1), 1e-9, 1 - 1e-9)
-    ratio = 2 * (a * np.log(own / share) + (n_p - a) * np.log((1 - own) / (1 - share)))
-    evidence = np.where(own > share, ratio, 0.0)
-    order = np.lexsort((hashes, -evidence))[:FEATURES]
-    return np.sort(hashes[order[evidence[order] >= LEAST_EVIDENCE]])
+def choose(counted: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """The hashes that are far more frequent among positives than in unlabelled text.
+
+    ``FEATURES`` at most are collected, those of the strongest evidence.
+    """
+    a = F.col("inside").cast("double")
+    inner = lambda c: F.least(F.greatest(c, F.lit(1e-9)), F.lit(1 - 1e-9))
+    found = counted.where(F.col("inside") >= LEAST_POSITIVES).select(
+        "hash", a.alias("a"), inner(a / F.lit(float(n_p))).alias("own"), inner((F.col("among") + 0.5) / F.lit(n_u + 1.0)).alias("share")
+    )
+    ratio = 2 * (F.col("a") * F.log(F.col("own") / F.col("share")) + (n_p - F.col("a")) * F.log((1 - F.col("own")) / (1 - F.col("share"))))
+    found = found.where("own > share").select("hash", ratio.alias("evidence")).where(F.col("evidence") >= LEAST_EVIDENCE)
+    best = found.orderBy(F.desc("evidence"), "hash").limit(FEATURES).toPandas()
+    return np.sort(best["hash"].to_numpy(np.int64).view(np.uint64))
 
 
 def _matrix(rows: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -234,17 +241,19 @@ def fit(
     prior = min(max(toxic / rows, 1e-6), 1 - 1e-6)
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     texts = texts.where(F.col("key").isNotNull() & ~held_out(F.col("key")))
-    chosen = known.where((F.col("__label") == 1) & _below(F.col(key), 1, POSITIVES / toxic))
-    # About POSITIVES keys at most.
-    positive = cut_lineage(texts.join(F.broadcast(chosen.select(F.col(key).alias("key"))), "key", "left_semi"))
-    share = UNLABELLED / max(texts.select("key").count(), 1)
-    unlabelled = cut_lineage(texts.where(_below(F.col("key"), 2, share)))
-    n_p, n_u = positive.count(), unlabelled.count()
+    # Document frequencies cover every positive and every unlabelled text.
+    named = known.where(F.col("__label") == 1).select(F.col(key).alias("key"), F.lit(True).alias("__positive"))
+    marked = join_small(texts, named, "key", "left")
+    marked = marked.select("key", "text", F.coalesce("__positive", F.lit(False)).alias("positive"))
+    n_u, n_p = marked.agg(F.count(F.lit(1)), F.sum(F.col("positive").cast("long"))).first()
     if not n_p or not n_u:
         return nothing
-    inside = _frequency(positive)
-    among = _frequency(unlabelled, np.array(sorted(inside), dtype=np.uint64))
-    hashes = choose(inside, n_p, among, n_u)
+    hashes = choose(_frequency(marked), n_p, n_u)
+    # The fit itself, which runs on the driver, takes bounded samples.
+    positive = cut_lineage(marked.where(F.col("positive") & _below(F.col("key"), 1, POSITIVES / toxic)))
+    unlabelled = cut_lineage(texts.where(_below(F.col("key"), 2, UNLABELLED / n_u)))
+    if positive.isEmpty() or unlabelled.isEmpty():
+        return nothing
     weights, bias = train(_matrix(positive, hashes), _matrix(unlabelled, hashes), len(hashes) * LEVELS, prior)
     return Model(hashes, weights.reshape(-1, LEVELS), bias)
 

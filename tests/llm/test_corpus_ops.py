@@ -238,6 +238,24 @@ def test_toxicity_learns_from_positives_alone(spark):
     assert np.array_equal(model.chosen, again.chosen) and np.allclose(model.weights, again.weights)
 
 
+def test_features_are_counted_over_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSITIVES", 40)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 100)
+    docs, labels = [], []
+    for i in range(3000):
+        toxic = i % 6 == 0
+        rare = f" bozo{i // 6 % 25}" if toxic else ""
+        docs.append((i, f"the text of row {i % 50}" + rare))
+        labels.append((i, int(toxic)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {toxicity._hash(f"bozo{j}") for j in range(25)} <= set(model.chosen.tolist())
+    want = {r[0]: r[1:] for r in toxicity._frequency(df.withColumn("positive", F.col("doc_id") % 6 == 0)).collect()}
+    for j in range(25):
+        both = sum(t.split()[-1] == f"bozo{j}" for _, t in docs)
+        assert want[np.array([toxicity._hash(f"bozo{j}")], np.uint64).view(np.int64)[0]] == (both, both)
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
