@@ -230,16 +230,10 @@ def read_slots(spark: SparkSession, folder: str, first: int = 0) -> DataFrame:
     return files.mapInArrow(work, "slot bigint, shard int, sequence bigint, n_tokens bigint, tokens binary")
 
 
-@query("op8_training_order")
-def _op8(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations in order of turns, written as shards and read back: a row per slot."""
-    tokens, pattern = public_vocabulary()
-    turns = table(spark, folder, "conversations")
-    place = F.struct("conv_id", "turn", "role").alias("place")
-    encoded = encode(turns.select(place, "text"), tokens, pattern, key="place")
-    encoded = encoded.select("place.conv_id", "place.turn", "place.role", "ids")
+def _written_and_read(spark: SparkSession, encoded: DataFrame, order: list[str]) -> DataFrame:
+    """``encoded`` written as shards and read back: a row per slot, with the digest of its tokens."""
     target = f"{shared_folder(spark)}/training-order-{uuid.uuid4().hex}"
-    write_shards(encoded, target, ["conv_id", "turn", "role"])
+    write_shards(encoded, target, order)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,3 +243,22 @@ def _op8(spark: SparkSession, folder: str) -> DataFrame:
     return read_slots(spark, target).mapInArrow(
         digest, "slot bigint, shard int, sequence bigint, n_tokens bigint, ids_sha256 string"
     )
+
+
+@query("op8_training_order")
+def _op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations in order of turns."""
+    tokens, pattern = public_vocabulary()
+    turns = table(spark, folder, "conversations")
+    place = F.struct("conv_id", "turn", "role").alias("place")
+    encoded = encode(turns.select(place, "text"), tokens, pattern, key="place")
+    encoded = encoded.select("place.conv_id", "place.turn", "place.role", "ids")
+    return _written_and_read(spark, encoded, ["conv_id", "turn", "role"])
+
+
+@query("training_order_documents")
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in order of their keys."""
+    tokens, pattern = public_vocabulary()
+    encoded = encode(table(spark, folder, "documents"), tokens, pattern)
+    return _written_and_read(spark, encoded, ["doc_id"])

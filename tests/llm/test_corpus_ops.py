@@ -318,6 +318,17 @@ def test_training_order_of_the_conversations(spark):
         assert (r.n_tokens, r.ids_sha256) == (len(part), hashlib.sha256(part.tobytes()).hexdigest())
 
 
+def test_training_order_of_the_documents(spark):
+    got = sorted(QUERIES["training_order_documents"](spark, FOLDER).collect())
+    docs = sorted(rows_of(spark, "documents"), key=lambda r: r.doc_id)
+    ids = Replay(*public_vocabulary()).encode([r.text or "" for r in docs])
+    stream = np.concatenate([np.append(x, trainorder.END) for x in ids]).astype("<u2")
+    assert [r.slot for r in got] == list(range(-(-len(stream) // trainorder.LENGTH)))
+    for r in got:
+        part = stream[r.sequence * trainorder.LENGTH : (r.sequence + 1) * trainorder.LENGTH]
+        assert (r.n_tokens, r.ids_sha256) == (len(part), hashlib.sha256(part.tobytes()).hexdigest())
+
+
 def test_training_order_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "conv long, ids array<int>")
     assert trainorder.write_shards(df, str(tmp_path), ["conv"])["sequences"] == 0
