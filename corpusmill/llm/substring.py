@@ -1,11 +1,11 @@
-"""Removal of word runs that earlier documents contain, by relative Lempel-Ziv parsing.
+"""Removal of word runs that earlier documents contain, by a join of windows.
 
 The reference is the corpus itself, indexed by blocks that its content defines: in every 13-word
 window the 5-word run of the smallest hash is the window's block, so equal windows have equal
-blocks. Blocks of more than one document are the index. A document is then factored greedily: a
-factor starts at a window that an earlier document holds, and grows word by word while the next
-window is held by the same earliest document. Where it ends, the windows across the boundary are
-looked up like all others, so a passage made of pieces of several documents is found in full.
+blocks. Blocks of more than one document are the index, and an exact hash join of the
+windows finds every repeated one, also across pieces of several documents. Factors are grouped
+afterwards: following windows with the same earliest document are one. There is no greedy parse
+with longest match or reference position, so a factor need not stand there as one passage.
 """
 
 from __future__ import annotations
