@@ -32,10 +32,11 @@ CLASSES = (
     (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.8),
 )
 # Strings of high entropy that are no secrets: plain numbers, words without digits joined by
-# separators, and identifiers in the form of a UUID.
+# separators, and identifiers in the form of a UUID. No part of a pattern may be empty, and what may
+# follow each other has no character in common, so a match takes time in step with the string.
 ALLOWED = (
     re.compile(r"[0-9+/_=-]+"),
-    re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]+)(?:[+/_=-]+(?:[A-Z]?[a-z]*|[A-Z]+))*"),
+    re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+))*[+/_=-]*)?"),
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
 )
 
@@ -51,14 +52,15 @@ def entropy_windows(text: str, least: float, window: int = WINDOW) -> list[tuple
     total = 0.0
     spans: list[tuple[int, int]] = []
     for end, new in enumerate(text, 1):
-        c = counts.get(new, 0)
-        total += weigh[c + 1] - weigh[c]
-        counts[new] = c + 1
+        # The old character leaves first: no count exceeds the window.
         if end > window:
             old = text[end - window - 1]
             c = counts[old]
             total += weigh[c - 1] - weigh[c]
             counts[old] = c - 1
+        c = counts.get(new, 0)
+        total += weigh[c + 1] - weigh[c]
+        counts[new] = c + 1
         if end >= window and math.log2(window) - total / window >= least - 1e-9:
             start = end - window
             if spans and spans[-1][1] >= start:

@@ -1,9 +1,12 @@
 """Operators on single texts against plain Python: secrets, main text, quality, BPE, repeats."""
 
+import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import oracle
@@ -99,6 +102,38 @@ def test_entropy_windows_equal_a_count_of_each_window():
         assert got == covered
 
 
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("key 000000000000000000000000a", [(4, 2, 29)]),
+        ("0" * 40 + "a", [(0, 2, 41)]),
+        ("A" * 60, []),
+        ("=" * 38 + "Step2", []),
+        ("a" + "-" * 10_000 + "1b", []),
+        ("Ab-" * 10_000 + "1", []),
+    ],
+)
+def test_long_runs_and_separators_end_at_once(text, spans):
+    began = time.perf_counter()
+    assert secretscan.secret_spans(text) == spans
+    assert time.perf_counter() - began < 1
+
+
+def test_secrets_in_an_image_of_a_megabyte(spark):
+    image = "data:image/png;base64," + "A" * 30 + base64.b64encode(random.Random(5).randbytes(750_000)).decode()
+    assert len(image) > 1_000_000
+    rows = secretscan.find_secrets(spark.createDataFrame([(1, image), (2, "-" * 200 + "7x")], "doc_id long, text string")).collect()
+    assert [r.n_hex for r in rows] == [0, 0] and rows[0].n_entropy > 0 and rows[1].spans == ""
+
+
+def test_allow_list_takes_words_joined_by_separators():
+    words = re.compile("|".join(f"(?:{rule.pattern})" for rule in secretscan.ALLOWED[1:2]))
+    for n in range(7):
+        for t in map("".join, itertools.product("Ab-", repeat=n)):
+            want = all(re.fullmatch("[A-Z]?[a-z]*|[A-Z]+", part) for part in re.split("[-]+", t))
+            assert bool(words.fullmatch(t)) == want, t
+
+
 def test_secrets_in_odd_rows(spark):
     df = spark.createDataFrame([*ODD, (7, "é token=abcdef12 é", 1, "a", "x")], SCHEMA)
     rows = secretscan.find_secrets(df).collect()
