@@ -51,16 +51,24 @@ class Scratch:
         return cut_lineage(self.store(df, "result"))
 
 
-def numbered(scratch: Scratch, df: DataFrame, order: list, name: str) -> DataFrame:
-    """Adds 1..n in the order of ``order``: sorted over all tasks, then an offset per partition."""
-    spot = F.monotonically_increasing_id()
-    spots = scratch.store(df.orderBy(*order).withColumn("__spot", spot), name)
-    # High bits number the sorted partition, low bits the row in it.
-    part = F.shiftright(F.col("__spot"), 33)
-    sizes = spots.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+def placed(scratch: Scratch, ordered: DataFrame, name: str, part: str | None = None) -> DataFrame:
+    """Adds 1..n to a table whose partitions, and the rows in them, stand in order.
+
+    With ``part`` the number of the partition stays as a column.
+    """
+    spots = scratch.store(ordered.withColumn("__spot", F.monotonically_increasing_id()), name)
+    # High bits number the partition, low bits the row in it.
+    number = F.shiftright(F.col("__spot"), 33)
+    sizes = spots.groupBy(number.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
     # One row per partition.
     before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    joined = spots.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    joined = spots.withColumn("__part", number).join(F.broadcast(offsets), "__part")
     place = F.col("__before") + F.col("__spot") - F.shiftleft(F.col("__part"), 33) + 1
-    return joined.withColumn(name, place).drop("__spot", "__part", "__before")
+    kept = joined.withColumn(name, place).drop("__spot", "__before")
+    return kept.withColumnRenamed("__part", part) if part else kept.drop("__part")
+
+
+def numbered(scratch: Scratch, df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds 1..n in the order of ``order``: sorted over all tasks, then an offset per partition."""
+    return placed(scratch, df.orderBy(*order), name)
