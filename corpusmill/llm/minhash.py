@@ -2,7 +2,7 @@
 
 A sketch keeps the smallest hashes of a document's shingles. Inverted lists of runs of retained
 values bring documents together; the union sketch of a pair estimates its similarity, and the
-whole sets decide. Lists never emit all their pairs: every member meets a few leaders, and only
+whole sets decide. Lists never emit all their pairs: every member meets its leader, and only
 documents that the links so far leave in different components are compared further, in blocks that
 give back nothing but links.
 """
@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.base import hashed_words, mixed, query, settled, slices, sql_type, table
+from corpusmill.llm.base import hashed_words, mixed, query, slices, sql_type, table
 from corpusmill.llm.components import components
+from corpusmill.llm.scratch import Scratch
 
 # 48 retained values; a list belongs to three values that follow each other. At similarity 0.8
 # four of five neighbours in the union agree, so two documents miss all 46 lists with a chance
@@ -170,7 +171,7 @@ def _side(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{name}{c}") for c in df.columns])
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+def _linked(scratch: Scratch, pairs: DataFrame, classes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` that reach the similarity: estimated from union sketches, then exact."""
     kept = classes.select("id", "retained")
     sketched = pairs.join(_side(kept, "a_"), F.col("a") == F.col("a_id")).join(
@@ -179,16 +180,16 @@ def _linked(pairs: DataFrame, classes: DataFrame, whole: DataFrame, percent: int
     union = F.slice(F.array_sort(F.array_union("a_retained", "b_retained")), 1, RETAINED)
     shared = F.array_intersect("a_retained", "b_retained")
     likely = RETAINED * F.size(F.array_intersect(union, shared)) >= LEAST_SHARED * F.size(union)
-    likely_pairs = settled(sketched.where(likely).select("a", "b"))
+    likely_pairs = scratch.store(sketched.where(likely).select("a", "b"), "likely")
     full = likely_pairs.join(_side(whole, "a_"), F.col("a") == F.col("a_id")).join(
         _side(whole, "b_"), F.col("b") == F.col("b_id")
     )
     both = F.size(F.array_intersect("a_whole", "b_whole"))
     exact = 100 * both >= percent * (F.size("a_whole") + F.size("b_whole") - both)
-    return full.where(exact).select("a", "b")
+    return scratch.store(full.where(exact).select("a", "b"), "linked")
 
 
-def _inside_areas(rows: DataFrame, kind: str, percent: int) -> DataFrame:
+def _inside_areas(scratch: Scratch, rows: DataFrame, kind: str, percent: int) -> DataFrame:
     """Links ``(a, b)`` between documents of one area and different components.
 
     ``rows`` holds ``id, area, fine, n, bits, whole``. The largest component of an area is not
@@ -196,7 +197,7 @@ def _inside_areas(rows: DataFrame, kind: str, percent: int) -> DataFrame:
     links leave a block. A document travels once for each block of the other side.
     """
     sizes = rows.groupBy("area", "fine").agg(F.count(F.lit(1)).alias("rows"))
-    areas = settled(
+    areas = scratch.store(
         sizes.groupBy("area")
         .agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "fine")).alias("main"), F.count(F.lit(1)).alias("parts"))
         .where("parts > 1")
@@ -205,9 +206,10 @@ def _inside_areas(rows: DataFrame, kind: str, percent: int) -> DataFrame:
             F.col("main.fine").alias("main"),
             F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"),
             F.ceil((F.col("rows") - F.col("main.rows")) / BLOCK_ROWS).alias("others"),
-        )
+        ),
+        "areas",
     )
-    open_rows = settled(rows.join(areas, "area"))
+    open_rows = scratch.store(rows.join(areas, "area"), "open")
     every = open_rows.select(
         "area", "id", "fine", "n", "bits", "whole", F.lit(1).alias("role"),
         F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"),
@@ -243,7 +245,7 @@ def _inside_areas(rows: DataFrame, kind: str, percent: int) -> DataFrame:
         return pd.DataFrame({"a": [x[0] for x in links], "b": [x[1] for x in links]}).astype(block["id"].dtype)
 
     met = every.union(other).groupBy("area", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}")
-    return settled(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return scratch.store(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "inside")
 
 
 def near_duplicate_groups(
@@ -257,61 +259,65 @@ def near_duplicate_groups(
     rows are copies of each other and all carry the same answer. A row without key belongs to the
     component of its copies, null when no copy has a key; it is kept only in that case.
     """
+    with Scratch(docs.sparkSession, "near-copies") as scratch:
+        return scratch.finish(_groups(scratch, docs, key, text, length, percent))
+
+
+def _groups(scratch: Scratch, docs: DataFrame, key: str, text: str, length: int, percent: int) -> DataFrame:
     kind = sql_type(docs, key)
-    signed = settled(sketches(docs, key, text, length))
+    signed = scratch.store(sketches(docs, key, text, length), "sketches")
     # Equal sets are one class with the smallest key; a third of all rows may be copies, and the
     # map side folds them.
-    classes = settled(
-        signed.where("n > 0 AND id IS NOT NULL")
-        .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("retained").alias("retained"))
+    named = signed.where("n > 0 AND id IS NOT NULL")
+    classes = scratch.store(
+        named.groupBy("digest").agg(
+            F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("retained").alias("retained")
+        ),
+        "classes",
     )
-    postings = _postings(classes, kind)
-    # Three leaders for each list of two or more.
-    leads = settled(
-        postings.groupBy("run")
-        .agg(F.min("id").alias("l0"), F.max("id").alias("l1"), F.min(F.struct(F.xxhash64("id"), "id")).alias("l2"))
-        .where("l0 < l1")
-        .select("run", "l0", "l1", F.col("l2.id").alias("l2"))
-    )
-    members = settled(postings.join(leads, "run"))
+    # A key that stands several times may name several sets; the first row of each set is enough.
+    repeated = bool(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1))
+    postings = scratch.store(_postings(classes, kind), "postings")
+    # A leader for each list of two or more: the smallest, which many lists of a group share.
+    leads = postings.groupBy("run").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
+    members = scratch.store(postings.join(leads.select("run", "lead"), "run"), "members")
+    scratch.drop(postings)
     look = classes.select("id", "n", "bits")
-    pairs = members.select(F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("a"), F.col("id").alias("b"))
-    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = settled(
+    pairs = members.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = scratch.store(
         pairs.join(_side(look, "a_"), F.col("a") == F.col("a_id"))
         .join(_side(look, "b_"), F.col("b") == F.col("b_id"))
         .where(_near("a_", "b_", percent))
-        .select("a", "b")
+        .select("a", "b"),
+        "pairs",
     )
     wanted = members.select("id").distinct().join(classes.select("id", "digest"), "id")
-    whole = settled(_whole_sets(docs, key, text, wanted, length))
-    first = settled(_linked(pairs, classes, whole, percent))
+    whole = _whole_sets(docs, key, text, wanted, length)
+    whole = scratch.store(whole.dropDuplicates(["id"]) if repeated else whole, "whole")
+    first = _linked(scratch, pairs, classes, whole, percent)
 
     # Documents that the leaders tie loosely together are one neighbourhood; inside it, documents
     # of different components are compared block by block.
-    found = settled(components(first).select("id", F.col("component").alias("fine")))
-    loose = settled(components(pairs).select("id", F.col("component").alias("area")))
-    inside = _inside_areas(
-        loose.join(found, "id", "left").withColumn("fine", F.coalesce("fine", "id")).join(look, "id").join(whole, "id"),
-        kind,
-        percent,
-    )
+    found = components(first, scratch).select("id", F.col("component").alias("fine"))
+    loose = components(pairs, scratch).select("id", F.col("component").alias("area"))
+    tied = loose.join(found, "id", "left").withColumn("fine", F.coalesce("fine", "id"))
+    inside = _inside_areas(scratch, tied.join(look, "id").join(whole, "id"), kind, percent)
     # What shares a list beyond its neighbourhood is rarely alike; size and bits sort it out
     # within the join.
-    spot = settled(
-        members.select("run", "id", "l0")
+    spot = scratch.store(
+        members.select("run", "id", F.col("lead").alias("l0"))
         .join(look, "id")
         .join(loose, "id", "left")
         .join(loose.select(F.col("id").alias("l0"), F.col("area").alias("area0")), "l0", "left")
-        .select("run", "id", "n", "bits", F.coalesce("area", "id").alias("area"), F.coalesce("area0", "l0").alias("area0"))
+        .select("run", "id", "n", "bits", F.coalesce("area", "id").alias("area"), F.coalesce("area0", "l0").alias("area0")),
+        "spot",
     )
-    outside = settled(spot.where("area != area0"))
-    open_runs = spot.join(outside.select("run").distinct(), "run", "left_semi")
+    outside = scratch.store(spot.where("area != area0"), "outside")
+    open_runs = scratch.store(spot.join(outside.select("run").distinct(), "run", "left_semi"), "runs")
     rest = (
         _side(outside, "a_")
         .join(
-            _side(settled(open_runs), "b_"),
+            _side(open_runs, "b_"),
             (F.col("a_run") == F.col("b_run"))
             & (F.col("a_area") != F.col("b_area"))
             & ((F.col("b_area") == F.col("b_area0")) | (F.col("a_id") < F.col("b_id")))
@@ -320,12 +326,12 @@ def near_duplicate_groups(
         .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
         .distinct()
     )
-    second = settled(_linked(rest, classes, whole, percent))
-    groups = settled(components(first.union(inside).union(second)))
+    second = _linked(scratch, rest, classes, whole, percent)
+    groups = components(first.union(inside).union(second), scratch)
 
-    named = classes.select("digest", F.col("id").alias("first")).join(groups, F.col("first") == F.col("id"), "left")
-    named = settled(named.select("digest", F.coalesce("component", "first").alias("component")))
-    joined = signed.select("id", "n", "digest").join(named, "digest", "left")
+    told = classes.select("digest", F.col("id").alias("first")).join(groups, F.col("first") == F.col("id"), "left")
+    told = scratch.store(told.select("digest", F.coalesce("component", "first").alias("component")), "told")
+    joined = signed.select("id", "n", "digest").join(told, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return joined.select(
         F.col("id").alias(key),

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from corpusmill.llm.base import shared_folder
 from corpusmill.settings import cut_lineage
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """A folder of named Parquet tables that all executors share.
@@ -36,14 +38,27 @@ class Scratch:
         return f"{self.folder}/{self._count}-{name}"
 
     def store(self, df: DataFrame, name: str = "table") -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
+        """``df`` as a table of its own; the shuffles that made it are freed once it is written."""
+        path, conf = self.path(name), self.spark.conf
+        before = conf.get(_FREE, "false")
+        conf.set(_FREE, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(_FREE, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, df: DataFrame) -> None:
+        """Delete a stored table that nothing reads any more."""
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            self._delete(path)
+
     def remove(self) -> None:
         """Delete the folder; only what ``finish`` returned can be read afterwards."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._delete(self.folder)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def finish(self, df: DataFrame) -> DataFrame:
