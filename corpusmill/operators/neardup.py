@@ -18,8 +18,8 @@ THRESHOLD = 0.8
 # of (1 - 0.8**6)**48, less than one in a million.
 BANDS = 48
 ROWS = 6
-# Buckets are split this many ways, however large they get.
-SALTS = 64
+# Rows of one list that are compared in one go.
+BLOCK_ROWS = 2048
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,13 +80,13 @@ def _jaccard(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def _by_rare_runs(sets: DataFrame, still_open: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Pairs ``(later, earlier)`` that may reach the threshold, for the open rows.
+def _leading_runs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """``(key, run)``: the rarest runs of each set, of which two similar sets share one.
 
     With all runs in one order, two sets that overlap by the threshold share a
     run among the first ``n - ceil(threshold * n) + 1`` of each. The order is
     rarest first: text that many rows have in common comes last and makes no
-    pairs, as long as a row has enough words of its own.
+    lists, as long as a row has enough words of its own.
     """
     size = F.size("runs")
     runs = sets.select(key, size.alias("n"), F.explode("runs").alias("run"))
@@ -100,15 +100,79 @@ def _by_rare_runs(sets: DataFrame, still_open: DataFrame, key: str, threshold: f
     spot = alone + F.row_number().over(per_row.orderBy("rows", "run"))
     # The margin only ever adds a run, should the product be rounded up.
     least = F.ceil(F.col("n") * threshold - 1e-9)
-    leading = cut_lineage(
+    return cut_lineage(
         runs.join(common, "run")
         .select(key, "run", (spot <= F.col("n") - least + 1).alias("first"))
         .where("first")
         .select(key, "run")
     )
-    later = leading.withColumnRenamed(key, "later").join(still_open, "later", "left_semi")
-    earlier = leading.withColumnRenamed(key, "earlier")
-    return later.join(earlier, "run").where("earlier < later").select("later", "earlier")
+
+
+def _reached(sets: list[np.ndarray], later: np.ndarray, earlier: np.ndarray, keys: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the rows ``later`` reach the threshold with one of ``earlier`` that has a smaller key.
+
+    ``later`` and ``earlier`` are places in ``sets`` and ``keys``. Postings of the earlier rows are
+    counted up for one later row at a time, so nothing is made per pair but a count.
+    """
+    order = earlier[np.argsort(keys[earlier], kind="stable")]
+    sizes = np.array([len(sets[i]) for i in order])
+    flat = np.concatenate([sets[i] for i in order])
+    owners = np.repeat(np.arange(len(order)), sizes)
+    by_run = np.argsort(flat, kind="stable")
+    flat, owners = flat[by_run], owners[by_run]
+    out = np.zeros(len(later), dtype=bool)
+    before = np.searchsorted(keys[order], keys[later])
+    for i, (row, end) in enumerate(zip(later, before)):
+        own = sets[row]
+        low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+        held = high > low
+        spans = [owners[a:b] for a, b in zip(low[held], high[held])]
+        if end and spans:
+            shared = np.bincount(np.concatenate(spans), minlength=len(order))[:end]
+            out[i] = (shared / (sizes[:end] + len(own) - shared) >= threshold).any()
+    return out
+
+
+def _in_blocks(sets: DataFrame, lists: DataFrame, still_open: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Open rows that reach the threshold with an earlier row of one of their lists: ``(later)``.
+
+    The open rows of a list meet its rows block by block, and a block of comparisons gives back
+    rows with a match, never pairs. A row travels once for each block of the other side: up to
+    ``BLOCK_ROWS`` rows of one template make rows in proportion, whatever their similarity.
+    """
+    kind = sets.schema[key].dataType.simpleString()
+    rows = lists.join(still_open.select(F.col("later").alias(key), F.lit(True).alias("open")), key, "left")
+    per_list = rows.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.count("open").alias("opened"))
+    parts = cut_lineage(
+        per_list.where("rows > 1 AND opened > 0").select(
+            "run",
+            F.ceil(F.col("opened") / BLOCK_ROWS).alias("lefts"),
+            F.ceil(F.col("rows") / BLOCK_ROWS).alias("rights"),
+        )
+    )
+    # A block is a stretch of the hash, so every task deals the same way.
+    place = rows.join(parts, "run").withColumn("h", F.xxhash64(key))
+    left = place.where("open").select(
+        key, "run", F.lit(True).alias("later"), F.pmod("h", "lefts").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"),
+    )
+    right = place.select(
+        key, "run", F.lit(False).alias("later"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"),
+        F.pmod("h", "rights").alias("j"),
+    )
+
+    def meet(block: pd.DataFrame) -> pd.DataFrame:
+        later, earlier = np.flatnonzero(block["later"]), np.flatnonzero(~block["later"])
+        keys = block[key].to_numpy()
+        if len(later) and len(earlier):
+            runs = [np.asarray(r) for r in block["runs"]]
+            later = later[_reached(runs, later, earlier, keys, threshold)]
+        else:
+            later = later[:0]
+        return pd.DataFrame({"later": keys[later]})
+
+    met = left.union(right).join(sets, key).groupBy("run", "i", "j").applyInPandas(meet, f"later {kind}")
+    return met.distinct()
 
 
 def near_duplicates(
@@ -123,12 +187,10 @@ def near_duplicates(
     ``copy``: the same normalised text came before. ``near``: a text came
     before whose word runs overlap by ``threshold`` (Jaccard).
 
-    Copies fold into their first row before anything is compared. Band buckets
-    are split by salt; each member is compared with the first of its part, the
-    firsts with the first of the bucket, so a bucket of similar texts costs one
-    comparison per member. Rows that found no match there go to
-    :func:`_by_rare_runs`. Every comparison uses the whole sets, and no bucket
-    is capped.
+    Copies fold into their first row before anything is compared. Members of a band bucket are
+    compared with its first row, one comparison per member. Rows that found no match there meet the
+    rows that share one of their rarest runs, in blocks that give back rows and no pairs
+    (:func:`_in_blocks`). Every comparison uses the whole sets, and no bucket or list is capped.
     """
     norm = F.nullif(normalize_text(F.col(text)), F.lit(""))
     texts = compute_once(df, [key], __t=norm)
@@ -142,16 +204,10 @@ def near_duplicates(
 
     signed = cut_lineage(_signatures(texts.join(firsts, key, "left_semi"), key, words))
     sets = signed.select(key, "runs")
-    part = Window.partitionBy("band", "salt")
-    members = (
-        signed.select(F.explode("bands").alias("band"), F.col(key).alias("later"))
-        .withColumn("salt", F.pmod(F.xxhash64("later"), F.lit(SALTS)))
-        .withColumn("lead", F.min("later").over(part))
-    )
-    # At most SALTS rows per bucket.
-    leads = members.where("later = lead").withColumn(
-        "first", F.min("later").over(Window.partitionBy("band"))
-    )
+    members = signed.select(F.explode("bands").alias("band"), F.col(key).alias("later"))
+    # Stored, so that a bucket of any size is one side of a plain join.
+    firsts = members.groupBy("band").agg(F.min("later").alias("first"), F.max("later").alias("last"))
+    firsts = cut_lineage(firsts.where("first < last").select("band", "first"))
 
     def matched(pairs: DataFrame) -> DataFrame:
         """Later rows of the pairs that reach the threshold."""
@@ -164,15 +220,15 @@ def near_duplicates(
             .distinct()
         )
 
-    to_lead = members.where("lead < later").select("later", F.col("lead").alias("earlier"))
-    to_first = leads.where("first < later").select("later", F.col("first").alias("earlier"))
-    pairs = cut_lineage(to_lead.union(to_first).distinct())
+    tied = members.join(firsts, "band").where("first < later")
+    pairs = cut_lineage(tied.select("later", F.col("first").alias("earlier")).distinct())
     found = cut_lineage(matched(pairs))
     # All rows that share a bucket, and those of them still without a match.
     shared = pairs.select(F.col("later").alias(key)).union(pairs.select(F.col("earlier").alias(key)))
     bucketed = sets.join(shared.distinct(), key, "left_semi")
     still_open = pairs.select("later").distinct().join(found, "later", "left_anti")
-    near = found.union(matched(_by_rare_runs(bucketed, still_open, key, threshold)))
+    still_open = cut_lineage(still_open)
+    near = found.union(_in_blocks(bucketed, _leading_runs(bucketed, key, threshold), still_open, key, threshold))
     return copies.select(key, F.lit("copy").alias("kind")).union(
         near.select(F.col("later").alias(key), F.lit("near").alias("kind"))
     )

@@ -1,5 +1,7 @@
+import collections
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,8 +225,8 @@ def brute_force(rows, threshold=0.8):
 
 
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
-    # Few salts, so that buckets have several members per part.
-    monkeypatch.setattr(neardup, "SALTS", 2)
+    # Small blocks, so that lists have several.
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = []
@@ -243,6 +245,55 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert {r["doc_id"] for r in got} == wanted and len(got) == len(wanted)
 
 
+def test_near_duplicates_of_the_documents_match_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = df.select(F.col("doc_id").alias("k"), normalize_text(F.col("text")).alias("t")).collect()
+    got = neardup.near_duplicates(df, "doc_id").collect()
+    # Brute force with an inverted list per run, whole lists.
+    sets = {r["k"]: set(neardup.shingles(r["t"]).tolist()) for r in rows if r["t"]}
+    lists, found = {}, set()
+    for later in sorted(sets):
+        shared = collections.Counter(k for run in sets[later] for k in lists.get(run, ()))
+        if any(n / (len(sets[k]) + len(sets[later]) - n) >= 0.8 for k, n in shared.items()):
+            found.add(later)
+        for run in sets[later]:
+            lists.setdefault(run, []).append(later)
+    assert {r["doc_id"] for r in got} == found and len(got) == len(found)
+
+
+def template_rows(spark, n, own):
+    """Rows of one template, each with words of its own: all pairs just below the threshold."""
+    rng = random.Random(9)
+    texts = []
+    for i in range(n):
+        words = [f"w{k}" for k in range(150)]
+        for k in rng.sample(range(150), own):
+            words[k] = f"own{i}x{k}"
+        texts.append((i, " ".join(words)))
+    return spark.createDataFrame(texts, "doc_id bigint, text string")
+
+
+def test_rows_of_a_template_below_the_threshold_make_rows_in_proportion(spark, monkeypatch):
+    met = []
+    plain = neardup._in_blocks
+
+    def counted(sets, lists, still_open, key, threshold):
+        met.append(lists.count())
+        return plain(sets, lists, still_open, key, threshold)
+
+    monkeypatch.setattr(neardup, "_in_blocks", counted)
+    for n in (100, 200, 400):
+        assert neardup.near_duplicates(template_rows(spark, n, 5), "doc_id").count() == 0
+    assert met[1] <= 2.5 * met[0] and met[2] <= 2.5 * met[1] and met[2] < 400 * 60
+
+
+def test_reached_counts_earlier_rows_only():
+    sets = [np.array([1, 2, 3, 4, 5]), np.array([1, 2, 3, 4, 5]), np.array([1, 2, 3, 4, 9]), np.array([7]), np.array([1, 2, 3, 4])]
+    keys, every = np.array([10, 20, 5, 40, 1]), np.arange(5)
+    assert neardup._reached(sets, every, every, keys, 0.8).tolist() == [True, True, True, False, False]
+    assert neardup._reached(sets, every, every, keys, 0.9).tolist() == [False, True, False, False, False]
+
+
 def test_one_text_in_a_third_of_all_rows(spark):
     df = spark.range(3000).select(
         F.col("id").alias("doc_id"),
