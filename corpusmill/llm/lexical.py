@@ -48,17 +48,17 @@ def _terms(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
 
 
 def item_terms(items: DataFrame, item: str, text: str) -> DataFrame:
-    """``(item, term)``: the distinct terms of all texts of an item."""
+    """``(item, word)``: the distinct terms of all texts of an item."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, 1, as_bytes=True):
             terms, counts = _terms(texts)
             owners = part.column(0).take(pa.array(np.repeat(np.arange(len(texts)), counts)))
-            yield pa.record_batch([owners, terms.cast(pa.string())], ["item", "term"])
+            yield pa.record_batch([owners, terms.cast(pa.string())], ["item", "word"])
 
     kind = sql_type(items, item)
     found = items.where(F.col(f"`{item}`").isNotNull()).select(item, text)
-    return found.mapInArrow(work, f"item {kind}, term string").distinct()
+    return found.mapInArrow(work, f"item {kind}, word string").distinct()
 
 
 def document_terms(docs: DataFrame, key: str, text: str, vocabulary: list[str] | None) -> DataFrame:
@@ -148,6 +148,12 @@ def _depths(asked: DataFrame, lists: DataFrame) -> DataFrame:
     )
 
 
+def _exploded(held: DataFrame, *kept: str) -> DataFrame:
+    """A row per document and term."""
+    found = held.select(*kept, F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+    return found.select(*kept, F.col("t.terms").alias("word"), F.col("t.tfs").alias("tf"))
+
+
 def search(
     docs: DataFrame,
     items: DataFrame,
@@ -171,8 +177,8 @@ def search(
     told = [F.col("item").alias(item), "rank", F.col("key").alias(key), "score"]
     with Scratch(spark, "lexical") as scratch:
         asked = scratch.store(item_terms(items, item, item_text), "asked")
-        words = asked.select("term").distinct()
-        size = words.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0
+        words = asked.select("word").distinct()
+        size = words.agg(F.sum(F.octet_length("word") + 8)).first()[0] or 0
         vocabulary = [r[0] for r in words.collect()] if size <= VOCABULARY_BYTES else None
         held = scratch.store(document_terms(docs, key, text, vocabulary), "documents")
         counted = held.where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
@@ -180,12 +186,16 @@ def search(
         if not documents or not size:
             return scratch.finish(spark.createDataFrame([], schema).select(*told))
 
-        found = held.select("row", "key", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
-        found = found.select("row", "key", "n", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
-        weights = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(words, "term", "left_semi")
-        weights = scratch.store(weights.select("term", weight(F.col("df"), documents).alias("w")).where("w > 0"), "weights")
-        added = join_small(found.where("key IS NOT NULL"), weights, "term")
-        added = added.select("row", "key", "term", F.expr(CONTRIBUTION.format(documents=documents, terms=terms)).alias("c"))
+        weights = _exploded(held).groupBy("word").agg(F.count(F.lit(1)).alias("df")).join(words, "word", "left_semi")
+        weights = weights.select("word", weight(F.col("df"), documents).alias("w")).where("w > 0")
+        # From here on a term is a number.
+        weights = scratch.store(weights.withColumn("term", F.monotonically_increasing_id()), "weights")
+        asked = scratch.store(join_small(asked, weights.select("word", "term"), "word").select("item", "term"), "asked")
+        # Lists of long and short documents mix in parts of equal size, which are then sorted.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        even = held.where("key IS NOT NULL").select("row", "n", "terms", "tfs").repartition(parts, "row")
+        added = join_small(_exploded(even, "row", "n"), weights, "word")
+        added = added.select("row", "term", F.expr(CONTRIBUTION.format(documents=documents, terms=terms)).alias("c"))
         added = added.where("c > 0").withColumn("level", _level(F.col("c")))
         levels = added.groupBy("term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("top"))
         steps = scratch.store(_steps(levels), "steps")
@@ -210,15 +220,17 @@ def search(
             reads *= DEEPER
         exact = None
         for closed, rows in candidates:
-            told_now = _exact(postings, asked, closed, rows)
-            exact = told_now if exact is None else exact.union(told_now)
+            more = _exact(postings, asked, closed, rows)
+            exact = more if exact is None else exact.union(more)
+        # Few more than the best are left; their keys decide ties.
+        keyed = join_small(held.select("row", "key"), scratch.store(exact, "exact"), "row")
         best = Window.partitionBy("item").orderBy(F.desc("score"), "key", "row")
-        ranked = exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+        ranked = keyed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
         return scratch.finish(ranked.select(*told))
 
 
 def _exact(postings: DataFrame, asked: DataFrame, closed: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(item, row, key, score)`` of the documents of closed items that reach the k-th lower end.
+    """``(item, row, score)`` of the documents of closed items that reach the k-th lower end.
 
     The lists are read to their ends, for the documents among ``rows`` alone; no other can reach it.
     """
@@ -227,8 +239,8 @@ def _exact(postings: DataFrame, asked: DataFrame, closed: DataFrame, rows: DataF
     else:
         mine = postings.join(rows.hint("shuffle_hash"), "row", "left_semi")
     scores = join_small(mine, asked.join(closed, "item"), "term")
-    scores = scores.groupBy("item", "row", "key", "least").agg(F.sum("c").alias("score"))
-    return scores.where("score >= least").select("item", "row", "key", "score")
+    scores = scores.groupBy("item", "row", "least").agg(F.sum("c").alias("score"))
+    return scores.where("score >= least").select("item", "row", "score")
 
 
 def _round(

@@ -79,12 +79,17 @@ def test_search_ends_before_all_is_read(spark, monkeypatch):
     docs = zipf(1, 1500) + [(5000 + i, "rare1 rare2 rare3 w5 w9") for i in range(5)]
     items = [(1, "rare1 rare2 rare3 w0 w1 w2"), (2, "w5 w9 w200 w250 w299"), (3, "w0 w1"), (4, "w280 w290 w295 w0")]
     exact = {i: {k: s for s, k in rows} for i, rows in scores(docs, items).items()}
-    rounds = []
-    plain = lexical._round
+    rounds, rows = [], []
+    plain, listed = lexical._round, lexical.document_terms
+
+    def kept(*args):
+        df = listed(*args)
+        rows.extend(df.select("row", "key").collect())
+        return df
 
     def watched(scratch, postings, asked, lists, depths, still, reads, top):
         state, ends = plain(scratch, postings, asked, lists, depths, still, reads, top)
-        keys = dict(postings.select("row", "key").distinct().collect())
+        keys = dict(rows)
         for r in state.collect():
             assert r.lower <= exact[r.item][keys[r.row]] <= r.upper
         seen = {(r.item, keys[r.row]) for r in state.collect()}
@@ -98,6 +103,7 @@ def test_search_ends_before_all_is_read(spark, monkeypatch):
         return state, ends
 
     monkeypatch.setattr(lexical, "_round", watched)
+    monkeypatch.setattr(lexical, "document_terms", kept)
     df, asked = frames(spark, docs, items)
     assert told(lexical.search(df, asked, top=5, first_read=20)) == best(docs, items, 5)
     assert len(rounds) > 1 and set(rounds[0]) == {1, 2, 3, 4}
