@@ -1,15 +1,20 @@
-"""The corpus pipeline: each stage filters, cleans, mixes or encodes what its predecessor kept."""
+"""The corpus pipeline: each stage filters, cleans, mixes or encodes what its predecessor kept.
+
+Null and empty texts have no words, so the quality rules reject them; the other stages keep them if
+they are given any. Repeated rows are one document for the near-duplicate stage. An empty table
+gives an empty result of the same columns.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, minhash, mixing, quality, secretscan
-from corpusmill.llm.base import shared_folder, table
+from corpusmill.llm.base import table
+from corpusmill.llm.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,8 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: two-word shingles, similarity 0.8."""
-    return minhash.one_of_each(docs)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return minhash.one_of_each(docs, length=5)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +61,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage over ``documents``.
 
     Every stage is written to the shared folder and read again, so that no stage is computed twice
-    and a lost executor costs tasks of one stage only.
+    and a lost executor costs tasks of one stage only. The folder goes when the last stage is done.
     """
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    with Scratch(spark, "pipeline") as scratch:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        return scratch.finish(STAGES[-1][1](spark, docs, sf_dir))
