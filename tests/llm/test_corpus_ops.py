@@ -22,16 +22,18 @@ def rows_of(spark, name):
 # --------------------------------------------------------------------- near duplicates
 
 
-def shingles(text):
+def shingles(text, length=2):
     words = (text or "").encode().lower().split()
-    return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset([tuple(words)] if words else [])
+    if len(words) < length:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + length]) for i in range(len(words) - length + 1))
 
 
-def groups(docs):
+def groups(docs, length=2):
     """Smallest key of each component, by comparing all pairs of sets."""
     sets = {}
     for key, text in docs:
-        sets.setdefault(shingles(text), key)
+        sets.setdefault(shingles(text, length), key)
     names = [s for s in sets if s]
     root = {s: s for s in names}
 
@@ -48,7 +50,7 @@ def groups(docs):
                 if x != y:
                     low, high = sorted((x, y), key=lambda s: sets[s])
                     root[high] = low
-    return {k: sets[find(shingles(t))] if shingles(t) else k for k, t in docs}
+    return {k: sets[find(shingles(t, length))] if shingles(t) else k for k, t in docs}
 
 
 def check_groups(spark, docs):
@@ -140,6 +142,12 @@ def test_groups_of_odd_rows(spark):
     assert minhash.near_duplicate_groups(df.limit(0)).count() == 0
 
 
+def test_repeated_keys_with_other_texts_make_one_set_each(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "z y x w"), (2, "A B C D E F g"), (2, "a b c d e f g h"), (3, "z y x w")]
+    got = minhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -408,7 +416,8 @@ def test_pipeline_stages(spark):
     start, good, single, clean, mixed = seen
     lost = [k for k in start if k not in good and labels.get(k) == 1]
     assert len(lost) <= 0.1 * sum(v == 1 for v in labels.values())
-    want = groups([(r.doc_id, r.text) for r in good.values()])
+    # The stage takes five words, the query of the operator two.
+    want = groups([(r.doc_id, r.text) for r in good.values()], 5)
     assert set(single) == {k for k in good if want[k] == k}
     assert set(clean) == set(single) and all(r.n_chars == len(r.text) for r in clean.values())
     assert set(mixed) <= set(clean)
@@ -417,3 +426,24 @@ def test_pipeline_stages(spark):
     assert all(r.decoded_sha256 == hashlib.sha256(mixed[r.doc_id].text.encode()).hexdigest() for r in last)
     run = corpus_pipeline.run(spark, FOLDER).collect()
     assert sorted(run) == sorted(last)
+
+
+def test_pipeline_of_odd_and_no_documents(spark):
+    """Null, empty, blank, long and repeated texts, a null key; and an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    good = next(r for r in rows_of(spark, "documents") if r.n_chars > 800)
+    odd = [(None, "de", "s"), ("", None, None), (" \n", "en", "s"), ("long " * 30_000, "en", "s"), (good.text, "en", "s"), (good.text, "en", "s")]
+    rows = [(900_000 + i, t, lang, source, None) for i, (t, lang, source) in enumerate(odd)]
+    rows += [rows[4], (None, good.text, "en", "s", 5)]
+    named = {f.name: i for i, f in enumerate(schema)}
+    docs = spark.createDataFrame([tuple(r[("doc_id", "text", "lang", "source", "n_chars").index(c)] for c in named) for r in rows], schema)
+    for start in (docs, docs.limit(0)):
+        held = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, held, FOLDER)
+            assert out.columns == start.columns, name
+            held = spark.createDataFrame(out.collect(), schema)
+        last = corpus_pipeline.STAGES[-1][1](spark, held, FOLDER).collect()
+        assert len(last) == held.count()
+        assert bool(last) == (start is docs)
