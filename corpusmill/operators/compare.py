@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.stats import rows_from
-from corpusmill.operators.detect import (
-    IMBALANCE_THRESHOLD,
-    all_null_columns,
-    detect_duplicate_text,
-    quality_report,
-    sparsity_bucket,
-    text_profile,
-)
+from corpusmill.operators.detect import IMBALANCE_THRESHOLD, sided_reports, sparsity_bucket, text_reports
 
 _METRIC_KEY = ["section", "metric", "column"]
 
@@ -36,9 +28,18 @@ def compare(
     threshold: float = IMBALANCE_THRESHOLD,
     exact: bool = True,
 ) -> DataFrame:
-    """Quality reports of a table before and after cleaning, by the same rules."""
-    reports = [quality_report(df, key, text, label, threshold, exact) for df in (before, after)]
-    return compare_reports(*reports)
+    """Quality reports of a table before and after cleaning, by the same rules.
+
+    Both tables are read once, and every pass over their facts serves both reports.
+    """
+    return _side_by_side(sided_reports([before, after], key, text, label, threshold, exact))
+
+
+def _side_by_side(report: DataFrame) -> DataFrame:
+    """Metric rows of sides 0 and 1 as ``before``, ``after`` and ``delta`` (before - after)."""
+    value = [F.max(F.when(F.col("side") == i, F.col("value"))).alias(name) for i, name in enumerate(("before", "after"))]
+    both = report.groupBy(*_METRIC_KEY).agg(*value)
+    return both.withColumn("delta", F.col("before") - F.col("after"))
 
 
 def delta_direction(comparison: DataFrame) -> DataFrame:
@@ -53,22 +54,6 @@ def delta_direction(comparison: DataFrame) -> DataFrame:
     return comparison.withColumns({"direction": direction, "amount": F.abs(delta)})
 
 
-def _text_metrics(df: DataFrame, key: str, text: str, label: str, exact: bool) -> DataFrame:
-    exactly = rows_from(
-        detect_duplicate_text(df, text, normalized=False),
-        [("text", "exact_duplicate_text_rows", "", F.col("duplicate_text_rows"))],
-    )
-    coverage = rows_from(
-        df.agg(F.avg(F.col(label).isNotNull().cast("double")).alias("c")),
-        [("label", "coverage", "", F.col("c"))],
-    )
-    empty = rows_from(
-        all_null_columns(df.drop(key)).agg(F.count(F.lit(1)).alias("n")),
-        [("table", "all_null_columns", "", F.col("n"))],
-    )
-    return text_profile(df, text, exact).unionByName(exactly).unionByName(coverage).unionByName(empty)
-
-
 def compare_text(
     before: DataFrame,
     after: DataFrame,
@@ -78,8 +63,8 @@ def compare_text(
     exact: bool = True,
 ) -> DataFrame:
     """Text figures before and after: empty, repeated (exact and normalised), lengths,
-    label coverage, columns without values."""
-    return compare_reports(*[_text_metrics(df, key, text, label, exact) for df in (before, after)])
+    label coverage, columns without values. Both tables are read once."""
+    return _side_by_side(text_reports([before, after], key, text, label, exact))
 
 
 def compare_retention(

@@ -69,8 +69,8 @@ def _missing_aggs(df: DataFrame, sentinels: bool) -> list[Column]:
     return [F.count_if(~present(f, sentinels)).alias(f"m{i}") for i, f in enumerate(df.schema)]
 
 
-def _missing_rows(df: DataFrame) -> list[tuple[str, str, str, Column]]:
-    parts = [F.col(f"m{i}") for i in range(len(df.columns))]
+def _missing_rows(df: DataFrame, tail: str = "") -> list[tuple[str, str, str, Column]]:
+    parts = [F.col(f"m{i}{tail}") for i in range(len(df.columns))]
     total = sum(parts[1:], parts[0])
     return [("missing", "total", "", total)] + [
         ("missing", "by_column", name, part) for name, part in zip(df.columns, parts)
@@ -228,40 +228,42 @@ def label_semantics(df: DataFrame, label: str = "label") -> DataFrame:
 
     Read off the distinct values and their counts, so rows are scanned once.
     """
-    counts = value_counts(df, label, top=None)
-    n, distinct = F.col("n"), F.col("distinct_labels")
+    return semantics_of(value_counts(df, label, top=None))
+
+
+def semantics_of(counts: DataFrame) -> DataFrame:
+    """:func:`label_semantics` of the distinct labels: ``counts`` holds ``value`` and ``rows``."""
+    return counts.agg(*_semantics_aggs("rows")).select(*_semantics())
+
+
+def _semantics_aggs(rows: str, tail: str = "") -> list[Column]:
+    n = F.col(rows)
+    return [
+        F.coalesce(F.sum(n), F.lit(0)).alias(f"n{tail}"),
+        F.count(n).alias(f"distinct_labels{tail}"),
+        F.sum(F.when(looks_numeric(F.col("value")), n).otherwise(0)).alias(f"numeric{tail}"),
+        F.max(n).alias(f"majority{tail}"),
+    ]
+
+
+def _semantics(tail: str = "") -> list[Column]:
+    n, distinct = F.col(f"n{tail}"), F.col(f"distinct_labels{tail}")
+    ratio = F.coalesce(F.col(f"numeric{tail}") / F.nullif(n, F.lit(0)), F.lit(0.0))
     limit = F.least(F.lit(20), F.greatest(F.lit(5), F.floor(n / 2)))
-    regression = (F.col("numeric_ratio") >= 0.8) & (distinct > limit)
-    return (
-        counts.agg(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("n"),
-            F.count(F.lit(1)).alias("distinct_labels"),
-            F.sum(F.when(looks_numeric(F.col("value")), F.col("rows")).otherwise(0)).alias("numeric"),
-            F.max("rows").alias("majority"),
-        )
-        .withColumn("numeric_ratio", F.coalesce(F.col("numeric") / F.col("n"), F.lit(0.0)))
-        .select(
-            "n",
-            "distinct_labels",
-            "numeric_ratio",
-            "majority",
-            F.when(regression, F.lit("regression")).otherwise(F.lit("classification")).alias("kind"),
-        )
-    )
+    regression = (ratio >= 0.8) & (distinct > limit)
+    kind = F.when(regression, F.lit("regression")).otherwise(F.lit("classification"))
+    return [n, distinct, ratio.alias(f"numeric_ratio{tail}"), F.col(f"majority{tail}"), kind.alias(f"kind{tail}")]
 
 
-def _imbalance_rows(semantics: DataFrame, label: str, threshold: float) -> DataFrame:
-    applies = (F.col("kind") == "classification") & (F.col("n") > 0)
-    share = F.when(applies, F.col("majority") / F.col("n"))
-    return rows_from(
-        semantics,
-        [
-            ("imbalance", "applicable", label, applies.cast("int")),
-            ("imbalance", "classes", label, F.when(applies, F.col("distinct_labels"))),
-            ("imbalance", "majority_share", label, share),
-            ("imbalance", "is_imbalanced", label, (share >= threshold).cast("int")),
-        ],
-    )
+def _imbalance_entries(label: str, threshold: float, tail: str = "") -> list[tuple[str, str, str, Column]]:
+    applies = (F.col(f"kind{tail}") == "classification") & (F.col(f"n{tail}") > 0)
+    share = F.when(applies, F.col(f"majority{tail}") / F.nullif(F.col(f"n{tail}"), F.lit(0)))
+    return [
+        ("imbalance", "applicable", label, applies.cast("int")),
+        ("imbalance", "classes", label, F.when(applies, F.col(f"distinct_labels{tail}"))),
+        ("imbalance", "majority_share", label, share),
+        ("imbalance", "is_imbalanced", label, (share >= threshold).cast("int")),
+    ]
 
 
 def detect_imbalance(
@@ -269,7 +271,7 @@ def detect_imbalance(
 ) -> DataFrame:
     """Share of the largest class; not applicable to a label that measures something."""
     name = label_column(df, label)
-    return _imbalance_rows(label_semantics(df, name), name, threshold)
+    return rows_from(label_semantics(df, name), _imbalance_entries(name, threshold))
 
 
 # ----------------------------------------------------------------------------- text
@@ -292,22 +294,23 @@ def _text_facts(text: str) -> dict[str, Column]:
     }
 
 
-def _text_aggs() -> list[Column]:
-    size = F.col("__len")
-    low, high = fences("__q", "__len", 0, 2)
+def _text_aggs(tail: str = "", here: Column | None = None) -> list[Column]:
+    """Figures of the rows ``here`` (all of them); ``__len`` and ``__q`` hold their lengths and quartiles."""
+    size = F.col(f"__len{tail}")
+    low, high = fences("__q", f"__len{tail}", 0, 2)
+    own = F.lit(True) if here is None else here
     return [
-        F.count_if(size.isNull()).alias("t_empty"),
-        F.count_if("__near").alias("t_near"),
-        F.count_if(size < low).alias("t_short"),
-        F.count_if(size > high).alias("t_long"),
-        F.count_if("__cut").alias("t_cut"),
-        F.avg(size).alias("t_mean"),
-        F.max(size).alias("t_max"),
-        F.any_value("__q").alias("q"),
+        F.count_if(own & size.isNull()).alias(f"t_empty{tail}"),
+        F.count_if(own & F.col("__near")).alias(f"t_near{tail}"),
+        F.count_if(size < low).alias(f"t_short{tail}"),
+        F.count_if(size > high).alias(f"t_long{tail}"),
+        F.count_if(own & F.col("__cut")).alias(f"t_cut{tail}"),
+        F.avg(size).alias(f"t_mean{tail}"),
+        F.max(size).alias(f"t_max{tail}"),
     ]
 
 
-def _text_rows() -> list[tuple[str, str, str, Column]]:
+def _text_entries(tail: str = "") -> list[tuple[str, str, str, Column]]:
     names = {
         "empty_rows": "t_empty",
         "near_empty_rows": "t_near",
@@ -317,8 +320,8 @@ def _text_rows() -> list[tuple[str, str, str, Column]]:
         "chars_mean": "t_mean",
         "chars_max": "t_max",
     }
-    rows = [("text", metric, "", F.col(column)) for metric, column in names.items()]
-    return [*rows, ("text", "chars_median", "", quantile_at("q", "__len", 1))]
+    rows = [("text", metric, "", F.col(f"{column}{tail}")) for metric, column in names.items()]
+    return [*rows, ("text", "chars_median", "", quantile_at("q", f"__len{tail}", 1))]
 
 
 def text_profile(df: DataFrame, text: str | None = None, exact: bool = True) -> DataFrame:
@@ -328,7 +331,8 @@ def text_profile(df: DataFrame, text: str | None = None, exact: bool = True) ->
     """
     facts = cut_lineage(df.select(*_named(_text_facts(primary_text(df, text)))))
     q = quantile_map(facts, ["__len"], [0.25, 0.5, 0.75], exact)
-    profile = rows_from(with_scalar(facts, "__q", q).agg(*_text_aggs()), _text_rows())
+    counted = with_scalar(facts, "__q", q).agg(*_text_aggs(), F.any_value("__q").alias("q"))
+    profile = rows_from(counted, _text_entries())
     texts = facts.where("__text IS NOT NULL").groupBy("__text").agg(F.count(F.lit(1)).alias("n"))
     extra = texts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
     repeated = rows_from(extra, [("text", "duplicate_text_rows", "", F.col("extra"))])
@@ -381,63 +385,162 @@ def quality_report(
     fences and groups come from the facts. Row and text duplicates share a
     grouping, because the text is part of the row.
     """
-    body = primary_text(df, text)
-    target = label_column(df, label)
-    skip = {name for name in (key, target) if name}
-    content = df.drop(key) if key else df
-    numbers = numeric_columns(content.schema, skip)
-    facts = cut_lineage(
-        content.select(
-            *[(~present(f)).alias(f"m{i}") for i, f in enumerate(content.schema)],
-            *[F.col(n).cast("double").alias(f"n{i}") for i, n in enumerate(numbers)],
-            *_named(_text_facts(body)),
-            content_key(_columns(content, set())).alias("__row"),
-            (F.col(target).cast("string") if target else F.lit(None)).alias("__label"),
+    return sided_reports([df], key, text, label, threshold, exact).drop("side")
+
+
+class _Side:
+    """One of the tables that a report measures; its own columns of the facts end in its number."""
+
+    def __init__(self, number: int, df: DataFrame, key: str | None, text: str | None, label: str | None):
+        self.number, self.tail, self.width = number, f"_{number}", len(df.columns)
+        self.body, self.target = primary_text(df, text), label_column(df, label)
+        self.content = df.drop(key) if key else df
+        skip = {name for name in (key, self.target) if name}
+        self.numbers = numeric_columns(self.content.schema, skip)
+        self.measured = [f"n{i}{self.tail}" for i in range(len(self.numbers))]
+        self.here = F.col("side") == number
+
+    def facts(self) -> DataFrame:
+        own = _text_facts(self.body)
+        own[f"__len{self.tail}"] = own.pop("__len")
+        target = F.col(self.target).cast("string") if self.target else F.lit(None).cast("string")
+        return self.content.select(
+            F.lit(self.number).alias("side"),
+            *[(~present(f)).alias(f"m{i}{self.tail}") for i, f in enumerate(self.content.schema)],
+            *[F.col(n).cast("double").alias(c) for n, c in zip(self.numbers, self.measured)],
+            *_named(own),
+            content_key(_columns(self.content, set())).alias("__row"),
+            target.alias("__label"),
         )
-    )
-    measured = [f"n{i}" for i in range(len(numbers))]
-    q = quantile_map(facts, [*measured, "__len"], [0.25, 0.5, 0.75], exact)
-    outs = []
-    for i, name in enumerate(measured):
-        low, high = fences("__q", name, 0, 2)
-        outs.append(F.count_if((finite(name) < low) | (finite(name) > high)).alias(f"o{i}"))
-    missing = [F.count_if(f"m{i}").alias(f"m{i}") for i in range(len(content.columns))]
-    counted = with_scalar(facts, "__q", q).agg(
-        F.count(F.lit(1)).alias("n"), *missing, *outs, *_text_aggs()
-    )
-    parts = [F.col(f"o{i}") for i in range(len(numbers))]
-    entries = [
-        ("table", "row_count", "", F.col("n")),
-        ("table", "column_count", "", F.lit(len(df.columns))),
-        *_missing_rows(content),
-        ("outliers", "iqr_total", "", sum(parts, F.lit(0))),
-        *[("outliers", "iqr_count", name, part) for name, part in zip(numbers, parts)],
-        *_text_rows(),
-    ]
-    report = rows_from(counted, entries).unionByName(_duplicate_rows(facts))
-    if target:
-        semantics = label_semantics(facts, "__label")
-        report = report.unionByName(_imbalance_rows(semantics, target, threshold))
+
+    def aggs(self) -> list[Column]:
+        outs = []
+        for i, name in enumerate(self.measured):
+            low, high = fences("__q", name, 0, 2)
+            outs.append(F.count_if((finite(name) < low) | (finite(name) > high)).alias(f"o{i}{self.tail}"))
+        missing = [F.count_if(f"m{i}{self.tail}").alias(f"m{i}{self.tail}") for i in range(len(self.content.columns))]
+        return [F.count_if(self.here).alias(f"rows{self.tail}"), *missing, *outs, *_text_aggs(self.tail, self.here)]
+
+    def entries(self) -> list[tuple[str, str, str, Column]]:
+        parts = [F.col(f"o{i}{self.tail}") for i in range(len(self.numbers))]
+        return [
+            ("table", "row_count", "", F.col(f"rows{self.tail}")),
+            ("table", "column_count", "", F.lit(self.width)),
+            *_missing_rows(self.content, self.tail),
+            ("outliers", "iqr_total", "", sum(parts, F.lit(0))),
+            *[("outliers", "iqr_count", name, part) for name, part in zip(self.numbers, parts)],
+            *_text_entries(self.tail),
+        ]
+
+
+def _sided_rows(df: DataFrame, entries: dict[int, list[tuple[str, str, str, Column]]]) -> DataFrame:
+    """:func:`rows_from` for several sides at once, with their number as ``side``."""
+    cells = [
+        F.struct(
+            F.lit(side).alias("side"), F.lit(section).alias("section"), F.lit(metric).alias("metric"),
+            F.lit(column).alias("column"), value.cast("double").alias("value"),
+        )
+        for side, rows in entries.items()
+        for section, metric, column, value in rows
+    ]
+    return df.select(F.explode(F.array(*cells)).alias("m")).select("m.*")
+
+
+def sided_reports(
+    dfs: list[DataFrame],
+    key: str | None = None,
+    text: str | None = None,
+    label: str | None = None,
+    threshold: float = IMBALANCE_THRESHOLD,
+    exact: bool = True,
+) -> DataFrame:
+    """:func:`quality_report` of several tables, with their place in the list as ``side``.
+
+    Each table is read once; the facts of all of them are one table, so every pass over facts
+    serves all sides.
+    """
+    sides = [_Side(i, df, key, text, label) for i, df in enumerate(dfs)]
+    facts = sides[0].facts()
+    for side in sides[1:]:
+        facts = facts.unionByName(side.facts(), allowMissingColumns=True)
+    facts = cut_lineage(facts)
+    sizes = [f"__len{s.tail}" for s in sides]
+    q = quantile_map(facts, [*(n for s in sides for n in s.measured), *sizes], [0.25, 0.5, 0.75], exact)
+    aggs = [a for s in sides for a in s.aggs()]
+    counted = with_scalar(facts, "__q", q).agg(*aggs, F.any_value("__q").alias("q"))
+    report = _sided_rows(counted, {s.number: s.entries() for s in sides})
+    report = report.unionByName(_duplicate_rows(facts, sides))
+    targets = [s for s in sides if s.target]
+    if targets:
+        values = facts.where("__label IS NOT NULL").groupBy("side", F.col("__label").alias("value"))
+        values = values.agg(F.count(F.lit(1)).alias("rows"))
+        values = values.select("value", *[F.when(s.here, F.col("rows")).alias(f"rows{s.tail}") for s in targets])
+        told = values.agg(*[a for s in targets for a in _semantics_aggs(f"rows{s.tail}", s.tail)])
+        told = told.select(*[c for s in targets for c in _semantics(s.tail)])
+        entries = {s.number: _imbalance_entries(s.target, threshold, s.tail) for s in targets}
+        report = report.unionByName(_sided_rows(told, entries))
     return report
 
 
-def _duplicate_rows(facts: DataFrame) -> DataFrame:
-    rows = facts.groupBy("__row", "__text").agg(F.count(F.lit(1)).alias("n"))
-    texts = rows.groupBy("__text").agg(
+def text_reports(
+    dfs: list[DataFrame], key: str, text: str = "text", label: str = "label", exact: bool = True
+) -> DataFrame:
+    """Text figures, label coverage and empty columns of several tables, as :func:`sided_reports`."""
+    facts, tails = None, [f"_{i}" for i in range(len(dfs))]
+    for i, (df, tail) in enumerate(zip(dfs, tails)):
+        own = _text_facts(primary_text(df, text))
+        own[f"__len{tail}"] = own.pop("__len")
+        filled = [present(f).alias(f"c{k}{tail}") for k, f in enumerate(df.drop(key).schema)]
+        exactly = text_key(F.nullif(F.col(text), F.lit(""))).alias("__exact")
+        own_facts = df.select(F.lit(i).alias("side"), *_named(own), exactly, F.col(label).isNotNull().alias("__labelled"), *filled)
+        facts = own_facts if facts is None else facts.unionByName(own_facts, allowMissingColumns=True)
+    facts = cut_lineage(facts)
+    q = quantile_map(facts, [f"__len{t}" for t in tails], [0.25, 0.5, 0.75], exact)
+    aggs, entries = [], {}
+    for i, (df, tail) in enumerate(zip(dfs, tails)):
+        here = F.col("side") == i
+        names = [f"c{k}{tail}" for k in range(len(df.columns) - 1)]
+        aggs += _text_aggs(tail, here)
+        aggs += [F.avg(F.when(here, F.col("__labelled").cast("double"))).alias(f"labelled{tail}")]
+        aggs += [F.count_if(n).alias(n) for n in names]
+        empty = sum(((F.col(n) == 0).cast("int") for n in names), F.lit(0))
+        entries[i] = [*_text_entries(tail), ("label", "coverage", "", F.col(f"labelled{tail}")), ("table", "all_null_columns", "", empty)]
+    report = _sided_rows(with_scalar(facts, "__q", q).agg(*aggs, F.any_value("__q").alias("q")), entries)
+    # Equal texts have equal normalised texts, so one grouping serves both counts.
+    exactly = facts.groupBy("side", "__text", "__exact").agg(F.count(F.lit(1)).alias("n"))
+    again = F.when(F.col("__exact").isNotNull(), F.col("n") - 1)
+    alike = exactly.groupBy("side", "__text").agg(F.sum("n").alias("n"), F.sum(again).alias("same"))
+    near = F.when(F.col("__text").isNotNull(), F.col("n") - 1)
+    counts, entries = [], {}
+    for i, tail in enumerate(tails):
+        here = F.col("side") == i
+        counts.append(F.coalesce(F.sum(F.when(here, near)), F.lit(0)).alias(f"near{tail}"))
+        counts.append(F.coalesce(F.sum(F.when(here, F.col("same"))), F.lit(0)).alias(f"same{tail}"))
+        entries[i] = [
+            ("text", "duplicate_text_rows", "", F.col(f"near{tail}")),
+            ("text", "exact_duplicate_text_rows", "", F.col(f"same{tail}")),
+        ]
+    return report.unionByName(_sided_rows(alike.agg(*counts), entries))
+
+
+def _duplicate_rows(facts: DataFrame, sides: list[_Side]) -> DataFrame:
+    rows = facts.groupBy("side", "__row", "__text").agg(F.count(F.lit(1)).alias("n"))
+    texts = rows.groupBy("side", "__text").agg(
         F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("extra_rows")
     )
-    extra_texts = F.when(F.col("__text").isNotNull(), F.col("n") - 1).otherwise(0)
-    counted = texts.agg(
-        F.coalesce(F.sum("extra_rows"), F.lit(0)).alias("d"),
-        F.coalesce(F.sum(extra_texts), F.lit(0)).alias("t"),
-    )
-    return rows_from(
-        counted,
-        [
-            ("duplicates", "rows", "", F.col("d")),
-            ("text", "duplicate_text_rows", "", F.col("t")),
-        ],
-    )
+    extra_texts = F.when(F.col("__text").isNotNull(), F.col("n") - 1)
+    counts = []
+    for s in sides:
+        counts.append(F.coalesce(F.sum(F.when(s.here, F.col("extra_rows"))), F.lit(0)).alias(f"d{s.tail}"))
+        counts.append(F.coalesce(F.sum(F.when(s.here, extra_texts)), F.lit(0)).alias(f"t{s.tail}"))
+    entries = {
+        s.number: [
+            ("duplicates", "rows", "", F.col(f"d{s.tail}")),
+            ("text", "duplicate_text_rows", "", F.col(f"t{s.tail}")),
+        ]
+        for s in sides
+    }
+    return _sided_rows(texts.agg(*counts), entries)
 
 
 # What a headline counts: section, metric, whether zero is worth telling, and what the number means.

@@ -1,5 +1,9 @@
 import json
+import random
+import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,6 +278,80 @@ def test_training_and_curve(spark):
     assert saved["base_labels"] is not None
 
 
+def plain_losses(train, val, epochs, features):
+    """The same training with dense rows."""
+    labels = sorted({c for _, c in train})
+
+    def dense(texts):
+        x = np.zeros((len(texts), features + 1))
+        for row, text in zip(x, texts):
+            for t in re.findall("[a-z0-9]+", (text or "").lower()):
+                row[zlib.crc32(t.encode()) % features] += 1
+            row /= np.linalg.norm(row) or 1
+            row[-1] = 1
+        return x
+
+    def soft(x, w):
+        e = np.exp(x @ w.T)
+        return e / e.sum(axis=1, keepdims=True)
+
+    def loss(x, y, w):
+        p = soft(x, w)
+        return np.mean([-np.log(max(p[i, labels.index(c)] if c in labels else 0, 1e-15)) for i, c in enumerate(y)])
+
+    x, y = dense([t for t, _ in train]), [c for _, c in train]
+    hot = np.array([[float(c == k) for k in labels] for c in y])
+    shrink = np.append(np.full(features, training.PENALTY), 0)
+    curve = 0.5 * (x * x.sum(axis=1, keepdims=True)).mean(axis=0) + shrink
+    w = ahead = np.zeros((len(labels), features + 1))
+    pace, out = 1.0, []
+    for _ in range(epochs):
+        new = ahead - ((soft(x, ahead) - hot).T @ x / len(x) + shrink * ahead) / np.maximum(curve, 1e-12)
+        more = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        ahead, w, pace = new + (pace - 1) / more * (new - w), new, more
+        out.append((loss(x, y, w), loss(dense([t for t, _ in val]), [c for _, c in val], w)))
+    return out
+
+
+def test_losses_equal_training_on_dense_rows(spark):
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choices([f"{c}{i}" for i in range(12)] + ["and", "the"], k=rng.randrange(1, 30))), c) for c in "abc" * 40]
+    rows += [("", "a"), (None, "b"), ("the " * 3000, "c")]
+    rng.shuffle(rows)
+    train, val = rows[:90], [*rows[90:], ("a1 a2", "never seen")]
+    frames = [spark.createDataFrame(x, "text string, label_text string").repartition(5) for x in (train, val)]
+    got = training.training_losses(*frames, epochs=4, features=64).orderBy("epoch").collect()
+    want = plain_losses(train, val, 4, 64)
+    assert [tuple(r) for r in got] == [(e, pytest.approx(a, abs=1e-9), pytest.approx(b, abs=1e-9)) for e, (a, b) in enumerate(want, 1)]
+    # Sums do not depend on how rows are dealt.
+    again = training.training_losses(frames[0].repartition(2), frames[1].coalesce(1), epochs=4, features=64)
+    assert [r["train_loss"] for r in again.orderBy("epoch").collect()] == pytest.approx([r["train_loss"] for r in got], abs=1e-12)
+
+
+def test_training_goes_on_where_it_stopped(spark):
+    rows = [(f"{c} word{i % 5}", c) for i, c in enumerate("ab" * 30)]
+    df = spark.createDataFrame(rows, "text string, label_text string")
+    whole = training.train_classifier(df, epochs=6, features=32)
+    slots = training.vectors(df, ["a", "b"], 32).withColumn("val", F.lit(False))
+    half = training.train_more(training.untrained(["a", "b"], 32), slots, 3)
+    assert np.allclose(training.train_more(half, slots, 3).weights, whole.weights, atol=1e-12)
+    scored = training.predict(whole, spark.createDataFrame([("a", 1), (None, 2), ("b zz", 3)], "text string, probability_of int"))
+    assert scored.columns == ["text", "probability_of", "prediction_text", "probability"]
+    assert [r["prediction_text"] for r in scored.collect()][::2] == ["a", "b"]
+    assert all(abs(sum(r["probability"]) - 1) < 1e-12 for r in scored.collect())
+
+
+def test_training_makes_one_pass_an_epoch(spark, monkeypatch):
+    passes = []
+    plain = training._sums
+    monkeypatch.setattr(training, "_sums", lambda *args: passes.append(1) or plain(*args))
+    df = spark.createDataFrame([("a b", "x"), ("c", "y")] * 9, "text string, label_text string")
+    training.train_classifier(df, epochs=3, features=16)
+    assert len(passes) == 3
+    training.training_losses(df, df, epochs=3, features=16)
+    assert len(passes) == 7
+
+
 def test_summary(spark):
     df = spark.createDataFrame([("x", True), ("y", None), (None, None)], "label string, active_learning_selected boolean")
     assert tuple(active.al_summary(df, "label", "entropy").first()) == (2, 1, 1, 2, "entropy")
