@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.catalog.base import (
     DIRTY,
@@ -21,6 +24,7 @@ from corpusmill.catalog.base import (
 from corpusmill.functions import text as fx
 from corpusmill.operators import profile as pf
 from corpusmill.schema import UNIFIED_COLUMNS
+from corpusmill.settings import checkpoint_folder, cut_lineage, remove_folder
 from corpusmill.sources import pages as pg
 from corpusmill.sources import payloads as pl
 from corpusmill.sources import tables as tb
@@ -97,6 +101,79 @@ def _(spark, folder):
     return tb.collect_sources(spark, sources, COLLECTED)[1]
 
 
+# Documents as JSON lines, of which every seventh is cut off in the middle; and a source that fails
+# on a row while it is read.
+_LINE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+
+def _troubled(spark, folder):
+    rows = table(spark, folder, "documents").select("doc_id", "text")
+    line = F.to_json(F.struct("doc_id", "text"))
+    cut = F.when(F.col("doc_id") % 7 == 0, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line)
+    path = f"{checkpoint_folder(spark)}/lines-{uuid.uuid4().hex}.jsonl"
+    rows.select(cut.alias("value")).write.text(path)
+    fails = F.when(F.col("item_id") % 5 == 3, F.raise_error(F.lit("unreadable")).cast("string")).otherwise(F.col("text"))
+    loads = {
+        "lines": lambda: tb.read_table(spark, path, _LINE, keep_corrupt=True),
+        "failing": lambda: table(spark, folder, "benchmark").withColumn("text", fails),
+        "absent": lambda: table(spark, folder, "absent"),
+        "benchmark": lambda: table(spark, folder, "benchmark"),
+    }
+    done = tb.collect(spark, [({"name": n, "type": "file"}, load) for n, load in loads.items()], COLLECTED)
+    remove_folder(spark, path)
+    return done
+
+
+@query(
+    "source_ledger_failures",
+    "SELECT 0::BIGINT AS position, 'lines' AS source, (SELECT count(*) FROM documents WHERE doc_id % 7 <> 0) AS row_count, "
+    "TRUE AS success, CAST(NULL AS VARCHAR) AS reason, (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) AS bad_rows "
+    "UNION ALL SELECT 1, 'failing', 0, FALSE, 'SparkRuntimeException', 0 "
+    "UNION ALL SELECT 2, 'absent', 0, FALSE, 'AnalysisException', 0 "
+    "UNION ALL SELECT 3, 'benchmark', (SELECT count(*) FROM benchmark), TRUE, NULL, 0",
+)
+def _(spark, folder):
+    return _troubled(spark, folder).ledger
+
+
+@query(
+    "quarantined_lines",
+    "SELECT 'lines' AS source, doc_id FROM documents WHERE doc_id % 7 = 0",
+)
+def _(spark, folder):
+    """Which lines were set aside, by the key that can still be read off them."""
+    lines = _troubled(spark, folder).quarantine
+    return lines.select("source", F.regexp_extract("line", r'^\{"doc_id":(\d+)', 1).cast("long").alias("doc_id"))
+
+
+@query(
+    "ledger_metrics",
+    "SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM conversations) AS row_count, 1 AS failed_sources",
+)
+def _(spark, folder):
+    names = ["documents", "absent", "conversations"]
+    sources = [({"name": n, "type": "file"}, lambda n=n: table(spark, folder, n)) for n in names]
+    return tb.ledger_metrics(tb.collect_sources(spark, sources, COLLECTED)[1])
+
+
+@query(
+    "publish_table",
+    "SELECT f AS format, doc_id, text, lang, n_chars, n_chars / 7.0 AS part FROM documents, (SELECT unnest(['csv', 'jsonl']) AS f)",
+)
+def _(spark, folder):
+    """Both formats written, published over an older table, read back by their manifests."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars", (F.col("n_chars") / 7.0).alias("part"))
+    base, out = f"{checkpoint_folder(spark)}/published-{uuid.uuid4().hex}", []
+    for suffix in ("csv", "jsonl"):
+        path = f"{base}/documents.{suffix}"
+        tb.publish_table(docs.where("doc_id % 2 = 0"), path)
+        tb.publish_table(docs, path)
+        out.append(tb.read_published(spark, path).select(F.lit(suffix).alias("format"), *docs.columns))
+    done = cut_lineage(out[0].union(out[1]))
+    remove_folder(spark, base)
+    return done
+
+
 # -------------------------------------------------------------------------- unification
 
 
@@ -195,11 +272,6 @@ def _(spark, folder):
 # -------------------------------------------------------------------------------- pages
 
 
-@query("page_text")
-def _(spark, folder):
-    return pg.page_text(text_table(spark, folder, "pages"))
-
-
 _DECODED = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _SHOWN = (
     "regexp_replace(regexp_replace(html, '(?s)<(script|style|noscript)\\b.*?</(script|style|noscript)>', chr(10), 'g'), "
@@ -207,18 +279,42 @@ _SHOWN = (
 )
 
 
-@query(
-    "page_full_text",
+_FULL_TEXT = (
     "SELECT page_id, array_to_string(list_filter(list_transform(string_split("
     + _DECODED.format(_SHOWN)
     + ", chr(10)), lambda x: "
     + strip("x")
-    + "), lambda x: x <> ''), chr(10)) AS full_text FROM pages",
+    + "), lambda x: x <> ''), chr(10)) AS full_text FROM pages"
 )
+
+
+@query("page_full_text", _FULL_TEXT)
 def _(spark, folder):
     return pg.page_text(text_table(spark, folder, "pages")).select("page_id", "full_text")
 
 
+# Blocks end at the tags of blocks; in them, the text of links stands between two marks.
+_TAGS = "|".join(sorted(pg._BLOCKS))
+_MARKED = "regexp_replace(html, '(?s)<(script|style|noscript)\\b.*?</(script|style|noscript)>', chr(2), 'g')"
+for _tag, _mark in ((f"(?i)</?({_TAGS})\\b[^>]*>", 1), ("(?i)<a\\b[^>]*>", 3), ("(?i)</a>", 4), ("(?s)<[^>]*>", 2)):
+    _MARKED = f"regexp_replace({_MARKED}, '{_tag}', chr({_mark}), 'g')"
+_PIECE = "regexp_replace(" + strip(_DECODED.format("x")) + ", '\\s+', ' ', 'g')"
+_MAIN_TEXT = f"""
+    blocks AS (SELECT page_id, unnest(string_split({_MARKED}, chr(1))) AS b, generate_subscripts(string_split({_MARKED}, chr(1)), 1) AS i FROM pages),
+    sized AS (SELECT page_id, i,
+        array_to_string(list_filter(list_transform(string_split_regex(b, '[\\x02-\\x04]'), lambda x: {_PIECE}), lambda x: x <> ''), ' ') AS t,
+        coalesce(list_sum(list_transform(regexp_extract_all(b, '\\x03([^\\x04]*)\\x04', 1), lambda x: length({_PIECE}))), 0) AS linked FROM blocks),
+    prose AS (SELECT page_id, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (length(t) >= 40 AND linked < 0.5 * length(t)), '') AS main
+        FROM sized GROUP BY page_id),
+    texts AS (SELECT page_id, CASE WHEN length(main) >= 200 THEN 'main' ELSE 'full' END AS extract_method,
+        CASE WHEN length(main) >= 200 THEN main ELSE full_text END AS text, full_text FROM prose JOIN ({_FULL_TEXT}) USING (page_id))"""
+
+
+@query("page_text", f"WITH {_MAIN_TEXT} SELECT * FROM texts")
+def _(spark, folder):
+    return pg.page_text(text_table(spark, folder, "pages"))
+
+
 # Links of the stored pages are rooted paths around plain text.
 _LINKS = (
     r"""
@@ -243,12 +339,49 @@ def _(spark, folder):
     return pg.page_links(text_table(spark, folder, "pages"), same_domain_only=True)
 
 
-@query("page_extract")
+_SELECTED = 'nav > ul > li > a[href^="/a"], div.ad > a, p a.more'
+
+
+@query(
+    "page_links_selected",
+    f"WITH {_LINKS}, chosen AS (SELECT page_id, page_url, url, min(i) AS spot, arg_min(text, i) AS text FROM "
+    f"(SELECT e.page_id, e.page_url, e.i, base || {_DECODED.format('href')} AS url, "
+    "regexp_replace(" + strip(_DECODED.format("shown")) + ", '\\s+', ' ', 'g') AS text FROM each e WHERE href LIKE '/a%') "
+    "GROUP BY 1, 2, 3) "
+    "SELECT page_id, page_url, row_number() OVER (PARTITION BY page_id ORDER BY spot) - 1 AS position, url, text FROM chosen",
+)
+def _(spark, folder):
+    return pg.page_links(text_table(spark, folder, "pages"), selector=_SELECTED)
+
+
+@query(
+    "link_targets",
+    f"WITH {_LINKS} SELECT url AS child_url, min(page_url) AS parent_url, count(*) AS parents FROM links GROUP BY url",
+)
+def _(spark, folder):
+    return pg.link_targets(text_table(spark, folder, "pages"))
+
+
+@query(
+    "page_extract",
+    f"WITH {_LINKS}, {_MAIN_TEXT}, counted AS (SELECT page_id, count(*) AS links FROM links GROUP BY page_id) "
+    "SELECT page_id, url, extract_method, text, coalesce(links, 0) AS links FROM pages JOIN texts USING (page_id) "
+    "LEFT JOIN counted USING (page_id)",
+)
 def _(spark, folder):
     found = pg.page_extract(text_table(spark, folder, "pages"))
     return found.select("page_id", "url", "extract_method", "text", F.size("links").alias("links"))
 
 
+@query(
+    "page_extract_markup",
+    "SELECT page_id, sha256(html) AS html_sha256, length(html) AS chars FROM pages",
+)
+def _(spark, folder):
+    found = pg.page_extract(text_table(spark, folder, "pages"))
+    return found.select("page_id", F.sha2("html", 256).alias("html_sha256"), F.length("html").cast("long").alias("chars"))
+
+
 @query(
     "expand_links",
     f"WITH {_LINKS}, c AS (SELECT url AS child_url, min(page_url) AS parent_url, count(*) AS parents FROM links GROUP BY url), "

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.catalog.base import (
@@ -46,13 +49,13 @@ def _(spark, folder):
 
 
 def _longest_word(payloads):
-    """Stands for a model: answers with the longest word of a payload, fails on some."""
+    """Stands for a model: answers with the longest word of a payload's text, fails on some."""
     answers = []
     for payload in payloads:
-        found = max(payload.split(), key=len, default="")
+        found = max(json.loads(payload)["text"].split(), key=len, default="")
         if not found:
             raise ValueError("nothing to answer")
-        answers.append({"label": found[:20].lower()})
+        answers.append({"label": found.lower()})
     return answers
 
 
@@ -62,13 +65,14 @@ def _longest_word(payloads):
     WITH s AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS words FROM documents),
          w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM s),
          l AS (SELECT doc_id, word FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(word) DESC, i) = 1)
-    SELECT doc_id, replace(json_object('label', lower(substr(word, 1, 20)))::VARCHAR, '{"label":', '{"label": ') AS pass_1_raw,
+    SELECT doc_id, replace(json_object('label', lower(word))::VARCHAR, '{"label":', '{"label": ') AS pass_1_raw,
            CAST(NULL AS VARCHAR) AS pass_1_error FROM l
     """,
 )
 def _(spark, folder):
     rows = text_table(spark, folder, "documents").select("doc_id", "text")
-    return an.annotate_pass(rows, "text", _longest_word, "pass_1").select("doc_id", "pass_1_raw", "pass_1_error")
+    payload = an.build_payload(rows, "topic", "Name the longest word", [{"name": "a"}])
+    return an.annotate_pass(rows, payload, _longest_word, "pass_1").select("doc_id", "pass_1_raw", "pass_1_error")
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -419,6 +423,20 @@ def _(spark, folder):
     return ac.infer_features(rows, "Classify the text by topic", "doc_id")
 
 
+@query(
+    "select_task_columns",
+    "SELECT 'feature' AS role, 'text' AS name UNION ALL SELECT 'target', 'annotation_label' "
+    "UNION ALL SELECT 'asked_feature', 'lang' UNION ALL SELECT 'asked_target', 'source'",
+)
+def _(spark, folder):
+    rows = table(spark, folder, "documents").drop("n_chars").withColumn("annotation_label", F.lit("x"))
+    features, target = ac.select_task_columns(rows, "Classify the text by topic", "doc_id")
+    asked, other = ac.select_task_columns(rows, "Classify", "doc_id", ["lang", "absent"], "source")
+    told = [("feature", f) for f in features] + [("target", target)]
+    told += [("asked_feature", f) for f in asked] + [("asked_target", other)]
+    return spark.createDataFrame(told, "role string, name string")
+
+
 @query(
     "compose_text",
     f"WITH {DIRTY} SELECT doc_id, 'Task: Rate' || chr(10) || concat_ws(chr(10), text, source, audio) AS composed FROM dirty",
@@ -635,6 +653,32 @@ def _(spark, folder):
     )
 
 
+# A given curve of quality, one row per source as the round it was reached in.
+_CURVE = """
+    c AS (SELECT 'random' AS strategy, iteration, 10 * iteration AS n_labeled, 0.25 * iteration AS macro_f1 FROM r
+          UNION ALL SELECT 'entropy', iteration, 10 * iteration, 0.5 * iteration FROM r)"""
+
+
+@query(
+    "labels_saved",
+    f"""
+    WITH r AS (SELECT row_number() OVER (ORDER BY source) AS iteration FROM (SELECT DISTINCT source FROM documents)), {_CURVE},
+    g AS (SELECT max(macro_f1) AS goal FROM c WHERE strategy = 'random'),
+    n AS (SELECT goal AS macro_f1, min(n_labeled) FILTER (strategy = 'random') AS base_labels,
+                 min(n_labeled) FILTER (strategy = 'entropy') AS other_labels FROM c, g WHERE macro_f1 >= goal GROUP BY goal)
+    SELECT CAST(macro_f1 AS DOUBLE) AS macro_f1, base_labels, other_labels, base_labels - other_labels AS labels_saved FROM n
+    """,
+)
+def _(spark, folder):
+    sources = table(spark, folder, "documents").select("source").distinct()
+    rounds = sources.select(F.row_number().over(Window.orderBy("source")).cast("long").alias("iteration"))
+    sides = [
+        rounds.select(F.lit(s).alias("strategy"), "iteration", (10 * F.col("iteration")).alias("n_labeled"), (g * F.col("iteration")).alias("macro_f1"))
+        for s, g in (("random", 0.25), ("entropy", 0.5))
+    ]
+    return tr.labels_saved(sides[0].union(sides[1]))
+
+
 # -------------------------------------------------------------------------------- chain
 
 

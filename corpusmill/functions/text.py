@@ -23,6 +23,7 @@ _WORD = r"(?U)[^\s\x1c-\x1f]+"
 
 # A fenced block, and the tokens used for scoring.
 FENCE = r"(?s)```(?:json)?\s*(.+?)\s*```"
+CODE_BLOCK = r"(?s)```(?:[a-zA-Z0-9_+-]+)?\n(.*?)```"
 SCORE_TOKEN = r"[a-z0-9]+"
 
 # Textual forms of a missing cell.
@@ -182,25 +183,41 @@ def strip_fence(c: Column) -> Column:
     )
 
 
-_JSON_MARK = re.compile(r'"(?:\\.|[^"\\])*(?:"|\Z)|[{}\[\]]', re.DOTALL)
+def _aligned(a: list[int], b: list[int]) -> list[int]:
+    """Two stacks as one: of the openers at equal depth only the first can give the answer."""
+    deep, flat = (a, b) if len(a) >= len(b) else (b, a)
+    shift = len(deep) - len(flat)
+    for i, at in enumerate(flat):
+        deep[shift + i] = min(deep[shift + i], at)
+    return deep
 
 
 def _balanced(text: str, opener: str, closer: str) -> str | None:
     """First slice of ``text`` from an opener to the closer that balances it.
 
-    Marks are scanned from each opener on, so that a quote before it does not
-    turn its content into a string.
+    Strings are read as they look from the opener, so that a quote before it does not turn its
+    content into a string. Read from different openers, a place of the text is inside a string or
+    not, never anything else: one pass keeps a stack of pending openers for each of the two cases.
+    A quote swaps them, and an escaped one, which only those inside skip, brings them together.
     """
-    at = text.find(opener)
-    while at >= 0:
-        level = 0
-        for mark in _JSON_MARK.finditer(text, at):
-            sign = mark.group()
-            level += (sign == opener) - (sign == closer)
-            if sign == closer and level == 0:
-                return text[at : mark.end()]
-        at = text.find(opener, at + 1)
-    return None
+    outside: list[int] = []
+    inside: list[int] = []
+    escaped, first, best = -1, text.find(opener), None
+    for mark in re.finditer(f'["\\\\{opener}\\{closer}]', text):
+        at, sign = mark.start(), mark.group()
+        if sign == "\\":
+            escaped = -1 if at == escaped else at + 1
+        elif sign == '"':
+            inside, outside = (_aligned(inside, outside), []) if at == escaped else (outside, inside)
+        elif sign == opener:
+            outside.append(at)
+        elif outside:
+            start = outside.pop()
+            if best is None or start < best[0]:
+                best = (start, mark.end())
+            if start == first:
+                break
+    return text[slice(*best)] if best else None
 
 
 @F.pandas_udf(T.StringType())
@@ -223,7 +240,7 @@ def extract_json(c: Column, field: str | None = None) -> Column:
     found = F.coalesce(direct, json_object(sliced))
     if field is None:
         return found
-    code = blank_to_null(strip_ws(F.regexp_extract(c, r"(?s)```(?:[a-zA-Z0-9_+-]+)?\n(.*?)```", 1)))
+    code = blank_to_null(strip_ws(F.regexp_extract(c, CODE_BLOCK, 1)))
     body = F.coalesce(code, blank_to_null(strip_ws(c)))
     return F.coalesce(found, F.when(body.isNotNull(), F.to_json(F.struct(body.alias(field)))))
 

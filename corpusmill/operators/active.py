@@ -35,6 +35,9 @@ LENGTH_UNIT, LENGTH_SCORE = 80.0, 4.0
 LEAST_SCORE, NEAR_BEST = 3.0, 1.5
 TEXT_LENGTH = 8
 
+# Fixed value: the column that annotation leaves its labels in.
+DEFAULT_TARGET = "annotation_label"
+
 BATCH_SIZE = 20
 TEST_SIZE = 0.25
 SEED = 13
@@ -79,15 +82,21 @@ def infer_features(df: DataFrame, prompt: str, key: str, most: int = 3) -> DataF
     lengths = df.agg(
         F.lit(0).alias("_"), *[F.avg(F.length(n)).alias(f"a{i}") for i, n in enumerate(names)]
     )
+    if names:
+        # First values of all columns in one pass; the rank filter works per task before the shuffle.
+        values = [F.when(F.col(n).isNotNull(), F.struct(F.lit(i).alias("c"), F.length(n).alias("size"))) for i, n in enumerate(names)]
+        long = df.select(key, F.explode(F.array_compact(F.array(*values))).alias("r")).select(key, "r.*")
+        spot = F.row_number().over(Window.partitionBy("c").orderBy(key))
+        first = long.withColumn("spot", spot).where(F.col("spot") <= 10)
+        means = [F.avg(F.when(F.col("c") == i, F.col("size"))).alias(f"f{i}") for i in range(len(names))]
+        lengths = with_scalar(lengths, "f", first.agg(*means).select(F.struct(*[f"f{i}" for i in range(len(names))]).alias("f")))
     cells = []
     for i, name in enumerate(names):
-        first = df.where(F.col(name).isNotNull()).orderBy(key).select(name).limit(10)
-        lengths = with_scalar(lengths, f"f{i}", first.agg(F.avg(F.length(name)).alias("m")))
         words = set(re.findall(SCORE_TOKEN, name.lower()))
         fixed = PROMPT_WORD_SCORE * len(asked & words) + HINT_SCORE * (name.lower() in TEXT_HINTS)
         score = F.lit(fixed) + F.least(F.col(f"a{i}") / LENGTH_UNIT, F.lit(LENGTH_SCORE))
         cells.append(
-            F.when(F.col(f"f{i}") >= TEXT_LENGTH, F.struct(F.lit(name).alias("column"), score.alias("score")))
+            F.when(F.col("f")[f"f{i}"] >= TEXT_LENGTH, F.struct(F.lit(name).alias("column"), score.alias("score")))
         )
     if not cells:
         return df.sparkSession.createDataFrame([], "column string, score double, selected boolean")
@@ -103,6 +112,34 @@ def infer_features(df: DataFrame, prompt: str, key: str, most: int = 3) -> DataF
     )
 
 
+def select_task_columns(
+    df: DataFrame,
+    prompt: str,
+    key: str,
+    features: Sequence[str] | None = None,
+    target: str | None = None,
+) -> tuple[list[str], str]:
+    """Text columns and target of a task: what was asked for, else what fits the prompt.
+
+    Asked features that the table lacks are left out; an asked target it lacks is an error, and so
+    is a table without text columns or, when no target is asked for, without ``annotation_label``.
+    """
+    if not prompt:
+        raise ValueError("A task needs a prompt")
+    if features is not None:
+        chosen = [name for name in features if name in df.columns]
+    else:
+        scored = infer_features(df, prompt, key).where("selected")
+        # A handful: at most three columns are selected.
+        chosen = [r["column"] for r in scored.orderBy(F.desc("score"), F.desc("column")).collect()]
+    if not chosen:
+        raise ValueError("No text column fits the task")
+    wanted = DEFAULT_TARGET if target is None else target
+    if wanted not in df.columns:
+        raise ValueError(f"The target column {wanted!r} is not in the table")
+    return chosen, wanted
+
+
 def compose_text(df: DataFrame, columns: Sequence[str], prompt: str | None = None) -> Column:
     """Values of the columns on lines of their own, gaps left out, after the task."""
     parts = []

@@ -34,7 +34,7 @@ from corpusmill.operators.detect import (
 )
 from corpusmill.operators.profile import present
 from corpusmill.schema import numeric_columns
-from corpusmill.settings import cut_lineage
+from corpusmill.settings import cut_lineage, join_small
 
 # What is done when nothing else is asked.
 DEFAULT_STRATEGY = {"missing": "median", "duplicates": "drop", "outliers": "clip_iqr"}
@@ -63,12 +63,13 @@ def impute_median(
 ) -> DataFrame:
     """Numeric gaps filled with the column's median; filled columns are double."""
     names = _numbers(df, columns, protect)
-    if not names:
-        return df
-    filled = with_scalar(df, "__q", quantile_map(df, names, [0.5], exact))
-    return filled.withColumns(
-        {n: F.coalesce(_value(n), quantile_at("__q", n, 0)) for n in names}
-    ).drop("__q")
+    return _filled(df, names, quantile_map(df, names, [0.5], exact)) if names else df
+
+
+def _filled(df: DataFrame, names: Sequence[str], values: DataFrame) -> DataFrame:
+    """Gaps of the columns filled from a one-row map, as :func:`quantile_map` gives it."""
+    filled = with_scalar(df, "__q", values)
+    return filled.withColumns({n: F.coalesce(_value(n), quantile_at("__q", n, 0)) for n in names}).drop("__q")
 
 
 def impute_mean(
@@ -76,32 +77,57 @@ def impute_mean(
 ) -> DataFrame:
     """Numeric gaps filled with the column's mean; filled columns are double."""
     names = _numbers(df, columns, protect)
-    if not names:
-        return df
+    return _filled(df, names, _means(df, names)) if names else df
+
+
+def _means(df: DataFrame, names: Sequence[str]) -> DataFrame:
     means = F.map_from_entries(
         F.array(*[F.struct(F.lit(n), F.array(F.avg(_value(n)))) for n in names])
     )
-    filled = with_scalar(df, "__q", df.agg(means.alias("q")))
-    return filled.withColumns(
-        {n: F.coalesce(_value(n), quantile_at("__q", n, 0)) for n in names}
-    ).drop("__q")
+    return df.agg(means.alias("q"))
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str], protect: Sequence[str] = ()) -> DataFrame:
     """Gaps of any type filled with the most frequent value, ties by the smallest.
 
-    The value is taken from grouped counts, so no task holds all distinct values.
+    All columns are counted in one grouping by the digest of a value, so no text is shuffled; the
+    values behind the most frequent digests are looked up afterwards. A column in which every value
+    is alone needs no lookup: its smallest value it is.
     """
     names = [n for n in columns if n not in protect]
+    if not names:
+        return df
     fields = {f.name: f for f in df.schema}
-    for i, name in enumerate(names):
-        counts = df.where(present(fields[name])).groupBy(F.col(name).alias("v")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        best = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("best"))
-        cell = F.when(present(fields[name]), F.col(name))
-        df = with_scalar(df, f"__m{i}", best).withColumn(name, F.coalesce(cell, F.col(f"__m{i}")))
-    return df.drop(*[f"__m{i}" for i in range(len(names))])
+    filled = [present(fields[n]) for n in names]
+    keys = [
+        F.struct(F.lit(i).alias("c"), content_key([(n, fields[n].dataType)]).alias("d")) for i, n in enumerate(names)
+    ]
+    digests = df.select(F.explode(F.array_compact(F.array(*map(F.when, filled, keys)))).alias("r")).select("r.*")
+    counts = cut_lineage(digests.groupBy("c", "d").agg(F.count(F.lit(1)).alias("n")))
+    # One row per column.
+    most = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.max("n").alias("n")).collect()}
+    repeated = [i for i, n in most.items() if n > 1]
+    least = [F.min(F.when(here, F.col(n))).alias(n) for i, (n, here) in enumerate(zip(names, filled)) if i not in repeated]
+    modes = [df.agg(*least)] if least else []
+    if repeated:
+        highest = F.create_map(*[F.lit(x) for i in repeated for x in (i, most[i])])
+        winners = counts.where(F.col("n") == F.element_at(highest, F.col("c"))).select("c", "d")
+        values = [
+            F.struct(
+                F.lit(i).alias("c"), keys[i]["d"].alias("d"),
+                *[(F.col(names[k]) if k == i else F.lit(None).cast(fields[names[k]].dataType)).alias(f"v{k}") for k in repeated],
+            )
+            for i in repeated
+        ]
+        cells = F.array(*[F.when(filled[i], v) for i, v in zip(repeated, values)])
+        found = join_small(df.select(F.explode(F.array_compact(cells)).alias("r")).select("r.*"), winners, ["c", "d"])
+        modes.append(found.agg(*[F.min(f"v{k}").alias(names[k]) for k in repeated]))
+    for k, mode in enumerate(modes):
+        df = with_scalar(df, f"__m{k}", mode.select(F.struct(*mode.columns).alias("m")))
+        for name in mode.columns:
+            cell = F.when(present(fields[name]), F.col(name))
+            df = df.withColumn(name, F.coalesce(cell, F.col(f"__m{k}")[name]))
+    return df.drop(*[f"__m{k}" for k in range(len(modes))])
 
 
 def drop_missing(
@@ -160,13 +186,20 @@ def dedup_text_keep_richest(
 
 
 def clip_iqr(
-    df: DataFrame, columns: Sequence[str] | None = None, protect: Sequence[str] = (), exact: bool = True
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    protect: Sequence[str] = (),
+    exact: bool = True,
+    basis: DataFrame | None = None,
 ) -> DataFrame:
-    """Numbers pulled to the interquartile fences; gaps stay; clipped columns are double."""
+    """Numbers pulled to the interquartile fences; gaps stay; clipped columns are double.
+
+    ``basis`` may hold the same numbers in a table that is cheaper to read.
+    """
     names = _numbers(df, columns, protect)
     if not names:
         return df
-    clipped = with_scalar(df, "__q", quantile_map(df, names, [0.25, 0.75], exact))
+    clipped = with_scalar(df, "__q", quantile_map(df if basis is None else basis, names, [0.25, 0.75], exact))
     cells = {}
     for name in names:
         low, high = fences("__q", name)
@@ -176,13 +209,20 @@ def clip_iqr(
 
 
 def drop_iqr(
-    df: DataFrame, columns: Sequence[str] | None = None, protect: Sequence[str] = (), exact: bool = True
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    protect: Sequence[str] = (),
+    exact: bool = True,
+    basis: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows with a number outside the interquartile fences removed; gaps pass."""
+    """Rows with a number outside the interquartile fences removed; gaps pass.
+
+    ``basis`` may hold the same numbers in a table that is cheaper to read.
+    """
     names = _numbers(df, columns, protect)
     if not names:
         return df
-    checked = with_scalar(df, "__q", quantile_map(df, names, [0.25, 0.75], exact))
+    checked = with_scalar(df, "__q", quantile_map(df if basis is None else basis, names, [0.25, 0.75], exact))
     inside = F.lit(True)
     for name in names:
         inside = inside & F.coalesce(_value(name).between(*fences("__q", name)), F.lit(True))
@@ -281,24 +321,24 @@ def fix(
     out = apply_actions(out, early, key, text, label)
     protect = [key, label]
     numbers = _numbers(out, None, protect)
-    statistical = chosen["missing"] in ("median", "mean", "mode") or chosen["outliers"] != "keep"
-    if numbers and statistical:
-        # The statistics below read the rows several times; deduplicate once.
-        out = cut_lineage(out)
-    if chosen["missing"] == "median":
-        out = impute_median(out, numbers, exact=exact)
-    elif chosen["missing"] == "mean":
-        out = impute_mean(out, numbers)
-    elif chosen["missing"] == "mode":
+    if chosen["missing"] == "mode":
         plain = (T.MapType, T.StructType, T.ArrayType)
         names = [f.name for f in out.schema if not isinstance(f.dataType, plain)]
         out = impute_mode(out, names, protect)
     elif chosen["missing"] == "drop":
         out = drop_missing(out, label=label)
-    if chosen["outliers"] == "clip_iqr":
-        out = clip_iqr(out, numbers, exact=exact)
-    elif chosen["outliers"] == "drop_iqr":
-        out = drop_iqr(out, numbers, exact=exact)
+    if numbers and (chosen["missing"] in ("median", "mean") or chosen["outliers"] != "keep"):
+        # The statistics read the rows several times, but only their numbers: those are stored and
+        # treated like the rows, which are read once at the end.
+        slim = cut_lineage(out.select(*numbers))
+        if chosen["missing"] in ("median", "mean"):
+            median = chosen["missing"] == "median"
+            values = cut_lineage(quantile_map(slim, numbers, [0.5], exact) if median else _means(slim, numbers))
+            out, slim = _filled(out, numbers, values), _filled(slim, numbers, values)
+        if chosen["outliers"] == "clip_iqr":
+            out = clip_iqr(out, numbers, exact=exact, basis=slim)
+        elif chosen["outliers"] == "drop_iqr":
+            out = drop_iqr(out, numbers, exact=exact, basis=slim)
     return apply_actions(out, {"label_actions": chosen.get("label_actions", [])}, key, text, label)
 
 

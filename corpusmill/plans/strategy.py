@@ -108,8 +108,17 @@ def recommend_strategy(report: DataFrame, configured: Mapping | None = None) ->
         options["configured"] = [
             (block, name, always, "configured") for block in BLOCKS for name in configured.get(block) or []
         ]
+    def listed(option: str) -> Column:
+        """What an option shows, by block and in the order of the blocks."""
+        names = [F.when(shown, F.lit(f"{block}/{action}")) for block, action, shown, _ in options[option]]
+        return F.array_sort(F.array_compact(F.array(*names)))
+
     cells = []
     for option, actions in options.items():
+        # A configured strategy that says the same as another option is no alternative.
+        new = always
+        if option == "configured":
+            new = ~(listed("configured").eqNullSafe(listed("retain")) | listed("configured").eqNullSafe(listed("supervised_only")))
         for position, (block, action, shown, reason) in enumerate(actions, start=1):
             row = F.struct(
                 F.lit(option).alias("option"),
@@ -119,7 +128,7 @@ def recommend_strategy(report: DataFrame, configured: Mapping | None = None) ->
                 F.lit(action).alias("action"),
                 F.lit(reason).alias("reason"),
             )
-            cells.append(F.when(shown, row))
+            cells.append(F.when(shown & new, row))
     return facts.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
 
 

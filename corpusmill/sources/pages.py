@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import blank_to_null, strip_ws
+from corpusmill.sources.selectors import Element, Selector
 
 # Shortest text that counts as extracted.
 MIN_CHARS = 200
@@ -25,19 +26,32 @@ _BLOCKS = set(
     "address article aside blockquote body dd div dl dt footer form h1 h2 h3 h4 h5 h6 header "
     "li main nav ol p pre section table td th tr ul".split()
 )
+# Elements that end where the next of their kind begins, and what they may be nested in.
+_ITEMS: dict[str, tuple[set[str], frozenset[str]]] = {
+    "li": ({"li"}, frozenset({"ul", "ol"})),
+    "p": ({"p"}, frozenset({"div", "td", "li"})),
+    "dt": ({"dt", "dd"}, frozenset({"dl"})),
+    "dd": ({"dt", "dd"}, frozenset({"dl"})),
+    "tr": ({"tr"}, frozenset({"table"})),
+    "td": ({"td", "th"}, frozenset({"tr", "table"})),
+    "th": ({"td", "th"}, frozenset({"tr", "table"})),
+}
 
 
 class _Page(HTMLParser):
     """Collects text nodes, prose blocks and link targets of one page."""
 
-    def __init__(self, selector: Sequence[str]) -> None:
+    def __init__(self, selector: Selector) -> None:
         super().__init__(convert_charrefs=True)
+        # Tags of the open elements; for selectors the same with their attributes, where elements
+        # without an end tag end as browsers see it.
         self.path: list[str] = []
+        self.above: list[Element] = []
         self.nodes: list[str] = []
         self.blocks: list[list[str]] = [[]]
         self.linked: list[int] = [0]
         self.anchors: list[dict] = []
-        self.selector = list(selector)
+        self.selector = selector
         self.open_anchors: list[tuple[int, dict]] = []
         self.run: list[str] = []
 
@@ -57,23 +71,30 @@ class _Page(HTMLParser):
             self.blocks[-1].append(piece)
             self.linked[-1] += len(piece) if "a" in inside else 0
 
-    def _matches(self, tag: str) -> bool:
-        if tag != self.selector[-1]:
-            return False
-        above = iter(self.path)
-        return all(any(name == step for name in above) for step in self.selector[:-1])
-
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._flush()
         if tag in _BLOCKS:
             self._new_block()
-        if self._matches(tag):
-            anchor = {"href": (dict(attrs).get("href") or "").strip(), "text": []}
+        if tag in _ITEMS:
+            self._close(*_ITEMS[tag])
+        element = (tag, dict(attrs))
+        if self.selector.matches(element, self.above):
+            anchor = {"href": (element[1].get("href") or "").strip(), "text": []}
             self.anchors.append(anchor)
             if tag not in _VOID:
                 self.open_anchors.append((len(self.path), anchor))
         if tag not in _VOID:
             self.path.append(tag)
+            self.above.append(element)
+
+    def _close(self, tags: set[str], within: frozenset[str] = frozenset()) -> None:
+        """Close the innermost open element of ``tags``, unless one of ``within`` was opened in it."""
+        for i in range(len(self.above) - 1, -1, -1):
+            if self.above[i][0] in tags:
+                del self.above[i:]
+                return
+            if self.above[i][0] in within:
+                return
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -84,6 +105,7 @@ class _Page(HTMLParser):
         self._flush()
         if tag in _BLOCKS:
             self._new_block()
+        self._close({tag})
         if tag in self.path:
             depth = len(self.path) - 1 - self.path[::-1].index(tag)
             del self.path[depth:]
@@ -147,51 +169,58 @@ def page_extract(
     same_domain_only: bool = False,
     selector: str = "a",
 ) -> DataFrame:
-    """Text, extraction method and links of each page, in one parse.
+    """Text, extraction method, links and markup of each page, in one parse.
 
     ``text`` is the prose of the page (method ``main``) when that has at least
-    200 characters, else all visible text (``full``). ``selector`` is a tag
-    name or a chain of tag names (``nav a``). Broken markup never fails a task.
+    200 characters, else all visible text (``full``). ``selector`` says which elements are links,
+    see :class:`Selector`. Broken markup never fails a task.
     """
-    steps = selector.lower().split()
+    return _extracted(pages, key, url, html, same_domain_only, selector, True)
+
+
+def _extracted(
+    pages: DataFrame, key: str, url: str, html: str, same_domain_only: bool, selector: str, markup: bool
+) -> DataFrame:
+    # A selector that is none fails here and not in a task.
+    Selector(selector)
     kind = pages.schema[key].dataType.simpleString()
+    names = [key, url, "extract_method", "text", "full_text", "links"] + [html] * markup
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = Selector(selector)
         for batch in batches:
             out = []
-            for k, address, markup in zip(batch[key], batch[url], batch[html]):
+            for k, address, source in zip(batch[key], batch[url], batch[html]):
                 base = address if isinstance(address, str) else ""
-                page = _Page(steps).finish(markup if isinstance(markup, str) else "")
+                page = _Page(wanted).finish(source if isinstance(source, str) else "")
                 main = page.main_text()
                 whole = page.full_text()
                 good = len(main) >= MIN_CHARS
-                out.append(
-                    (
-                        k,
-                        address,
-                        "main" if good else "full",
-                        main if good else whole,
-                        whole,
-                        _links(page, base, same_domain_only),
-                    )
-                )
-            yield pd.DataFrame(out, columns=[key, url, "extract_method", "text", "full_text", "links"])
+                links = _links(page, base, same_domain_only)
+                out.append((k, address, "main" if good else "full", main if good else whole, whole, links, source))
+            yield pd.DataFrame([row[: len(names)] for row in out], columns=names)
 
     return pages.select(key, url, html).mapInPandas(
         parse,
         f"{key} {kind}, {url} string, extract_method string, text string, full_text string, "
-        "links array<struct<position:int,url:string,text:string>>",
+        "links array<struct<position:int,url:string,text:string>>" + f", {html} string" * markup,
     )
 
 
+def _slim(
+    pages: DataFrame, key: str, url: str = "url", html: str = "html", same_domain_only: bool = False, selector: str = "a"
+) -> DataFrame:
+    return _extracted(pages, key, url, html, same_domain_only, selector, False)
+
+
 def page_text(pages: DataFrame, key: str = "page_id", **options) -> DataFrame:
     """Text of each page and the method that gave it."""
-    return page_extract(pages, key, **options).select(key, "extract_method", "text", "full_text")
+    return _slim(pages, key, **options).select(key, "extract_method", "text", "full_text")
 
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", **options) -> DataFrame:
     """One row per distinct link of a page, in document order."""
-    links = page_extract(pages, key, url, **options).select(
+    links = _slim(pages, key, url, **options).select(
         key, F.col(url).alias("page_url"), F.explode("links").alias("l")
     )
     return links.select(key, "page_url", "l.position", "l.url", "l.text")

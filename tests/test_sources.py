@@ -1,4 +1,7 @@
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.schema import UNIFIED_COLUMNS
 from corpusmill.sources import pages, payloads, tables, unify
@@ -182,3 +185,89 @@ def test_assemble_pages(spark):
     got = {r["d"]: (r["method"], r["text"]) for r in pages.assemble_pages(rows, "d", "p", [("e1", "e1"), ("e2", "e2")]).collect()}
     assert got == {1: ("e2", "y" * 210), 2: ("unparsed", "")}
     assert pages.join_pages(rows, "d", "p", "e1").where("d = 1").first()["text"] == "a\n\nb"
+
+
+def test_sources_that_fail_while_they_are_read(spark, tmp_path):
+    """A row that cannot be made, a broken file and unreadable lines cost their own source only."""
+    good = spark.createDataFrame([("a",), ("b",)], "text string")
+    broken = tmp_path / "broken.parquet"
+    broken.write_bytes(b"PAR1 this is no table PAR1")
+    (tmp_path / "lines.jsonl").write_text('{"text": "one"}\nnot json\n{"text": "two"}\n{"text": \n')
+    (tmp_path / "cells.csv").write_text("text,n\nx,1\ny,many\nz,3\n")
+    schema = T.StructType([T.StructField("text", T.StringType())])
+    numbered = T.StructType([*schema.fields, T.StructField("n", T.IntegerType())])
+    fails = good.withColumn("text", F.raise_error(F.lit("no")).cast("string"))
+    sources = {
+        "row": lambda: fails,
+        "file": lambda: spark.read.schema(schema).parquet(str(broken)),
+        "lines": lambda: tables.read_table(spark, str(tmp_path / "lines.jsonl"), schema, keep_corrupt=True),
+        "cells": lambda: tables.read_table(spark, str(tmp_path / "cells.csv"), numbered, keep_corrupt=True),
+        "good": lambda: good,
+    }
+    done = tables.collect(spark, [({"type": "x", "name": n}, load) for n, load in sources.items()], NOW)
+    rows = {r["source"]: (r["row_count"], r["success"], r["bad_rows"]) for r in done.ledger.collect()}
+    assert rows == {"row": (0, False, 0), "file": (0, False, 0), "lines": (2, True, 2), "cells": (2, True, 1), "good": (2, True, 0)}
+    assert all(r["reason"] for r in done.ledger.where("NOT success").collect())
+    assert done.merged.count() == 6
+    assert sorted(tuple(r) for r in done.quarantine.collect()) == [("cells", "y,many"), ("lines", "not json"), ("lines", '{"text": ')]
+    with pytest.raises(ValueError):
+        tables.read_table(spark, str(tmp_path / "lines.jsonl"), keep_corrupt=True)
+
+
+def test_published_tables(spark, tmp_path):
+    rows = [(1, 'a "quoted", text\nwith\r\nlines', 1.5, ["x"], None), (2, None, None, [], ""), (3, "", 0.1, None, "é")]
+    df = spark.createDataFrame(rows, "id long, text string, n double, tags array<string>, note string")
+    for name in ("t.csv", "t.jsonl"):
+        path = str(tmp_path / name)
+        tables.publish_table(df.limit(1), path)
+        assert tables.publish_table(df, path)["rows"] == 3
+        back = tables.read_published(spark, path).orderBy("id")
+        assert back.columns == df.columns and back.schema["n"].dataType.simpleString() == "double"
+        assert [r["n"] for r in back.collect()] == [1.5, None, 0.1]
+        # Nothing else is left.
+        assert {p.name for p in tmp_path.iterdir()} == {"t.csv", name}
+    assert [r["text"] for r in back.collect()] == [r[1] for r in rows]
+    assert back.collect()[0]["tags"] == ["x"]
+    fails = df.withColumn("note", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(PySparkException):
+        tables.publish_table(fails, str(tmp_path / "t.jsonl"))
+    assert tables.read_published(spark, str(tmp_path / "t.jsonl")).count() == 3 and len(list(tmp_path.iterdir())) == 2
+
+
+@pytest.mark.parametrize(
+    "selector, found",
+    [
+        ("a", "1234567"),
+        ("nav a", "123"),
+        ("nav > a", "1"),
+        ("ul > li > a", "23"),
+        (".more", "3"),
+        ("a.more.big", "3"),
+        ("#top a", "123"),
+        ("[data-x]", "45"),
+        ("a[data-x=y]", "4"),
+        ('a[href^="/p"], nav > a', "1567"),
+        ("a[rel~=next]", "6"),
+        ("p > a[href$='.html']", "7"),
+        ("div a", ""),
+    ],
+)
+def test_link_selectors(spark, selector, found):
+    html = (
+        '<nav id="top"><a href="/1">1</a><ul><li><a href="/2">2</a><li><a class="more big" href="/3">3</a></ul></nav>'
+        '<a data-x="y" href="/4">4</a><p><a data-x href="/p5">5</a><a rel="prev next" href="/p6">6</a><a href="/p7.html">7</a></p>'
+    )
+    df = spark.createDataFrame([(1, "http://a.org/", html)], "page_id long, url string, html string")
+    rows = pages.page_links(df, selector=selector).orderBy("position").collect()
+    assert "".join(r["text"] for r in rows) == found
+
+
+@pytest.mark.parametrize("selector", ["", "a,", "> a", "a:hover", "a >", "a b[", "a..b", "a > > b"])
+def test_selectors_that_are_none(spark, selector):
+    with pytest.raises(ValueError):
+        pages.page_links(spark.createDataFrame([], "page_id long, url string, html string"), selector=selector)
+
+
+def test_page_extract_hands_the_markup_on(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x</p>"), (2, None, None)], "page_id long, url string, html string")
+    assert [r["html"] for r in pages.page_extract(df).orderBy("page_id").collect()] == ["<p>x</p>", None]

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +119,32 @@ def test_normalize_answer(spark):
         "false",
         None,
     ]
+
+
+def restarted(source, opener, closer):
+    """The first balanced slice, searched anew from every opener."""
+    mark = re.compile(r'"(?:\\.|[^"\\])*(?:"|\Z)|[{}\[\]]', re.DOTALL)
+    for at in [i for i, c in enumerate(source) if c == opener]:
+        level = 0
+        for m in mark.finditer(source, at):
+            level += (m.group() == opener) - (m.group() == closer)
+            if m.group() == closer and level == 0:
+                return source[at : m.end()]
+    return None
+
+
+def test_balanced_slice_equals_a_search_from_every_opener():
+    rng = random.Random(4)
+    for _ in range(20_000):
+        source = "".join(rng.choices('{}[]"\\a', weights=[4, 4, 1, 1, 3, 2, 2], k=rng.randrange(1, 24)))
+        # A quote that a lone last backslash leaves open is read as a string here.
+        source = source.rstrip("\\")
+        for opener, closer in ("{}", "[]"):
+            assert text._balanced(source, opener, closer) == restarted(source, opener, closer), source
+
+
+@pytest.mark.parametrize("source", ["{" * 100_000, '{"' * 100_000, '{"\\"' * 100_000, "{" * 100_000 + "}" * 99_999, '"{' * 99_999])
+def test_many_openers_take_one_pass(source):
+    began = time.perf_counter()
+    text._balanced(source, "{", "}")
+    assert time.perf_counter() - began < 1
