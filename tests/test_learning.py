@@ -355,3 +355,43 @@ def test_training_makes_one_pass_an_epoch(spark, monkeypatch):
 def test_summary(spark):
     df = spark.createDataFrame([("x", True), ("y", None), (None, None)], "label string, active_learning_selected boolean")
     assert tuple(active.al_summary(df, "label", "entropy").first()) == (2, 1, 1, 2, "entropy")
+
+
+def test_tasks_ask_an_annotator_once_per_row(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def annotator(payloads):
+        asked.add(len(payloads))
+        return ['{"label": "a"}'] * len(payloads)
+
+    rows = spark.range(40).selectExpr("id", "concat('text ', id) AS text")
+    done = annotate.annotate_pass(rows, "text", annotator, "p")
+    done = done.withColumns({"annotation_label": F.get_json_object("p_raw", "$.label"), "annotation_confidence": F.lit(1.0)})
+    fixed = {"annotation_needs_review": False, "annotation_label_origin": "agreed", "annotation_compare_status": "ok"}
+    done = done.withColumns({c: F.lit(v) for c, v in (fixed | {annotate.ANSWER_1: "a", annotate.ANSWER_2: "a"}).items()})
+    tasks = annotate.label_tasks(done, "id").orderBy("id").collect()
+    assert [t["id"] for t in tasks] == list(range(1, 41)) and tasks[7]["data"]["text"] == "text 7"
+    assert asked.value == 40
+
+
+def test_task_columns(spark):
+    rows = [(i, f"a long enough text number {i}", "en", None if i < 15 else "word " * 9, "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, body string, lang string, title string, annotation_label string")
+    assert active.select_task_columns(df, "Rate the body", "id") == (["body"], "annotation_label")
+    assert active.select_task_columns(df, "Rate the title", "id")[0] == ["title"]
+    assert active.select_task_columns(df, "Rate", "id", ["lang", "none"], "body") == (["lang"], "body")
+    for options in ({"prompt": ""}, {"features": ["none"]}, {"target": "none"}):
+        with pytest.raises(ValueError):
+            active.select_task_columns(**{"df": df, "prompt": "Rate the body", "key": "id"} | options)
+    with pytest.raises(ValueError):
+        active.select_task_columns(df.drop("annotation_label"), "Rate the body", "id")
+    with pytest.raises(ValueError):
+        active.select_task_columns(df.select("id", "lang", "annotation_label"), "Rate", "id")
+
+
+def test_annotation_quality_of_no_and_empty_rows(spark):
+    schema = "id int, label string, annotation_auto_label_pass_1 string, annotation_auto_label_pass_2 string, annotation_label string, annotation_confidence double, annotation_needs_review boolean"
+    for rows in ([], [(1, None, None, " None ", None, None, None)]):
+        got = {(r["metric"], r["column"]): r["value"] for r in agreement.annotation_quality(spark.createDataFrame(rows, schema)).collect()}
+        assert got["intra_kappa", ""] is None and got["inter_agreement_rate", ""] is None
+        assert got["review_count", ""] == 0 and got["confidence_mean", ""] == 0 and len(got) == 9

@@ -311,3 +311,53 @@ def test_chain(rows):
     done = chain(rows, stages)
     assert isinstance(done, StageResult) and done.df.count() == 3
     assert [(r["section"], r["value"]) for r in done.metrics.collect()] == [("x", 3.0)]
+
+
+def test_modes_of_all_columns_in_one_grouping(spark):
+    rows = [(1, "b", 1.0, None, "x"), (2, "b", 2.0, "only", None), (3, "a", 2.0, None, "y"), (4, "a", None, None, "y"), (5, None, float("nan"), None, "x")]
+    df = spark.createDataFrame(rows, "id long, tied string, number double, single string, two string")
+    got = {r["id"]: tuple(r)[1:] for r in clean.impute_mode(df, df.columns, ["id"]).collect()}
+    assert got[5] == ("a", 2.0, "only", "x") and got[2] == ("b", 2.0, "only", "x") and got[4] == ("a", 2.0, "only", "y")
+    alone = spark.createDataFrame([(3, "c"), (1, "a"), (None, None)], "n int, t string")
+    assert sorted(tuple(r) for r in clean.impute_mode(alone, ["n", "t"]).collect()) == [(1, "a"), (1, "a"), (3, "c")]
+    empty = spark.createDataFrame([(None, None)], "n int, t string")
+    assert [tuple(r) for r in clean.impute_mode(empty, ["n", "t"]).collect()] == [(None, None)]
+
+
+@pytest.mark.parametrize("missing", ["median", "mean", "mode", "drop", "keep"])
+@pytest.mark.parametrize("outliers", ["clip_iqr", "drop_iqr", "keep"])
+def test_fix_equals_its_steps(spark, missing, outliers):
+    rows = [(i, f"text {i % 37}", float(i % 11) if i % 5 else None, 1000.0 if i % 50 == 0 else float(i % 7), "ab"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string, a double, b double, label string")
+    got = clean.fix(df, "id", {"missing": missing, "outliers": outliers})
+    want = clean.drop_duplicate_rows(df, "id")
+    if missing in ("median", "mean"):
+        want = (clean.impute_median if missing == "median" else clean.impute_mean)(want, ["a", "b"])
+    elif missing == "mode":
+        want = clean.impute_mode(want, df.columns, ["id", "label"])
+    elif missing == "drop":
+        want = clean.drop_missing(want)
+    if outliers != "keep":
+        want = (clean.clip_iqr if outliers == "clip_iqr" else clean.drop_iqr)(want, ["a", "b"])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_a_configured_strategy_is_listed_only_when_it_differs(rows):
+    report = detect.quality_report(rows, "id")
+    told = strategy.recommend_strategy(report)
+    blocks = strategy.strategy_of(told)
+    options = lambda configured: {r["option"] for r in strategy.recommend_strategy(report, configured).collect()}
+    assert options(blocks) == {"retain", "supervised_only"}
+    assert options({**blocks, "label_actions": []}) == {"retain", "supervised_only", "configured"}
+    assert options({"row_actions": ["drop_exact_duplicates"]}) == {"retain", "supervised_only", "configured"}
+
+
+def test_comparison_reads_both_tables_once_and_keeps_their_columns_apart(spark):
+    before = spark.createDataFrame([(1, "a", 1.0, None), (2, "a", 2.0, None), (3, None, 900.0, None)], "id int, text string, n double, gone string")
+    after = before.where("id < 3").drop("gone").withColumn("more", F.lit(5))
+    rows = {(r["section"], r["metric"], r["column"]): (r["before"], r["after"], r["delta"]) for r in compare.compare(before, after, "id").collect()}
+    assert rows["table", "row_count", ""] == (3, 2, 1) and rows["table", "column_count", ""] == (4, 4, 0)
+    assert rows["missing", "by_column", "gone"] == (3, None, None) and rows["missing", "by_column", "more"] == (None, 0, None)
+    assert rows["text", "duplicate_text_rows", ""] == (1, 1, 0) and rows["text", "empty_rows", ""] == (1, 0, 1)
+    empty = {(r["section"], r["metric"], r["column"]): r["after"] for r in compare.compare(before, before.limit(0), "id").collect()}
+    assert empty["table", "row_count", ""] == 0 and empty["missing", "total", ""] == 0 and empty["duplicates", "rows", ""] == 0
