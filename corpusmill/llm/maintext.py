@@ -3,12 +3,18 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand,
 by the share of their text inside links, by length and by the share of stop words. Short or
 unclear blocks stay open; the second pass gives them the label of their nearest decided neighbours.
+
+Class names, ids and roles that speak of menus, adverts and the like decide about what stands in
+their element, unless that leaves nothing of the page: then the names on elements that hold more
+than half of its text are not believed. Where the stop words of no listed language occur, length and
+link density decide alone. Time is in step with the page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,7 +52,8 @@ OUTSIDE_TAGS = frozenset(
 )
 CONTAINER_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-# Words in a class, id or role that mark what is not the article.
+# Words in a class, id or role that mark what is not the article, if the name says nothing else
+# beside them and the plain words below.
 OUTSIDE_NAMES = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments "
     "complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav "
@@ -54,15 +61,27 @@ OUTSIDE_NAMES = frozenset(
     "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
+PLAIN_NAMES = frozenset(
+    "area bar block body bottom box container content foot global head inner item items left link links list "
+    "main outer panel primary right row secondary section site slot text title top unit wrap wrapper".split()
+)
+
 SHORT = 70
 LONG = 200
 STOP_LOW = 0.10
 STOP_HIGH = 0.20
+# Below this share over all long blocks of a page, no list of stop words fits its language.
+STOP_NONE = 0.05
 LINKS = 0.4
+# A sign of these scripts, which have no spaces or few, says as much as three letters.
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.DOTALL
 )
+# A tag with a quote that nothing closes, to the end of the page; from there on quotes mean nothing.
+_UNCLOSED = re.compile(r"</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?:\"[^\"]*|'[^']*)\Z", re.DOTALL)
+_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^>]*>", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -78,84 +97,117 @@ class Block:
     heading: bool
     outside: bool  # stands in an element that is not the article
     contained: bool  # stands in an article element
+    mark: int = -1  # innermost element around it whose name speaks against it
     label: str = OPEN
 
 
+@dataclass
+class _Open:
+    """An open element, with what it hands down to those inside."""
+
+    tag: str
+    outside: bool
+    contained: bool
+    mark: int
+
+
 @dataclass
 class _Reader:
     """Open elements and the block that is being read."""
 
-    stack: list[tuple[str, bool, bool]] = field(default_factory=list)
+    stack: list[_Open] = field(default_factory=list)
+    count: Counter = field(default_factory=Counter)
+    lists: list[str] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
+    # For every element with a telling name the one around it, or -1.
+    marks: list[int] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    links: int = 0
     heading: bool = False
 
-    def outside(self) -> bool:
-        return bool(self.stack) and self.stack[-1][1]
-
-    def contained(self) -> bool:
-        return bool(self.stack) and self.stack[-1][2]
-
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, self.linked, self.heading, self.outside(), self.contained()))
+            top = self.stack[-1] if self.stack else _ROOT
+            self.blocks.append(Block(text, self.linked, self.heading, top.outside, top.contained, top.mark))
         self.parts, self.linked = [], 0
 
     def add(self, raw: str) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
         self.parts.append(text)
-        if self.links:
+        if self.count["a"]:
             self.linked += len("".join(text.split()))
 
     def open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK_TAGS:
             self.flush()
             # A paragraph ends where the next block begins, a list item at the next item.
-            names = [t for t, _, _ in self.stack]
-            if "p" in names:
-                self.close("p")
-            if tag == "li" and "li" in names and not ({"ul", "ol"} & set(names[len(names) - names[::-1].index("li") :])):
+            self.close("p")
+            if tag == "li" and self.lists and self.lists[-1] == "li":
                 self.close("li")
             self.heading = tag in HEADINGS
-        contained = self.contained() or tag in CONTAINER_TAGS
-        outside = self.outside() or tag in OUTSIDE_TAGS or (tag == "header" and not contained)
+        if tag in VOID_TAGS:
+            return
+        top = self.stack[-1] if self.stack else _ROOT
+        contained = top.contained or tag in CONTAINER_TAGS
+        outside = top.outside or tag in OUTSIDE_TAGS or (tag == "header" and not contained)
+        mark = top.mark
         if not outside and attributes and tag not in CONTAINER_TAGS and tag not in ("html", "body"):
-            named = " ".join(_NAMES.findall(attributes))
-            names = {w.lower() for w in _PART.findall(named)}
-            # The header of an article holds its title.
-            names -= {"header"} if contained else set()
-            outside = bool(names & OUTSIDE_NAMES) or bool(_HIDDEN.search(attributes))
-        if tag not in VOID_TAGS:
-            self.stack.append((tag, outside, contained))
-            self.links += tag == "a"
+            outside = bool(_HIDDEN.search(attributes))
+            if not outside and _speaks_against(attributes, contained):
+                self.marks.append(mark)
+                mark = len(self.marks) - 1
+        self.stack.append(_Open(tag, outside, contained, mark))
+        self.count[tag] += 1
+        if tag in _LISTS:
+            self.lists.append(tag)
 
     def close(self, tag: str) -> None:
-        if not any(t == tag for t, _, _ in self.stack):
-            return
-        while self.stack:
-            name = self.stack[-1][0]
+        while self.count[tag]:
+            name = self.stack[-1].tag
             if name in BLOCK_TAGS:
                 self.flush()
                 self.heading = False
             self.stack.pop()
-            self.links -= name == "a"
+            self.count[name] -= 1
+            if name in _LISTS:
+                self.lists.pop()
             if name == tag:
                 break
 
 
-def read_blocks(page: str) -> list[Block]:
-    """Blocks of a page in order; text directly in inline markup belongs to the block around it."""
-    reader, at = _Reader(), 0
+_ROOT = _Open("", False, False, -1)
+_LISTS = frozenset(("li", "ul", "ol"))
+
+
+def _speaks_against(attributes: str, contained: bool) -> bool:
+    """Is there a name like ``sidebar`` or ``site-footer``? ``has-sidebar`` or ``ad-free`` is none."""
+    for name in " ".join(n.strip("\"'") for n in _NAMES.findall(attributes)).split():
+        words = {w.lower() for w in _PART.findall(name)}
+        # The header of an article holds its title.
+        telling = words & OUTSIDE_NAMES - ({"header"} if contained else set())
+        if telling and words <= OUTSIDE_NAMES | PLAIN_NAMES:
+            return True
+    return False
+
+
+def _read(page: str) -> _Reader:
+    reader, at, token_of = _Reader(), 0, _TOKEN
     while at < len(page):
-        token = _TOKEN.search(page, at)
-        if token is None:
+        place = page.find("<", at)
+        if place < 0:
             reader.add(page[at:])
             break
-        if token.start() > at:
-            reader.add(page[at : token.start()])
+        token = token_of.match(page, place)
+        if token is None and token_of is _TOKEN and _UNCLOSED.match(page, place):
+            token_of = _LOOSE
+            token = token_of.match(page, place)
+        if token is None:
+            reader.add(page[at : place + 1])
+            at = place + 1
+            continue
+        if place > at:
+            reader.add(page[at:place])
         at = token.end()
         if not token[2]:
             continue
@@ -171,55 +223,106 @@ def read_blocks(page: str) -> list[Block]:
                 at = end.end() if end else len(page)
                 reader.close(tag)
     reader.flush()
+    return reader
+
+
+def read_blocks(page: str) -> list[Block]:
+    """Blocks of a page in order; text directly in inline markup belongs to the block around it.
+
+    Blocks in an element whose name speaks against it count as outside, unless nothing else is left.
+    """
+    reader = _read(page)
+    plain = [b.outside for b in reader.blocks]
+    believed = [True] * len(reader.marks)
+    _set_outside(reader, plain, believed)
+    if reader.marks and not any(b.label == GOOD for b in label_blocks(reader.blocks)):
+        # Which named elements hold most of the text? A name stands before those inside it.
+        held = [0] * len(reader.marks)
+        for block, outside in zip(reader.blocks, plain):
+            if block.mark >= 0 and not outside:
+                held[block.mark] += len(block.text)
+        for mark in range(len(held) - 1, -1, -1):
+            if reader.marks[mark] >= 0:
+                held[reader.marks[mark]] += held[mark]
+        total = sum(len(b.text) for b, outside in zip(reader.blocks, plain) if not outside)
+        _set_outside(reader, plain, [2 * h <= total for h in held])
     return reader.blocks
 
 
-def _decide(block: Block) -> str:
-    """First pass."""
-    size = max(len(block.text.replace(" ", "")), 1)
-    links = block.linked / size
-    if block.outside or links > LINKS:
+def _set_outside(reader: _Reader, plain: list[bool], believed: list[bool]) -> None:
+    against: list[bool] = []
+    for mark, parent in enumerate(reader.marks):
+        against.append(believed[mark] or (parent >= 0 and against[parent]))
+    for block, outside in zip(reader.blocks, plain):
+        block.outside = outside or (block.mark >= 0 and against[block.mark])
+
+
+def _weight(text: str) -> int:
+    """Length in letters."""
+    return len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _links(block: Block) -> float:
+    return block.linked / max(len(block.text.replace(" ", "")), 1)
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _decide(block: Block, listed: bool) -> str:
+    """First pass; ``listed`` says that the page's language has stop words here."""
+    if block.outside or _links(block) > LINKS:
         return BAD
-    if len(block.text) < SHORT or block.heading:
+    if _weight(block.text) < SHORT or block.heading:
         return OPEN
-    words = _WORD.findall(block.text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if stop >= STOP_HIGH or (stop >= STOP_LOW and len(block.text) > LONG):
+    if not listed:
+        return GOOD
+    stop, words = _stop_words(block.text)
+    share = stop / max(words, 1)
+    if share >= STOP_HIGH or (share >= STOP_LOW and len(block.text) > LONG):
         return GOOD
     # Inside an article element a block of few stop words may be a list of names or a table.
-    return OPEN if block.contained or stop >= STOP_LOW else BAD
+    return OPEN if block.contained or share >= STOP_LOW else BAD
 
 
 def label_blocks(blocks: list[Block]) -> list[Block]:
     """Both passes. Blocks outside an article element do not vote on blocks inside one."""
-    for block in blocks:
-        block.label = _decide(block)
-    decided = [b.label for b in blocks]
+    long = [b.text for b in blocks if not b.outside and not b.heading and _links(b) <= LINKS and _weight(b.text) >= SHORT]
+    stop, words = (sum(n) for n in zip(*map(_stop_words, long))) if long else (0, 0)
+    listed = stop >= STOP_NONE * words
+    decided = [_decide(b, listed) for b in blocks]
+    before, after = (_nearest(blocks, decided, step) for step in (1, -1))
     for i, block in enumerate(blocks):
+        block.label = decided[i]
         if decided[i] != OPEN:
             continue
-        near = []
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < len(blocks) and (
-                decided[j] == OPEN or blocks[j].contained != block.contained or (block.contained and blocks[j].outside)
-            ):
-                j += step
-            near.append((abs(j - i), decided[j]) if 0 <= j < len(blocks) else None)
-        before, after = near
-        if before is None and after is None:
+        near = [j for j in (before[i], after[i]) if j is not None]
+        if not near:
             # Nothing around is decided: inside an article element that is the article.
             block.label = GOOD if block.contained else BAD
-        elif block.heading and after is not None:
-            block.label = after[1]
-        elif before is None or after is None:
-            block.label = (before or after)[1]
+        elif block.heading and after[i] is not None:
+            block.label = decided[after[i]]
         else:
             # The nearer one; the article wins a tie.
-            block.label = min((before, after), key=lambda n: (n[0], n[1] != GOOD))[1]
+            block.label = decided[min(near, key=lambda j: (abs(j - i), decided[j] != GOOD))]
     return blocks
 
 
+def _nearest(blocks: list[Block], decided: list[str], step: int) -> list[int | None]:
+    """For every block the last decided one on the way to it that may vote on it."""
+    # Inside an article element only blocks of the article vote, elsewhere those outside of one.
+    last: dict[bool, int | None] = {False: None, True: None}
+    out: list[int | None] = [None] * len(blocks)
+    for i in range(len(blocks))[::step]:
+        block = blocks[i]
+        out[i] = last[block.contained]
+        if decided[i] != OPEN and not (block.contained and block.outside):
+            last[block.contained] = i
+    return out
+
+
 def main_text(page: str) -> str:
     """Text of the good blocks, one per line; empty if there are none."""
     return "\n".join(b.text for b in label_blocks(read_blocks(page)) if b.label == GOOD)

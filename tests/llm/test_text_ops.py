@@ -171,6 +171,56 @@ def test_main_text_without_article():
     assert maintext.main_text(page).split("\n") == ["Head", good, "So it was.", good]
 
 
+ENGLISH = "This is the text of the page and it is what the reader was looking for in the first place, as far as we know."
+RUSSIAN = "Это текст страницы, который читатель хотел найти, и он достаточно длинный, чтобы считаться статьёй, а не меню."
+CHINESE = "这是读者正在寻找的页面正文，它足够长，可以被视为一篇文章，而不是菜单或广告。作者在这里讲述了一个完整的故事。"
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["has-sidebar", "layout-with-sidebar", "no-comments", "two-col no-nav", "ad-free", "page search-results", "comments-open", "post", "search", "widget"],
+)
+@pytest.mark.parametrize("text", [ENGLISH, RUSSIAN, CHINESE])
+def test_names_around_the_whole_page_do_not_empty_it(name, text):
+    menu = "<ul>" + "".join(f"<li><a href=x>{w}</a></li>" for w in ("Home", "News", "Über uns")) + "</ul>"
+    page = f'<body><div class="{name}"><div class="menu">{menu}</div><h1>Title</h1><p>{text}</p><p>{text}</p><div class="ad">{text}</div></div></body>'
+    assert maintext.main_text(page) == "\n".join(["Title", text, text])
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "cookie-banner", "comments", "comment-list", "siteNav", "newsletter-box", "AdSlot"])
+@pytest.mark.parametrize("text", [ENGLISH, RUSSIAN, CHINESE])
+def test_named_elements_beside_the_article_are_left_out(name, text):
+    """Even when they hold more text than the article."""
+    page = f'<h1>Title</h1><p>{text}</p><div id="{name}">' + f"<p>{text}</p>" * 5 + "</div>"
+    assert maintext.main_text(page) == "Title\n" + text
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, CHINESE])
+def test_languages_without_a_list_of_stop_words(text):
+    short = text[:19].strip()
+    links = "<p>" + " ".join(f"<a href=x>{text[:12]} {i}</a>" for i in range(9)) + "</p>"
+    page = f"<div>{links}<h2>{text[:9]}</h2><p>{text}</p><p>{short}</p><p>{text}</p>{links}<p>{text[:5]}</p></div>"
+    assert maintext.main_text(page).split("\n") == [text[:9], text, short, text]
+    assert maintext.main_text(f"<article><p>{text}</p><p>{short}</p></article>") == f"{text}\n{short}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<p>hi</p>" * 100_000, "<div>" * 100_000 + "x", "<div><p>" * 50_000 + "x", "<ul><li>a" * 50_000, "<li>a" * 100_000, "<a \"" * 50_001,
+     "<p class='x>" * 50_001, "<a<b " * 100_000, "<div class=sidebar>x" * 50_000, "< " * 200_000, "&amp;" * 200_000, "<!--" * 100_000],
+)
+def test_time_is_in_step_with_the_page(page):
+    began = time.perf_counter()
+    maintext.main_text(page)
+    assert time.perf_counter() - began < 8
+
+
+def test_quotes_that_nothing_closes():
+    assert maintext.main_text(f"<p class='x>{ENGLISH}</p><p>{ENGLISH}</p>") == f"{ENGLISH}\n{ENGLISH}"
+    assert maintext.main_text(f'<p title="a > b">{ENGLISH}</p>') == ENGLISH
+    assert maintext.main_text(f"<p>{ENGLISH} 1 < 2</p>") == f"{ENGLISH} 1 < 2"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "&", "<article>", "</p></div>", "<!-- open", "<script>x", "<a b='c"])
 def test_broken_pages_do_not_fail(page):
     maintext.main_text(page)
