@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from corpusmill.llm.base import query, slices, sql_type, table
 from corpusmill.llm.scratch import Scratch
-from corpusmill.llm.terms import folded_terms
+from corpusmill.llm.terms import split_terms
 from corpusmill.settings import BROADCAST_ROWS, join_small
 
 TOP = 50
@@ -36,23 +36,12 @@ DEEPER = 4
 VOCABULARY_BYTES = 32_000_000
 
 
-def _terms(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
-    """All terms of all texts in order, and how many each text has."""
-    data, starts, lengths, counts = folded_terms(texts)
-    # Without the spaces behind them terms lie end to end.
-    keep = np.ones(len(data), dtype=bool)
-    keep[starts + lengths] = False
-    ends = np.append(0, np.cumsum(lengths)).astype(np.int64)
-    body = pa.py_buffer(np.ascontiguousarray(data[keep]))
-    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(ends), body), counts
-
-
 def item_terms(items: DataFrame, item: str, text: str) -> DataFrame:
     """``(item, word)``: the distinct terms of all texts of an item."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, 1, as_bytes=True):
-            terms, counts = _terms(texts)
+            terms, counts = split_terms(texts)
             owners = part.column(0).take(pa.array(np.repeat(np.arange(len(texts)), counts)))
             yield pa.record_batch([owners, terms.cast(pa.string())], ["item", "word"])
 
@@ -67,11 +56,11 @@ def document_terms(docs: DataFrame, key: str, text: str, vocabulary: list[str] |
     With a ``vocabulary`` only its terms are listed; ``n`` counts all.
     """
     spark = docs.sparkSession
-    told = None if vocabulary is None else spark.sparkContext.broadcast(pa.array(vocabulary, pa.large_string()))
+    told = None if vocabulary is None else spark.sparkContext.broadcast(pa.array([w.encode() for w in vocabulary], pa.large_binary()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, 2, as_bytes=True):
-            terms, counts = _terms(texts)
+            terms, counts = split_terms(texts)
             owner = np.repeat(np.arange(len(texts)), counts)
             if told is None:
                 coded = terms.dictionary_encode()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 # A byte's lower-case form for A-Z; separators become a space.
 _INSIDE = np.zeros(256, dtype=bool)
@@ -28,3 +29,14 @@ def folded_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     inside[ends] = True
     lengths = ends - starts
     return _FOLDED[raw[inside]], np.append(0, np.cumsum(lengths + 1))[:-1], lengths, counts
+
+
+def split_terms(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """All terms of all texts in order, A-Z as a-z, and how many each text has."""
+    data, starts, lengths, counts = folded_terms(texts)
+    # Without the spaces behind them terms lie end to end.
+    keep = np.ones(len(data), dtype=bool)
+    keep[starts + lengths] = False
+    ends = np.append(0, np.cumsum(lengths)).astype(np.int64)
+    body = pa.py_buffer(np.ascontiguousarray(data[keep]))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), body]), counts

@@ -9,7 +9,9 @@ flexible model cannot drive it there by fitting the positives.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.base import query, slices, sql_type, table
+from corpusmill.llm.scratch import Scratch
+from corpusmill.llm.terms import split_terms
 from corpusmill.settings import cut_lineage, join_small
 
-# Rows whose levels the driver fits on, about so many of each; all other passes, the document
-# frequencies too, cover every row.
-POSITIVES = 5_000
-UNLABELLED = 20_000
+# Every pass covers every row, the risks of the fit too. Texts in which the same levels hold are one
+# pattern with a count; up to so many patterns the driver adds them up, beyond it Spark does, with
+# the same sums.
+PATTERNS = 200_000
 FEATURES = 4_096
 # A word or stem must be in so many positives to become a feature,
 LEAST_POSITIVES = 3
@@ -43,8 +47,9 @@ SHRINK = 1e-4
 CUT = 0.3
 MEMORY_WORDS = 300_000
 
-# ASCII letters and digits, and all bytes of other characters, make words.
-_SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+# Sums of tasks are whole multiples of this, so they do not depend on the order of tasks. What is
+# summed are means over rows, which stay below 2**13.
+_UNIT = 2.0**-50
 
 
 def _hash(data: str) -> int:
@@ -73,11 +78,13 @@ class Lexicon(dict):
             self.clear()
             self.table = self.table[:0]
         before = len(self)
-        words = [t.lower().encode().translate(_SPLIT).split() for t in texts]
-        counts = np.array([len(w) for w in words], dtype=np.int64)
-        at = np.fromiter((r for ws in words for r in map(self.__getitem__, ws)), np.int64, int(counts.sum()))
+        # ASCII letters and digits, and all other characters, make words.
+        words, counts = split_terms([t.lower().encode() for t in texts])
+        coded = words.dictionary_encode()
+        distinct = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        at = distinct[np.asarray(coded.indices)]
         fresh = np.zeros((len(self) - before, WIDTH), dtype=np.uint64)
-        for i, word in enumerate(list(self)[before:]):
+        for i, word in enumerate(itertools.islice(self, before, None)):
             text = word.decode("utf-8", "replace")
             fresh[i, 0] = _hash(text)
             for j, length in enumerate(STEMS, 1):
@@ -119,39 +126,106 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def train(
-    positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], d: int, prior: float
-) -> tuple[np.ndarray, float]:
+class Side:
+    """Patterns of one side with their shares of its rows; ``n`` counts the rows."""
+
+    def __init__(self, columns: list[np.ndarray], rows: np.ndarray, n: int, d: int):
+        self.d, self.share = d, rows / max(n, 1)
+        self.row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+        self.column = np.concatenate([np.zeros(0, np.int64), *columns])
+
+    @classmethod
+    def of(cls, row: np.ndarray, column: np.ndarray, n: int, d: int) -> Side:
+        order = np.argsort(row, kind="stable")
+        parts = np.split(column[order], np.searchsorted(row[order], np.arange(1, n)))
+        return cls(parts, np.ones(n), n, d)
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return w[-1] + np.bincount(self.row, weights=w[self.column], minlength=len(self.share))
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        """Means of the probability over the rows in which a column holds, over all rows, and of the
+        loss as a negative."""
+        z = self.scores(w)
+        p = self.share * _sigmoid(z)
+        held = np.bincount(self.column, weights=p[self.row], minlength=self.d)
+        return np.append(held, [p.sum(), (self.share * np.logaddexp(0, z)).sum()])
+
+    def often(self) -> np.ndarray:
+        """Share of rows in which each column holds, and 1."""
+        return np.append(np.bincount(self.column, weights=self.share[self.row], minlength=self.d), self.share.sum())
+
+    def mean(self, w: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """Mean probability for each of several levels in place of the bias."""
+        z = self.scores(w) - w[-1]
+        return np.array([(self.share * _sigmoid(z + level)).sum() for level in levels])
+
+
+class SpreadSide:
+    """The same sums over a stored table of patterns ``(columns, n)``, a pass of Spark for each."""
+
+    def __init__(self, patterns: DataFrame, n: int, d: int):
+        self.patterns, self.n, self.d = patterns, n, d
+
+    def _added(self, of: Callable[[Side], np.ndarray], size: int) -> np.ndarray:
+        n, d = self.n, self.d
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                total += of(_side(batch.column(0).to_pylist(), batch.column(1).to_numpy(), n, d))
+            held = np.flatnonzero(total)
+            yield pa.record_batch(
+                [pa.array(held), pa.array(np.round(total[held] / _UNIT).astype(np.int64))], ["place", "v"]
+            )
+
+        told = self.patterns.mapInArrow(work, "place bigint, v bigint").groupBy("place").agg(F.sum("v").alias("v"))
+        out = np.zeros(size)
+        # A number per column, however many rows there are.
+        for r in told.collect():
+            out[r["place"]] = r["v"] * _UNIT
+        return out
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        return self._added(lambda side: side.sums(w), self.d + 2)
+
+    def often(self) -> np.ndarray:
+        return self._added(lambda side: side.often(), self.d + 1)
+
+    def mean(self, w: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        return self._added(lambda side: side.mean(w, levels), len(levels))
+
+
+def _side(cells: list[bytes], rows: np.ndarray, n: int, d: int) -> Side:
+    return Side([np.frombuffer(c, dtype=np.int32).astype(np.int64) for c in cells], rows, n, d)
+
+
+def train(positive: Side | SpreadSide, unlabelled: Side | SpreadSide, d: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights of ``d`` columns and bias: full-batch Adam on the non-negative risk, logistic loss.
 
-    Both sides are ``(row, column, number of rows)``. While the estimated negative risk is below
-    zero, a step raises it instead of lowering the total.
+    A side may also be given as ``(row, column, number of rows)``. While the estimated negative risk
+    is below zero, a step raises it instead of lowering the total.
     """
-    (pr, pc, n_p), (ur, uc, n_u) = positive, unlabelled
+    positive, unlabelled = (Side.of(*s, d) if isinstance(s, tuple) else s for s in (positive, unlabelled))
     w = np.append(np.zeros(d), np.log(prior / (1 - prior)))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
-
-    def slope(g: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(columns, weights=g[rows], minlength=d), g.sum())
-
+    often = positive.often()
     for step in range(1, STEPS + 1):
-        z_p = w[-1] + np.bincount(pr, weights=w[pc], minlength=n_p)
-        z_u = w[-1] + np.bincount(ur, weights=w[uc], minlength=n_u)
-        negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        of_negative = slope(_sigmoid(z_u) / n_u, ur, uc) - prior * slope(_sigmoid(z_p) / n_p, pr, pc)
-        if negative >= 0:
-            g = prior * slope((_sigmoid(z_p) - 1) / n_p, pr, pc) + of_negative
+        own, among = positive.sums(w), unlabelled.sums(w)
+        of_negative = among[:-1] - prior * own[:-1]
+        if among[-1] - prior * own[-1] >= 0:
+            g = prior * (own[:-1] - often) + of_negative
         else:
             g = -of_negative
         g[:-1] += SHRINK * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     # The level at which the mean probability of unlabelled text is the prior.
-    z_u = np.bincount(ur, weights=w[uc], minlength=n_u)
     low, high = -35.0, 35.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if _sigmoid(z_u + middle).mean() < prior else (low, middle)
+    while high - low > 1e-9:
+        levels = np.linspace(low, high, 66)
+        spot = int(np.searchsorted(unlabelled.mean(w, levels[1:-1]), prior))
+        low, high = levels[spot], levels[spot + 1]
     return w[:-1], low
 
 
@@ -160,11 +234,6 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _below(key: Column, seed: int, share: float) -> Column:
-    """A share of the keys, the same in every run."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < F.lit(min(int(share * (1 << 40)), 1 << 40))
-
-
 def _frequency(rows: DataFrame) -> DataFrame:
     """``(hash, inside, among)``: in how many positives and in how many texts each hash is.
 
@@ -206,21 +275,43 @@ def choose(counted: DataFrame, n_p: int, n_u: int) -> np.ndarray:
     return np.sort(best["hash"].to_numpy(np.int64).view(np.uint64))
 
 
-def _matrix(rows: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Levels that hold in each text of a bounded sample, gathered on the driver."""
+def _patterns(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``(columns binary, positive, n)``: the levels that hold in a text, and in how many they do.
+
+    ``rows`` holds ``text, positive``. A task folds its own texts first.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(chosen)
-        for _, texts in slices(batches, 0):
+        for part, texts in slices(batches, 0):
             text, column = present(texts, lexicon)
             order = np.lexsort((column, text))
-            parts = np.split(column[order], np.searchsorted(text[order], np.arange(1, len(texts))))
-            yield pa.record_batch([pa.array([p.tobytes() for p in parts], pa.binary())], ["columns"])
-
-    cells = sorted(rows.select("text").mapInArrow(work, "columns binary").toPandas()["columns"])
-    columns = [np.frombuffer(c, dtype=np.int64) for c in cells]
-    flat = np.concatenate([np.zeros(0, np.int64), *columns])
-    return np.repeat(np.arange(len(columns)), [len(c) for c in columns]), flat, len(columns)
+            column = column[order].astype(np.int32)
+            parts = np.split(column, np.searchsorted(text[order], np.arange(1, len(texts))))
+            seen = Counter(zip((p.tobytes() for p in parts), part.column(1).to_pylist()))
+            yield pa.record_batch(
+                [
+                    pa.array([c for c, _ in seen], pa.binary()), pa.array([p for _, p in seen], pa.bool_()),
+                    pa.array(list(seen.values()), pa.int64()),
+                ],
+                ["columns", "positive", "n"],
+            )
+
+    found = rows.select("text", "positive").mapInArrow(work, "columns binary, positive boolean, n bigint")
+    return found.groupBy("columns", "positive").agg(F.sum("n").alias("n"))
+
+
+def _sides(patterns: DataFrame, n_p: int, n_u: int, d: int) -> tuple[Side | SpreadSide, Side | SpreadSide]:
+    """Both sides of the stored patterns; all texts outside the fold are the unlabelled one."""
+    every = patterns.groupBy("columns").agg(F.sum("n").alias("n"))
+    out = []
+    for rows, n in ((patterns.where("positive").select("columns", "n"), n_p), (every, n_u)):
+        if patterns.count() > PATTERNS:
+            out.append(SpreadSide(cut_lineage(rows), n, d))
+        else:
+            told = rows.orderBy("columns").toPandas()
+            out.append(_side(told["columns"].tolist(), told["n"].to_numpy(), n, d))
+    return out[0], out[1]
 
 
 def fit(
@@ -249,12 +340,10 @@ def fit(
     if not n_p or not n_u:
         return nothing
     hashes = choose(_frequency(marked), n_p, n_u)
-    # The fit itself, which runs on the driver, takes bounded samples.
-    positive = cut_lineage(marked.where(F.col("positive") & _below(F.col("key"), 1, POSITIVES / toxic)))
-    unlabelled = cut_lineage(texts.where(_below(F.col("key"), 2, UNLABELLED / n_u)))
-    if positive.isEmpty() or unlabelled.isEmpty():
-        return nothing
-    weights, bias = train(_matrix(positive, hashes), _matrix(unlabelled, hashes), len(hashes) * LEVELS, prior)
+    with Scratch(docs.sparkSession, "toxicity") as scratch:
+        patterns = scratch.store(_patterns(marked, hashes), "patterns")
+        sides = _sides(patterns, n_p, n_u, len(hashes) * LEVELS)
+        weights, bias = train(*sides, len(hashes) * LEVELS, prior)
     return Model(hashes, weights.reshape(-1, LEVELS), bias)
 
 

@@ -247,8 +247,7 @@ def test_toxicity_learns_from_positives_alone(spark):
 
 
 def test_features_are_counted_over_all_rows(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "POSITIVES", 40)
-    monkeypatch.setattr(toxicity, "UNLABELLED", 100)
+    monkeypatch.setattr(toxicity, "STEPS", 5)
     docs, labels = [], []
     for i in range(3000):
         toxic = i % 6 == 0
@@ -262,6 +261,26 @@ def test_features_are_counted_over_all_rows(spark, monkeypatch):
     for j in range(25):
         both = sum(t.split()[-1] == f"bozo{j}" for _, t in docs)
         assert want[np.array([toxicity._hash(f"bozo{j}")], np.uint64).view(np.int64)[0]] == (both, both)
+    # Spark adds up the same sums when there are more patterns than the driver takes.
+    monkeypatch.setattr(toxicity, "PATTERNS", 0)
+    spread = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert np.array_equal(spread.chosen, model.chosen)
+    assert np.allclose(spread.weights, model.weights, atol=1e-9) and abs(spread.bias - model.bias) < 1e-6
+
+
+def test_risk_covers_every_row(spark, monkeypatch):
+    """Patterns count all texts outside the fold, however many there are."""
+    seen = []
+    plain = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda p, u, d, prior: seen.append((p, u)) or plain(p, u, d, prior))
+    docs = [(i, "bozo text" if i % 5 == 0 else f"plain text {i}") for i in range(4000)] + [(9000 + i, t) for i, t in enumerate(["", None, "x" * 90_000])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    toxicity.fit(df, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(4000)], "doc_id long, toxic int"))
+    (positive, unlabelled), rows = seen[0], df.where(~toxicity.held_out(F.col("doc_id")))
+    n = rows.count()
+    told = np.sort(unlabelled.share * n)
+    toxic = rows.where("text = 'bozo text'").count()
+    assert np.allclose(told, [toxic, n - toxic]) and np.allclose(positive.share, [1.0])
 
 
 def test_toxicity_without_labels(spark):
