@@ -35,7 +35,8 @@ SHORT_SETS = (4, 5)
 # Of the union's 48 smallest, 38.4 are shared on average at 0.8; 20 is 6.6 deviations below.
 LEAST_SHARED = 20
 # One bit for the smallest hash of each of 256 ranges. At 0.8 about 26 bits differ at most; 52 is
-# 5.4 deviations above.
+# 5.4 deviations above. A bit differs only where one side has a shingle of its own, and at 0.8 those
+# are at most a quarter of the smaller set, which is the sharper bound for short texts.
 BITS = 256
 MOST_DIFFERENT = 52
 # Documents of a neighbourhood that are compared in one go.
@@ -164,7 +165,8 @@ def _near(a: str, b: str, percent: int) -> Column:
     """Sizes and bits of two sides still allow the similarity."""
     sizes = 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
     different = sum((F.bit_count(F.col(f"{a}bits")[i].bitwiseXOR(F.col(f"{b}bits")[i])) for i in range(BITS // 64)), F.lit(0))
-    return sizes & (different <= MOST_DIFFERENT)
+    own = percent * different <= (100 - percent) * F.least(f"{a}n", f"{b}n")
+    return sizes & (different <= MOST_DIFFERENT) & own
 
 
 def _side(df: DataFrame, name: str) -> DataFrame:
@@ -232,7 +234,9 @@ def _inside_areas(scratch: Scratch, rows: DataFrame, kind: str, percent: int) ->
             n, fine, ids = right["n"].to_numpy(), right["fine"].to_numpy(), right["id"].to_numpy()
             for i, f, m, b, own in zip(left["id"], left["fine"], left["n"], left["bits"], left["whole"]):
                 different = np.bitwise_count(bits ^ np.asarray(b, dtype=np.int64).view(np.uint64)).sum(axis=1)
-                likely = (fine != f) & (different <= MOST_DIFFERENT) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                least = np.minimum(n, m)
+                likely = (fine != f) & (different <= MOST_DIFFERENT) & (100 * least >= percent * np.maximum(n, m))
+                likely &= percent * different.astype(np.int64) <= (100 - percent) * least
                 at = np.flatnonzero(likely)
                 if len(at):
                     take = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in at.tolist()])

@@ -3,9 +3,13 @@
 Vectors are projected on a handful of Gaussian directions. The square of a projected distance over
 that of the true distance follows a chi-square law, so a neighbour within the distance found so far
 lies outside a computable radius around the projected query with a small, chosen chance only. The
-cells of a kd-tree over the projections are visited in order of their distance from the query:
-first the nearest ones, then all that the radius still reaches. Vectors inside the radius are
-verified on the original components.
+cells of a kd-tree over the projections are visited in order of their distance from the query, in
+rounds of growing length. Vectors inside the radius are verified on the original components; every
+verified cell shrinks the radius, and a query is done when it no longer reaches the next cell.
+
+Recall against cost: a true neighbour is missed with a chance of at most 1 - CONFIDENCE. Fewer
+DIRECTIONS make cells that say less about distance, more make more of them touch the radius; smaller
+FIRST_CELLS mean more rounds with fewer needless visits.
 
 Largest inner products become smallest distances by one more component that gives every vector the
 length of the longest.
@@ -22,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.base import query, settled, sql_type, table
+from corpusmill.llm.base import query, sql_type, table
+from corpusmill.llm.scratch import Scratch
 
 DIRECTIONS = 8  # even, see chi_square_radius
 # Chance that a true neighbour lies inside the radius.
@@ -30,12 +35,17 @@ CONFIDENCE = 0.95
 SEED = 20_24
 # The tree is fitted on about so many rows; every row is indexed.
 FIT_ROWS = 20_000
-CELL_ROWS = 4_096
+CELL_ROWS = 512
 MOST_CELLS = 4_096
+# Rows of a cell that are searched in one task; larger cells are cut into parts.
+PART_ROWS = 4_096
 LEAF_ROWS = 256
-FIRST_CELLS = 2
-# Queries that meet the rows of a cell together.
-CHUNK = 4_096
+# Cells that a query visits in the first round, and how many times more in each next one.
+FIRST_CELLS = 4
+FURTHER = 4
+# Queries that meet the rows of a cell in one task, and those that are compared in one go.
+CHUNK = 32_768
+BLOCK = 2_048
 
 
 def chi_square_radius(confidence: float, m: int = DIRECTIONS) -> float:
@@ -109,13 +119,14 @@ def _leaves(points: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 
 
 def search_cell(
-    q_id: np.ndarray, q: np.ndarray, q_at: np.ndarray, reach: np.ndarray,
-    ids: np.ndarray, x: np.ndarray, x_at: np.ndarray, k: int,
+    q_id: np.ndarray, q: np.ndarray, q_at: np.ndarray, worst: np.ndarray,
+    ids: np.ndarray, x: np.ndarray, x_at: np.ndarray, k: int, longest: float, radius: float,
 ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per query ``(query number, row numbers, scores)`` of its best ``k`` rows of the cell.
 
-    ``reach`` is the square of the radius around each projected query. Scores are sums in one
-    fixed order, so that equal vectors score alike wherever they stand.
+    ``worst`` is the k-th best score known of each query, -inf while there are fewer; it bounds the
+    radius (``radius`` times the square of its distance), which shrinks as rows are verified. Scores
+    are sums in one fixed order, so that equal vectors score alike wherever they stand.
     """
     # Of equal vectors only the k + 1 smallest ids can be among the best of any query.
     order = np.lexsort((ids, *x.T[::-1]))
@@ -126,11 +137,13 @@ def search_cell(
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     keep = np.sort(order[np.arange(len(order)) - first <= k])
     ids, x, x_at = ids[keep], x[keep], x_at[keep]
-    worst = np.full(len(q), -np.inf)
+    worst = worst.copy()
+    length = (q * q).sum(axis=1)
     best = np.full((len(q), 0), -np.inf)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for leaf in _leaves(x_at, np.arange(len(x))):
         low, high = x_at[leaf].min(axis=0), x_at[leaf].max(axis=0)
+        reach = np.maximum(longest + length - 2 * worst, 0.0) * radius
         off = np.maximum(np.maximum(low - q_at, q_at - high), 0.0)
         asked = np.flatnonzero((off * off).sum(axis=1) <= reach)
         if not len(asked):
@@ -147,7 +160,7 @@ def search_cell(
         best = np.concatenate([best, grown], axis=1)
         if best.shape[1] > k:
             best = -np.partition(-best, k - 1, axis=1)[:, :k]
-            worst = best.min(axis=1)
+            worst = np.maximum(worst, best.min(axis=1))
     if not found:
         return []
     a = np.concatenate([f[0] for f in found])
@@ -177,6 +190,13 @@ def nearest(
     and vector count once; of several vectors of one query key the least asks. An empty table
     gives no rows.
     """
+    with Scratch(vectors.sparkSession, "nearest") as scratch:
+        return scratch.finish(_nearest(scratch, vectors, wanted, k, key, vector, confidence))
+
+
+def _nearest(
+    scratch: Scratch, vectors: DataFrame, wanted: Column, k: int, key: str, vector: str, confidence: float
+) -> DataFrame:
     kind = sql_type(vectors, key)
     value = F.col(f"`{vector}`").cast("array<double>")
     rows = vectors.where(F.col(f"`{key}`").isNotNull() & usable(F.col(f"`{vector}`"))).select(
@@ -222,9 +242,10 @@ def nearest(
                 ["id", "asks", "x", "at", "cell"],
             )
 
-    placed = settled(rows.select("id", "v", "asks").mapInArrow(place, f"id {kind}, asks boolean, x binary, at binary, cell bigint"))
+    placed = rows.select("id", "v", "asks").mapInArrow(place, f"id {kind}, asks boolean, x binary, at binary, cell bigint")
+    placed = scratch.store(placed, "placed")
     # A cell of many rows is cut into parts by the hash of the key.
-    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("parts"))
+    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
     # One row per cell, so at most MOST_CELLS.
     parts = F.broadcast(parts)
     held = placed.join(parts, "cell").select(
@@ -233,22 +254,19 @@ def nearest(
     asking = placed.where("asks").groupBy("id").agg(F.min("x").alias("x"))
     radius = chi_square_radius(confidence)
 
-    def visits(batches: Iterator[pa.RecordBatch], second: bool) -> Iterator[pa.RecordBatch]:
-        """Cells that each query visits: the nearest, or later the others inside its radius."""
+    def visits(batches: Iterator[pa.RecordBatch], begin: int, end: int) -> Iterator[pa.RecordBatch]:
+        """Cells in the places ``begin`` to ``end`` of each query's order, as far as its radius reaches."""
         for batch in batches:
             x = _floats(batch.column(1), d)
             # The added component of a query is zero.
             at = x @ directions[:d]
-            reach = np.full(len(x), np.inf)
-            if second:
-                worst = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-                far = np.maximum(longest + (x * x).sum(axis=1) - 2 * worst, 0.0)
-                reach = np.where(np.isnan(worst), np.inf, far * radius)
+            worst = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            worst = np.where(np.isnan(worst), -np.inf, worst)
+            reach = np.maximum(longest + (x * x).sum(axis=1) - 2 * worst, 0.0) * radius
             own, to = [], []
             for i in range(len(x)):
                 gap = tree.distances(at[i])
-                order = np.argsort(gap, kind="stable")
-                order = order[FIRST_CELLS:] if second else order[:FIRST_CELLS]
+                order = np.argsort(gap, kind="stable")[begin:end]
                 order = order[gap[order] <= reach[i]]
                 own.append(np.full(len(order), i))
                 to.append(order)
@@ -257,9 +275,9 @@ def nearest(
                 [
                     batch.column(0).take(take), batch.column(1).take(take),
                     pa.array([r.tobytes() for r in at], pa.binary()).take(take),
-                    pa.array(reach).take(take), pa.array(np.concatenate([np.zeros(0, np.int64), *to])),
+                    pa.array(worst).take(take), pa.array(np.concatenate([np.zeros(0, np.int64), *to])),
                 ],
-                ["query_id", "q", "q_at", "reach", "cell"],
+                ["query_id", "q", "q_at", "worst", "cell"],
             )
 
     def meet(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -267,42 +285,62 @@ def nearest(
         if len(asked) and len(held):
             unpack = lambda c, m: np.frombuffer(b"".join(c), dtype=np.float64).reshape(-1, m)
             q_id, ids = asked["query_id"].to_numpy(), held["id"].to_numpy()
-            best = search_cell(
-                q_id, unpack(asked["q"], d), unpack(asked["q_at"], DIRECTIONS), asked["reach"].to_numpy(),
-                ids, unpack(held["x"], d), unpack(held["at"], DIRECTIONS), k,
-            )
-            for i, r, s in best:
-                out["query_id"].append(np.repeat(q_id[i : i + 1], len(r)))
-                out["id"].append(ids[r])
-                out["score"].append(s)
+            x, x_at = unpack(held["x"], d), unpack(held["at"], DIRECTIONS)
+            for at in range(0, len(asked), BLOCK):
+                some = asked.iloc[at : at + BLOCK]
+                own = q_id[at : at + BLOCK]
+                best = search_cell(
+                    own, unpack(some["q"], d), unpack(some["q_at"], DIRECTIONS), some["worst"].to_numpy(),
+                    ids, x, x_at, k, longest, radius,
+                )
+                for i, r, s in best:
+                    out["query_id"].append(np.repeat(own[i : i + 1], len(r)))
+                    out["id"].append(ids[r])
+                    out["score"].append(s)
         empty = {"query_id": asked["query_id"].iloc[:0], "id": held["id"].iloc[:0], "score": np.zeros(0)}
         return pd.DataFrame({c: np.concatenate(v) if v else empty[c] for c, v in out.items()})
 
-    def found(queries: DataFrame, second: bool) -> DataFrame:
-        sent = queries.mapInArrow(
-            lambda b: visits(b, second), f"query_id {kind}, q binary, q_at binary, reach double, cell bigint"
-        )
-        sent = settled(sent)
-        # Rows of a cell meet its queries in chunks.
+    def verified(sent: DataFrame) -> DataFrame:
+        # Queries go to every part of a cell; its rows are copied once for a chunk of queries.
         chunks = F.broadcast(sent.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")))
         sent = sent.join(chunks, "cell").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")))
         sent = sent.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         spread = held.join(chunks, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         group = ("cell", "part", "chunk")
-        both = sent.select("query_id", "q", "q_at", "reach", *group).groupBy(*group).cogroup(
+        both = sent.select("query_id", "q", "q_at", "worst", *group).groupBy(*group).cogroup(
             spread.select("id", "x", "at", *group).groupBy(*group)
         )
-        return settled(both.applyInPandas(meet, f"query_id {kind}, id {kind}, score double"))
+        return both.applyInPandas(meet, f"query_id {kind}, id {kind}, score double")
 
     def ranked(hits: DataFrame) -> DataFrame:
         """At most ``k`` hits from each part of a cell."""
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    first = found(asking.select("id", "x"), second=False)
-    worst = ranked(first).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("worst"))
-    rest = found(asking.join(worst, "id", "left").select("id", "x", "worst"), second=True)
-    return ranked(first.union(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
+    asking = scratch.store(asking.select("id", "x"), "asking")
+    best, begin, size = None, 0, FIRST_CELLS
+    while begin < 2**depth:
+        worst = asking.withColumn("worst", F.lit(None).cast("double"))
+        if best is not None:
+            kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("worst"))
+            worst = asking.join(kth, "id", "left").select("id", "x", "worst")
+        sent = worst.mapInArrow(
+            lambda b, begin=begin, end=begin + size: visits(b, begin, end),
+            f"query_id {kind}, q binary, q_at binary, worst double, cell bigint",
+        )
+        sent = scratch.store(sent, "visits")
+        if sent.isEmpty():
+            # No radius reaches the next cell, let alone those behind it.
+            break
+        hits = verified(sent).select("query_id", "id", "score")
+        more = scratch.store(ranked(hits if best is None else best.drop("rank").union(hits)), "best")
+        for done in (sent, best):
+            if done is not None:
+                scratch.drop(done)
+        best, begin, size = more, begin + size, FURTHER * size
+    if best is None:
+        return vectors.sparkSession.createDataFrame([], answer)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
 
 
 @query("op10_nearest_vectors")

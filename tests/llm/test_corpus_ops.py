@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,23 @@ def test_unions_up_to_the_sketch_share_a_list_at_the_threshold():
             assert len(np.intersect1d(minhash._runs(a), minhash._runs(b)))
 
 
+def test_bits_differ_no_more_than_the_sets(spark):
+    """Pairs at the threshold always pass the filter; unlike short sets seldom do."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(3000):
+        union = np.unique(rng.integers(1, 1 << 63, rng.integers(5, 400), dtype=np.uint64))
+        lost = rng.permutation(len(union))[: len(union) // 5]
+        side = rng.random(len(lost)) < 0.5
+        sets = np.delete(union, lost[side]), np.delete(union, lost[~side])
+        other = np.unique(np.append(rng.integers(1, 1 << 63, 20, dtype=np.uint64), union[:10]))
+        for kind, (a, b) in enumerate((sets, (union[: len(other)], other))):
+            rows.append((kind, len(a), len(b), minhash._bits(a).tolist(), minhash._bits(b).tolist()))
+    df = spark.createDataFrame(rows, "kind int, a_n long, b_n long, a_bits array<bigint>, b_bits array<bigint>")
+    told = dict(df.groupBy("kind").agg(F.avg(minhash._near("a_", "b_", 80).cast("int"))).collect())
+    assert told[0] == 1.0 and told[1] < 0.05
+
+
 def test_groups_of_five_and_six_words(spark):
     rng = random.Random(12)
     docs = []
@@ -410,6 +428,40 @@ def test_nearest_of_many_cells_ties_and_lengths(spark, monkeypatch):
     assert hits >= 0.9 * total
 
 
+def recall(spark, x, monkeypatch):
+    """Recall of every twentieth row against brute force, and the share of rows verified."""
+    seen = []
+    plain = nearest.Scratch.store
+
+    def stored(self, df, name="table"):
+        out = plain(self, df, name)
+        if name == "visits":
+            seen.append(out.groupBy("cell").count().collect())
+        return out
+
+    monkeypatch.setattr(nearest.Scratch, "store", stored)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})).repartition(8)
+    got = found(nearest.nearest(df, F.col("vec_id") % 20 == 0))
+    asked = np.arange(0, len(x), 20)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = np.argpartition(-scores, 20, axis=1)[:, :20]
+    hits = sum(len(set(w.tolist()) & {v for v, _ in got[i]}) for i, w in zip(asked.tolist(), want))
+    visits = sum(r["count"] for rows in seen for r in rows)
+    return hits / want.size, visits / (len(asked) * sum(1 for _ in {r["cell"] for rows in seen for r in rows})), len(seen)
+
+
+def test_recall_with_production_parameters(spark, monkeypatch):
+    """50,000 vectors of 64 components: of one kind, and in 200 clusters."""
+    rng = np.random.default_rng(5)
+    even = rng.standard_normal((50_000, 64))
+    clustered = rng.standard_normal((200, 64))[rng.integers(0, 200, 50_000)] * 2 + 0.3 * rng.standard_normal((50_000, 64))
+    share, cells, rounds = recall(spark, even, monkeypatch)
+    assert share >= 0.9, share
+    share, fewer, more = recall(spark, clustered, monkeypatch)
+    assert share >= 0.9 and fewer < 0.85 * cells, (share, fewer, cells, rounds, more)
+
+
 def test_nearest_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]),
             (6, [float("inf"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (20, [0.5, 0.5]), (1, [0.5, 0.5]), (8, [])]
