@@ -49,7 +49,7 @@ class _Bracket:
     def counts(self, v: Column) -> list[Column]:
         within = v.between(F.lit(self.low), F.lit(self.high))
         strictly = (v > F.lit(self.low)) & (v < F.lit(self.high))
-        cells = (F.count(v), F.count_if(v < F.lit(self.low)), F.count_if(within), F.count_if(strictly))
+        cells = (F.count_if(v < F.lit(self.low)), F.count_if(within), F.count_if(strictly))
         return [c.cast("double") for c in cells]
 
     def near(self, v: Column) -> Column:
@@ -69,21 +69,35 @@ def _ask(df: DataFrame, cells: list[Column]) -> list:
 def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> list[_Bracket]:
     """Narrow brackets for every wanted rank of every column.
 
-    Counting and sketching passes take turns; each sketch leaves a fixed small share of the values
-    inside, so a few passes do for any number of rows. The driver sees a few numbers per rank.
+    The first pass counts and sketches, one sketch per column for all its ranks. Then counting and
+    sketching passes take turns; each sketch leaves a fixed small share of the values inside, so a
+    few passes do for any number of rows. The driver sees a few numbers per rank.
     """
     brackets = [_Bracket(i, k, p) for i in range(len(columns)) for k, p in enumerate(probs)]
-    todo = brackets
+    if not brackets:
+        return []
+    values = [finite(name) for name in columns]
+    wanted = [f for p in probs for f in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
+    first = df.agg(
+        F.array(*[F.count(v) for v in values]).alias("rows"),
+        F.array(*[F.percentile_approx(v, wanted, SKETCH_ACCURACY) for v in values]).alias("near"),
+    ).first()
+    for b in brackets:
+        b.rows = b.inside = b.between = first["rows"][b.column]
+        if b.rows > BRACKET_VALUES:
+            b.wider = (b.low, b.high, 0, b.rows, b.rows)
+            b.low, b.high = first["near"][b.column][2 * b.k : 2 * b.k + 2]
+    todo = [b for b in brackets if b.rows > BRACKET_VALUES]
     while todo:
-        told = _ask(df, [c for b in todo for c in b.counts(finite(columns[b.column]))])
-        for b, (rows, below, inside, between) in zip(todo, (told[i : i + 4] for i in range(0, len(told), 4))):
-            b.rows, b.below, b.inside, b.between = int(rows), int(below), int(inside), int(between)
-            if b.rows and not b.holds():
+        told = _ask(df, [c for b in todo for c in b.counts(values[b.column])])
+        for b, (below, inside, between) in zip(todo, (told[i : i + 3] for i in range(0, len(told), 3))):
+            b.below, b.inside, b.between = int(below), int(inside), int(between)
+            if not b.holds():
                 # Back to the bounds before, and wider ones within them.
                 b.low, b.high, b.below, b.inside, b.between = b.wider
                 b.margin *= 4
-        todo = [b for b in todo if b.rows and not b.done()]
-        near = _ask(df, [b.near(finite(columns[b.column])) for b in todo])
+        todo = [b for b in todo if not b.done()]
+        near = _ask(df, [b.near(values[b.column]) for b in todo])
         for b, (low, high) in zip(todo, near):
             b.wider = (b.low, b.high, b.below, b.inside, b.between)
             b.low, b.high = low, high

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,17 +162,43 @@ def _in_blocks(sets: DataFrame, lists: DataFrame, still_open: DataFrame, key: st
         F.pmod("h", "rights").alias("j"),
     )
 
-    def meet(block: pd.DataFrame) -> pd.DataFrame:
-        later, earlier = np.flatnonzero(block["later"]), np.flatnonzero(~block["later"])
-        keys = block[key].to_numpy()
-        if len(later) and len(earlier):
-            runs = [np.asarray(r) for r in block["runs"]]
-            later = later[_reached(runs, later, earlier, keys, threshold)]
-        else:
-            later = later[:0]
-        return pd.DataFrame({"later": keys[later]})
-
-    met = left.union(right).join(sets, key).groupBy("run", "i", "j").applyInPandas(meet, f"later {kind}")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come one after the other; a task holds one of them."""
+        block, held = None, []
+
+        def matched() -> list:
+            keys = np.array([r[0] for r in held])
+            sides = np.array([r[1] for r in held], dtype=bool)
+            later, earlier = np.flatnonzero(sides), np.flatnonzero(~sides)
+            if not (len(later) and len(earlier)):
+                return []
+            found = _reached([r[2] for r in held], later, earlier, keys, threshold)
+            return [held[i][0] for i in later[found]]
+
+        for batch in batches:
+            keys, runs, later, i, j, sets = (batch.column(c) for c in range(6))
+            place = np.stack([c.to_numpy(zero_copy_only=False) for c in (runs, i, j)])
+            flat = sets.flatten().to_numpy(zero_copy_only=False)
+            parts = np.split(flat, np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+            rows = list(zip(keys.to_pylist(), later.to_pylist(), parts))
+            cuts = [0, *(np.flatnonzero((np.diff(place) != 0).any(axis=0)) + 1).tolist(), len(rows)]
+            out = []
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                now = tuple(place[:, start].tolist())
+                if now != block:
+                    out += matched()
+                    block, held = now, []
+                held += rows[start:end]
+            yield pa.record_batch([pa.array(out, keys.type)], ["later"])
+            kept = keys.type
+        if held:
+            yield pa.record_batch([pa.array(matched(), kept)], ["later"])
+
+    block = ("run", "i", "j")
+    dealt = left.union(right).join(sets, key).select(key, "run", "later", "i", "j", "runs")
+    met = dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(meet, f"later {kind}")
     return met.distinct()
 
 
