@@ -3,13 +3,14 @@
 Every document gets a rate, the exponential of a linear score, capped. Among all rates that meet
 the token constraints of a source these stay closest, token by token, to taking everything once.
 The dual is convex; each Newton step is one aggregation over slim rows. Rates are then rounded to
-whole copies so that the rounding errors cancel within small groups.
+whole copies so that the rounding errors cancel within small groups. A uniform rate per source meets
+the constraints of the query; a margin asks for more, and tilts documents against each other.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -103,17 +104,26 @@ def _newton(state: DataFrame, cap: float) -> DataFrame:
     return state.mapInPandas(step, "__s string, tilt array<double>, goal array<double>")
 
 
-def balance(rows: DataFrame, targets: DataFrame, moments: Sequence[str], cap: float) -> DataFrame:
+class Unbalanced(ArithmeticError):
+    """No rates below the cap meet the constraints of some source."""
+
+
+def balance(
+    rows: DataFrame, targets: DataFrame, moments: Sequence[str], cap: float, wanted: Mapping[str, float] | None = None
+) -> DataFrame:
     """Tilts ``(__s, tilt)`` that solve the constraints of each source.
 
     Constraints: the source's words meet its target, and the word-weighted mean of each moment
-    column stays what it is in the source. ``rows`` holds ``__s, __size`` and the moments.
+    column is the one ``wanted``, or else stays what it is in the source. ``rows`` holds ``__s,
+    __size`` and the moments. Every constraint is tested; :class:`Unbalanced` tells how many
+    sources miss one after ``MAX_STEPS`` steps, because a cap or an empty class stands against it.
     """
+    wanted = wanted or {}
     size = F.col("__size").cast("double")
     d = 1 + len(moments)
     means = rows.groupBy("__s").agg(*[F.try_divide(F.sum(size * F.col(m)), F.sum(size)).alias(f"__{m}") for m in moments], F.count(F.lit(1)).alias("__n"))
     centred = join_small(rows, means, "__s").select(
-        "__s", "__size", *[F.coalesce(F.col(m) - F.col(f"__{m}"), F.lit(0.0)).alias(f"x{i}") for i, m in enumerate(moments, 1)]
+        "__s", "__size", *[F.coalesce(F.col(m) - _center(m, wanted), F.lit(0.0)).alias(f"x{i}") for i, m in enumerate(moments, 1)]
     )
     centred = cut_lineage(centred.where("__size > 0").withColumn("x0", F.lit(1.0)))
     zero = F.array(*[F.lit(0.0)] * d)
@@ -136,11 +146,17 @@ def balance(rows: DataFrame, targets: DataFrame, moments: Sequence[str], cap: fl
             )
         )
         state = at.select("__s", "tilt")
-        off = at.agg(F.max(F.abs(F.col("g")[0] / F.col("goal")[0] - 1))).first()[0]
-        if off is None or off < TOLERANCE:
-            break
+        # What each constraint misses, as a share of the words wanted.
+        off = F.greatest(*[F.abs(F.col("g")[i] - F.col("goal")[i]) for i in range(d)], F.lit(0.0)) / F.col("goal")[0]
+        missed = at.agg(F.count_if(off >= TOLERANCE)).first()[0]
+        if not missed:
+            return state.select("__s", "tilt")
         state = cut_lineage(_newton(at, cap))
-    return state.select("__s", "tilt")
+    raise Unbalanced(f"{missed} sources miss a constraint after {MAX_STEPS} steps")
+
+
+def _center(moment: str, wanted: Mapping[str, float]) -> Column:
+    return F.lit(float(wanted[moment])) if moment in wanted else F.col(f"__{moment}")
 
 
 def _rounded(rates: DataFrame, key: str, kind: str, cap: float) -> DataFrame:
@@ -173,28 +189,42 @@ def copies_for_weights(
     weights: Sequence[float] = WEIGHTS,
     share: float = SHARE,
     cap: float = CAP,
+    margin: str | None = None,
+    margin_shares: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """``(key, size, source_size, target, copies)``: one row per row of ``docs``.
 
+    With ``margin``, a second column such as a class of lengths or a language, the words that a
+    source gives are also shared out over its values as ``margin_shares`` says (value to share, 1
+    in total). Documents of other values are tilted only by what the constraints leave open.
+
     A text without words has size 0 and 0 copies. Null is a source of its own; null keys and
     repeated rows stay, and each row is rounded for itself. The same rows give the same copies. An
     empty table gives no rows. No document exceeds ``cap`` copies.
     """
     kind = sql_type(docs, key)
     name = F.col(f"`{source}`").cast("string")
+    # The last value's share follows from the others if every document has one of the values.
+    classes = {f"__m{i}": v for i, v in enumerate(sorted(margin_shares or {}))}
     rows = cut_lineage(
         docs.select(
             F.col(f"`{key}`").alias("__key"),
             F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("__s"),
             name.isNull().alias("__null"),
             word_count(F.col(f"`{text}`")).alias("__size"),
+            *[(F.col(f"`{margin}`").cast("string") == F.lit(v)).cast("double").alias(m) for m, v in classes.items()],
         ).withColumn("__long", F.log2(F.col("__size") + 1.0))
     )
+    rows = rows.fillna(0.0, list(classes)) if classes else rows
     targets = cut_lineage(source_targets(rows, weights, share, cap))
-    tilts = balance(rows, targets, ["__long"], cap)
-    means = rows.groupBy("__s").agg(F.try_divide(F.sum(F.col("__size") * F.col("__long")), F.sum("__size")).alias("__mean"))
+    moments = ["__long", *classes]
+    wanted = {m: margin_shares[v] for m, v in classes.items()}
+    tilts = balance(rows, targets, moments, cap, wanted)
+    means = rows.groupBy("__s").agg(F.try_divide(F.sum(F.col("__size") * F.col("__long")), F.sum("__size")).alias("____long"))
     per_source = cut_lineage(targets.join(tilts, "__s", "left").join(means, "__s"))
-    score = F.col("tilt")[0] + F.col("tilt")[1] * (F.col("__long") - F.col("__mean"))
+    score = F.col("tilt")[0]
+    for i, m in enumerate(moments, 1):
+        score = score + F.col("tilt")[i] * (F.col(m) - _center(m, wanted))
     rate = F.when(F.col("__size") > 0, F.least(F.exp(score), F.lit(cap))).otherwise(0.0)
     groups = F.ceil(F.col("rows") / GROUP_ROWS)
     rates = join_small(rows, per_source, "__s").select(

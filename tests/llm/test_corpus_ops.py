@@ -237,6 +237,37 @@ def test_hot_source_is_rounded_in_groups(spark, monkeypatch):
     assert all(abs(r.t / r.target - 1) < 0.01 for r in got)
 
 
+def test_mix_meets_a_second_margin(spark):
+    """Words of each source over two classes as asked, though the sources have them otherwise."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(4000):
+        source = "abc"[i % 3]
+        kind = "long" if rng.random() < {"a": 0.3, "b": 0.5, "c": 0.6}[source] else "short"
+        rows.append((i, "w " * (rng.randrange(60, 90) if kind == "long" else rng.randrange(50, 80)), source, kind))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, kind string")
+    asked = {"long": 0.4, "short": 0.6}
+    got = mixing.copies_for_weights(df, share=1.0, weights=(1.0,), margin="kind", margin_shares=asked).collect()
+    by, taken, target = {r[0]: r for r in rows}, collections.Counter(), {}
+    for r in got:
+        assert 0 <= r.copies <= 2
+        taken[by[r.doc_id][2:]] += r.copies * r.size
+        target[by[r.doc_id][2]] = r.target
+    for s in "abc":
+        whole = taken[s, "long"] + taken[s, "short"]
+        assert whole == pytest.approx(target[s], rel=0.01)
+        assert taken[s, "long"] / whole == pytest.approx(0.4, abs=0.02)
+    # Uniform rates would not do.
+    plain = {r.doc_id: r.copies for r in mixing.copies_for_weights(df, share=1.0, weights=(1.0,)).collect()}
+    assert any(plain[r.doc_id] != r.copies for r in got)
+
+
+def test_a_margin_that_cannot_be_met_is_an_error(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", "x" if i else "y") for i in range(50)], "doc_id long, text string, source string, kind string")
+    with pytest.raises(mixing.Unbalanced):
+        mixing.copies_for_weights(df, share=1.0, margin="kind", margin_shares={"x": 0.5, "y": 0.5})
+
+
 # --------------------------------------------------------------------------- toxicity
 
 
