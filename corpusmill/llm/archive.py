@@ -151,7 +151,6 @@ def write_archives(
     # a payload has.
     known = revisits(pages, key, html, least).withColumnRenamed("refers_to", "head")
     marked = rows.withColumn("content", _content()).join(known.hint("shuffle_hash"), ["key", "content"], "left")
-
     records_per_file = max(2, int(archive_bytes / size))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +245,10 @@ def read_archives(spark: SparkSession, folder: str, kind: str = "bigint", payloa
                 run, held = [], 0
                 # A run is sorted before it leaves; with payloads it leaves as it lies in the file.
                 for entry, payload in _captures(data.as_py(), whole):
+                    # The index does without payloads, which are read one at a time.
+                    payload = payload if payloads else None
                     run.append(entry | {"archive": path.rpartition("/")[2], "payload": payload})
-                    held += len(payload or b"") if payloads else 0
+                    held += len(payload or b"")
                     if held > _CHUNK * 64:
                         yield entries(run)
                         run, held = [], 0
