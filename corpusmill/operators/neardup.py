@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.batches import sliced
 from corpusmill.functions.text import compute_once, normalize_text, text_key
 from corpusmill.settings import cut_lineage
 
@@ -55,57 +56,104 @@ def _band_keys(sets: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np
 
 
 def _signatures(texts: DataFrame, key: str, words: int) -> DataFrame:
-    """Per text its shingle set and band keys."""
+    """Per text its digest ``__k`` and its band keys; the sets themselves stay in the task."""
     kind = texts.schema[key].dataType.simpleString()
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MIX
         factors, offsets = _mixed(steps) | np.uint64(1), _mixed(~steps)
-        for batch in batches:
-            sets = [shingles(t, words) for t in batch["__t"]]
-            yield pd.DataFrame(
-                {
-                    key: batch[key],
-                    "runs": [s.view(np.int64) for s in sets],
-                    "bands": [_band_keys(s, factors, offsets).view(np.int64) for s in sets],
-                }
-            )
-
-    return texts.select(key, "__t").mapInPandas(
-        sign, f"{key} {kind}, runs array<bigint>, bands array<bigint>"
+        for part in sliced(batches, 2):
+            bands = [_band_keys(shingles(t, words), factors, offsets).view(np.int64) for t in part.column(2).to_pylist()]
+            yield pa.record_batch([part.column(0), part.column(1), _lists(bands)], [key, "__k", "bands"])
+
+    return texts.select(key, text_key(F.col("__t")).alias("__k"), "__t").mapInArrow(
+        sign, f"{key} {kind}, __k binary, bands array<bigint>"
     )
 
 
+def _run_sets(texts: DataFrame, key: str, words: int) -> DataFrame:
+    """Per text its whole shingle set: ``(key, runs)``."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, 1):
+            sets = [shingles(t, words).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.record_batch([part.column(0), _lists(sets)], [key, "runs"])
+
+    return texts.select(key, "__t").mapInArrow(cut, f"{key} {kind}, runs array<bigint>")
+
+
+def _lists(cells: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, cells)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cells)))
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return shared / (F.size(a) + F.size(b) - shared)
 
 
 def _leading_runs(sets: DataFrame, key: str, threshold: float) -> DataFrame:
-    """``(key, run)``: the rarest runs of each set, of which two similar sets share one.
+    """``(key, run, enough)``: the rarest runs of each set, of which two similar sets share one.
 
     With all runs in one order, two sets that overlap by the threshold share a
     run among the first ``n - ceil(threshold * n) + 1`` of each. The order is
     rarest first: text that many rows have in common comes last and makes no
     lists, as long as a row has enough words of its own.
+
+    Runs of the same rows stand together in the order. Where all rows of a run have the same run
+    before it, they all meet there, and the run is left out: a passage that rows share, or the text
+    of a template, makes one list and not one for each of its runs.
+
+    ``enough`` is false where a row has too few such runs to match any row beside it. Of sets of ``n``
+    and ``m`` runs that reach the threshold, all but ``ceil(threshold * max(n, m)) - 1`` of the common
+    runs, at least ``threshold / (1 + threshold) * (n + m)``, are among the first of both.
     """
     size = F.size("runs")
     runs = sets.select(key, size.alias("n"), F.explode("runs").alias("run"))
     # Written out, so that both sides of the joins below are plain shuffles, whose
     # large partitions the adaptive planner splits.
-    counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    common = cut_lineage(counts)
+    counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(key)).alias("who"))
+    common = cut_lineage(counts.where("rows > 1"))
     per_row = Window.partitionBy(key)
+    in_order = per_row.orderBy("rows", "who", "run")
     # Runs of a single row come first in its order and match nothing.
     alone = F.col("n") - F.count(F.lit(1)).over(per_row)
-    spot = alone + F.row_number().over(per_row.orderBy("rows", "run"))
+    spot = alone + F.row_number().over(in_order)
     # The margin only ever adds a run, should the product be rounded up.
     least = F.ceil(F.col("n") * threshold - 1e-9)
-    return cut_lineage(
+    leading = cut_lineage(
         runs.join(common, "run")
-        .select(key, "run", (spot <= F.col("n") - least + 1).alias("first"))
+        .select(key, "run", "n", "rows", "who", (spot <= F.col("n") - least + 1).alias("first"))
         .where("first")
-        .select(key, "run")
+        .select(key, "run", "n", F.lag("run").over(in_order).alias("before"))
+    )
+    beside = leading.groupBy("run").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("n").alias("small"), F.max("n").alias("large")
+    )
+
+    def least_common(m: Column) -> Column:
+        return (F.col("n") + m) * (threshold / (1 + threshold)) - F.greatest("n", m) * threshold - 1e-6
+
+    # It rises up to m = n and falls from there on, so the ends of the possible sizes tell.
+    ends = F.greatest(F.col("n") * threshold, "small"), F.least(F.col("n") / threshold, "large")
+    enough = (
+        leading.join(beside.where("rows > 1"), "run")
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("held"), F.min(F.least(*map(least_common, ends))).alias("needed"))
+        .where("held >= needed")
+    )
+    # The other runs have all their rows in the list of one run before.
+    heads = leading.groupBy("run").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("before").alias("held"),
+        F.min("before").alias("low"), F.max("before").alias("high"),
+    )
+    heads = heads.where("rows > 1 AND (held < rows OR low <> high)").select("run")
+    return cut_lineage(
+        leading.select(key, "run")
+        .join(heads, "run", "left_semi")
+        .join(enough.select(key, F.lit(True).alias("enough")), key, "left")
+        .select(key, "run", F.coalesce("enough", F.lit(False)).alias("enough"))
     )
 
 
@@ -142,22 +190,26 @@ def _in_blocks(sets: DataFrame, lists: DataFrame, still_open: DataFrame, key: st
     ``BLOCK_ROWS`` rows of one template make rows in proportion, whatever their similarity.
     """
     kind = sets.schema[key].dataType.simpleString()
-    rows = lists.join(still_open.select(F.col("later").alias(key), F.lit(True).alias("open")), key, "left")
-    per_list = rows.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.count("open").alias("opened"))
+    rows = lists.where("enough").join(still_open.select(F.col("later").alias(key), F.lit(True).alias("open")), key, "left")
+    # Only open rows behind the first row of a list, and rows before its last open one, can match.
+    per_list = rows.groupBy("run").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("open").alias("opened"),
+        F.min(key).alias("low"), F.max(F.when(F.col("open"), F.col(key))).alias("high"),
+    )
     parts = cut_lineage(
-        per_list.where("rows > 1 AND opened > 0").select(
-            "run",
+        per_list.where("low < high").select(
+            "run", "low", "high",
             F.ceil(F.col("opened") / BLOCK_ROWS).alias("lefts"),
             F.ceil(F.col("rows") / BLOCK_ROWS).alias("rights"),
         )
     )
     # A block is a stretch of the hash, so every task deals the same way.
     place = rows.join(parts, "run").withColumn("h", F.xxhash64(key))
-    left = place.where("open").select(
+    left = place.where(F.col("open") & (F.col(key) > F.col("low"))).select(
         key, "run", F.lit(True).alias("later"), F.pmod("h", "lefts").alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"),
     )
-    right = place.select(
+    right = place.where(F.col(key) < F.col("high")).select(
         key, "run", F.lit(False).alias("later"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"),
         F.pmod("h", "rights").alias("j"),
     )
@@ -214,48 +266,45 @@ def near_duplicates(
     ``copy``: the same normalised text came before. ``near``: a text came
     before whose word runs overlap by ``threshold`` (Jaccard).
 
-    Copies fold into their first row before anything is compared. Members of a band bucket are
+    Copies fold into their first row before anything is compared. Sets are made anew for the rows that
+    share a band bucket, so the others' sets are never moved. Members of a band bucket are
     compared with its first row, one comparison per member. Rows that found no match there meet the
     rows that share one of their rarest runs, in blocks that give back rows and no pairs
     (:func:`_in_blocks`). Every comparison uses the whole sets, and no bucket or list is capped.
     """
-    norm = F.nullif(normalize_text(F.col(text)), F.lit(""))
-    texts = compute_once(df, [key], __t=norm)
-    firsts = (
-        texts.groupBy(text_key(F.col("__t")).alias("__k"))
-        .agg(F.min(key).alias(key))
-        .where("__k IS NOT NULL")
-        .select(key)
-    )
-    copies = texts.where("__t IS NOT NULL").select(key).join(firsts, key, "left_anti")
 
-    signed = cut_lineage(_signatures(texts.join(firsts, key, "left_semi"), key, words))
-    sets = signed.select(key, "runs")
-    members = signed.select(F.explode("bands").alias("band"), F.col(key).alias("later"))
+    def normal(rows: DataFrame) -> DataFrame:
+        norm = F.nullif(normalize_text(F.col(text)), F.lit(""))
+        return compute_once(rows, [key], __t=norm).where("__t IS NOT NULL")
+
+    signed = cut_lineage(_signatures(normal(df), key, words))
+    firsts = cut_lineage(signed.groupBy("__k").agg(F.min(key).alias(key)).select(key))
+    copies = signed.select(key).join(firsts, key, "left_anti")
+
+    members = signed.join(firsts, key, "left_semi").select(F.explode("bands").alias("band"), F.col(key).alias("later"))
     # Stored, so that a bucket of any size is one side of a plain join.
-    firsts = members.groupBy("band").agg(F.min("later").alias("first"), F.max("later").alias("last"))
-    firsts = cut_lineage(firsts.where("first < last").select("band", "first"))
+    buckets = members.groupBy("band").agg(F.min("later").alias("first"), F.max("later").alias("last"))
+    buckets = cut_lineage(buckets.where("first < last").select("band", "first"))
+    tied = members.join(buckets, "band").where("first < later")
+    pairs = cut_lineage(tied.select("later", F.col("first").alias("earlier")).distinct())
+    # Whole sets are made for the rows that share a bucket, and for no others.
+    shared = pairs.select(F.col("later").alias(key)).union(pairs.select(F.col("earlier").alias(key)))
+    sets = cut_lineage(_run_sets(normal(df.join(shared.distinct(), key, "left_semi")), key, words))
 
     def matched(pairs: DataFrame) -> DataFrame:
         """Later rows of the pairs that reach the threshold."""
         return (
-            pairs.distinct()
-            .join(sets.select(F.col(key).alias("later"), F.col("runs").alias("a")), "later")
+            pairs.join(sets.select(F.col(key).alias("later"), F.col("runs").alias("a")), "later")
             .join(sets.select(F.col(key).alias("earlier"), F.col("runs").alias("b")), "earlier")
             .where(_jaccard(F.col("a"), F.col("b")) >= threshold)
             .select("later")
             .distinct()
         )
 
-    tied = members.join(firsts, "band").where("first < later")
-    pairs = cut_lineage(tied.select("later", F.col("first").alias("earlier")).distinct())
     found = cut_lineage(matched(pairs))
-    # All rows that share a bucket, and those of them still without a match.
-    shared = pairs.select(F.col("later").alias(key)).union(pairs.select(F.col("earlier").alias(key)))
-    bucketed = sets.join(shared.distinct(), key, "left_semi")
-    still_open = pairs.select("later").distinct().join(found, "later", "left_anti")
-    still_open = cut_lineage(still_open)
-    near = found.union(_in_blocks(bucketed, _leading_runs(bucketed, key, threshold), still_open, key, threshold))
+    # Rows that share a bucket and are still without a match.
+    still_open = cut_lineage(pairs.select("later").distinct().join(found, "later", "left_anti"))
+    near = found.union(_in_blocks(sets, _leading_runs(sets, key, threshold), still_open, key, threshold))
     return copies.select(key, F.lit("copy").alias("kind")).union(
         near.select(F.col("later").alias(key), F.lit("near").alias("kind"))
     )

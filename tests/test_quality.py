@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 
 import numpy as np
@@ -287,6 +288,57 @@ def test_rows_of_a_template_below_the_threshold_make_rows_in_proportion(spark, m
     assert met[1] <= 2.5 * met[0] and met[2] <= 2.5 * met[1] and met[2] < 400 * 60
 
 
+def leading(spark, sets):
+    """Rows by run of the leading lists, without those that can match nothing."""
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "doc_id bigint, runs array<bigint>")
+    lists = collections.defaultdict(set)
+    for r in neardup._leading_runs(df, "doc_id", 0.8).where("enough").collect():
+        lists[r["run"]].add(r["doc_id"])
+    return lists
+
+
+def test_a_shared_text_makes_one_list(spark):
+    shared = range(100)
+    # 13 of the shared runs lead in each row.
+    lists = leading(spark, [{*shared, *range(1000 * i, 1000 * i + 10)} for i in range(1, 7)])
+    assert list(lists.values()) == [{0, 1, 2, 3, 4, 5}]
+    # Rows that share a passage too short for the threshold meet nowhere.
+    assert not leading(spark, [{*range(5), *range(1000 * i, 1000 * i + 10), *range(50, 100)} for i in (1, 2)])
+
+
+def test_similar_sets_of_all_sizes_share_a_list(spark):
+    rng = random.Random(5)
+    sets = []
+    for family in range(12):
+        base = [1000 * family + k for k in range(rng.choice([5, 20, 60]))]
+        # Parts of one another down to the threshold, some with runs of their own or of other families.
+        for _ in range(12):
+            part = set(rng.sample(base, rng.randint(-(-8 * len(base) // 10), len(base))))
+            sets.append(part | set(rng.sample(range(10**6), rng.choice([0, 0, 1, 3]))) | set(rng.sample(range(4), rng.choice([0, 2]))))
+    lists = leading(spark, sets)
+    met = {pair for rows in lists.values() for pair in itertools.combinations(sorted(rows), 2)}
+    similar = {
+        (i, j) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if len(a & b) >= 0.8 * len(a | b)
+    }
+    assert len(similar) > 100 and similar <= met
+
+
+def test_sets_are_made_only_for_rows_that_share_a_bucket(spark, monkeypatch):
+    made = []
+    plain = neardup._leading_runs
+
+    def counted(sets, key, threshold):
+        made.append(sets.count())
+        return plain(sets, key, threshold)
+
+    monkeypatch.setattr(neardup, "_leading_runs", counted)
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(50)]
+    texts += [texts[0] + " more", texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(neardup.near_duplicates(df, "doc_id").collect()) == [(50, "near"), (51, "copy")]
+    assert made == [2]
+
+
 def test_reached_counts_earlier_rows_only():
     sets = [np.array([1, 2, 3, 4, 5]), np.array([1, 2, 3, 4, 5]), np.array([1, 2, 3, 4, 9]), np.array([7]), np.array([1, 2, 3, 4])]
     keys, every = np.array([10, 20, 5, 40, 1]), np.arange(5)
