@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.batches import sliced
 from corpusmill.functions.text import blank_to_null, strip_ws
 from corpusmill.sources.selectors import Element, Selector
 
@@ -19,6 +20,17 @@ MIN_CHARS = 200
 _BLOCK_CHARS = 40
 _LINK_SHARE = 0.5
 
+# Columns that a parse makes: their types in Spark and in Arrow.
+_MADE: dict[str, tuple[str, pa.DataType]] = {
+    "extract_method": ("string", pa.string()),
+    "text": ("string", pa.string()),
+    "full_text": ("string", pa.string()),
+    "links": (
+        "array<struct<position:int,url:string,text:string>>",
+        pa.list_(pa.struct([("position", pa.int32()), ("url", pa.string()), ("text", pa.string())])),
+    ),
+}
+
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = {"script", "style", "noscript"}
 _RAW = {"script", "style", "template"}
@@ -175,52 +187,57 @@ def page_extract(
     200 characters, else all visible text (``full``). ``selector`` says which elements are links,
     see :class:`Selector`. Broken markup never fails a task.
     """
-    return _extracted(pages, key, url, html, same_domain_only, selector, True)
+    return _extracted(pages, key, url, html, same_domain_only, selector, markup=True)
 
 
 def _extracted(
-    pages: DataFrame, key: str, url: str, html: str, same_domain_only: bool, selector: str, markup: bool
+    pages: DataFrame,
+    key: str,
+    url: str = "url",
+    html: str = "html",
+    same_domain_only: bool = False,
+    selector: str = "a",
+    made: Sequence[str] = tuple(_MADE),
+    markup: bool = False,
 ) -> DataFrame:
+    """Key, URL and the ``made`` columns of each page; what nobody asked for is not put together."""
     # A selector that is none fails here and not in a task.
     Selector(selector)
     kind = pages.schema[key].dataType.simpleString()
-    names = [key, url, "extract_method", "text", "full_text", "links"] + [html] * markup
+    names = [key, url, *made] + [html] * markup
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = Selector(selector)
-        for batch in batches:
-            out = []
-            for k, address, source in zip(batch[key], batch[url], batch[html]):
-                base = address if isinstance(address, str) else ""
+        for part in sliced(batches, 2):
+            out: dict[str, list] = {name: [] for name in made}
+            for address, source in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 page = _Page(wanted).finish(source if isinstance(source, str) else "")
-                main = page.main_text()
-                whole = page.full_text()
-                good = len(main) >= MIN_CHARS
-                links = _links(page, base, same_domain_only)
-                out.append((k, address, "main" if good else "full", main if good else whole, whole, links, source))
-            yield pd.DataFrame([row[: len(names)] for row in out], columns=names)
-
-    return pages.select(key, url, html).mapInPandas(
-        parse,
-        f"{key} {kind}, {url} string, extract_method string, text string, full_text string, "
-        "links array<struct<position:int,url:string,text:string>>" + f", {html} string" * markup,
+                cells = {}
+                if "links" in out:
+                    cells["links"] = _links(page, address if isinstance(address, str) else "", same_domain_only)
+                if "text" in out:
+                    main, whole = page.main_text(), page.full_text()
+                    good = len(main) >= MIN_CHARS
+                    cells |= {"extract_method": "main" if good else "full", "text": main if good else whole, "full_text": whole}
+                for name, column in out.items():
+                    column.append(cells[name])
+            columns = [pa.array(column, _MADE[name][1]) for name, column in out.items()]
+            yield pa.record_batch([part.column(0), part.column(1), *columns] + [part.column(2)] * markup, names)
+
+    return pages.select(key, url, html).mapInArrow(
+        parse, ", ".join([f"{key} {kind}, {url} string", *(f"{n} {_MADE[n][0]}" for n in made)] + [f"{html} string"] * markup)
     )
 
 
-def _slim(
-    pages: DataFrame, key: str, url: str = "url", html: str = "html", same_domain_only: bool = False, selector: str = "a"
-) -> DataFrame:
-    return _extracted(pages, key, url, html, same_domain_only, selector, False)
-
-
 def page_text(pages: DataFrame, key: str = "page_id", **options) -> DataFrame:
     """Text of each page and the method that gave it."""
-    return _slim(pages, key, **options).select(key, "extract_method", "text", "full_text")
+    made = ("extract_method", "text", "full_text")
+    return _extracted(pages, key, made=made, **options).select(key, *made)
 
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", **options) -> DataFrame:
     """One row per distinct link of a page, in document order."""
-    links = _slim(pages, key, url, **options).select(
+    links = _extracted(pages, key, url, made=("links",), **options).select(
         key, F.col(url).alias("page_url"), F.explode("links").alias("l")
     )
     return links.select(key, "page_url", "l.position", "l.url", "l.text")

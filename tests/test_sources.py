@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -271,3 +272,25 @@ def test_selectors_that_are_none(spark, selector):
 def test_page_extract_hands_the_markup_on(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>"), (2, None, None)], "page_id long, url string, html string")
     assert [r["html"] for r in pages.page_extract(df).orderBy("page_id").collect()] == ["<p>x</p>", None]
+
+
+def test_pages_of_a_batch_are_parsed_in_slices(spark, monkeypatch):
+    """One batch of long pages gives many small ones, with the links alone where only they are asked for."""
+    df = spark.createDataFrame([(1, "http://h/", "<a href='/x'>y</a>")], "page_id bigint, url string, html string")
+    taken, plain = [], type(df).mapInArrow
+
+    def held(self, function, schema, *args, **options):
+        taken.append(function)
+        return plain(self, function, schema, *args, **options)
+
+    monkeypatch.setattr(type(df), "mapInArrow", held)
+    html = ["<p>" + "word " * 100_000 + f"</p><a href='/{i}'>t</a>" for i in range(20)] + [None]
+    batch = pa.record_batch([pa.array(range(21)), pa.array(["http://h/p"] * 21), pa.array(html)], ["page_id", "url", "html"])
+    assert pages.page_links(df).count() == 1 and pages.page_text(df).count() == 1
+    links, texts = (list(f(iter([batch]))) for f in taken)
+    for made in (links, texts):
+        assert len(made) > 4 and max(b.num_rows for b in made) <= 5
+        assert [k for b in made for k in b.column(0).to_pylist()] == list(range(21))
+    assert links[0].schema.names == ["page_id", "url", "links"]
+    assert links[0].column(2)[2].as_py() == [{"position": 0, "url": "http://h/2", "text": "t"}]
+    assert max(b.nbytes for b in links) < 10_000
