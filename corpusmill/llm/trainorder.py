@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.batches import sliced
 from corpusmill.llm.base import mixed, query, settled, sha256, shared_folder, sql_type, table
 from corpusmill.llm.bpe import encode, public_vocabulary
 
@@ -28,6 +29,9 @@ DTYPE = "<u2"
 END = 50256
 SHARD_BYTES = 16_000_000
 ROUNDS = 6
+# Slots that are read, and token streams that are packed, at a time.
+READ_SLOTS = 2048
+PACK_ROWS = 256
 KEY = 20_24
 
 
@@ -83,7 +87,7 @@ def training_records(
     largest = np.iinfo(dtype).max
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, PACK_ROWS) for b in batches for i in range(0, b.num_rows, PACK_ROWS)):
             cells = []
             for ids in batch.column(len(order)):
                 values = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int64)
@@ -118,7 +122,7 @@ def training_records(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces of sequences: slot, first token's place in the sequence, bytes."""
         places, at = Feistel(count, key), before.get(TaskContext.get().partitionId(), 0)
-        for batch in batches:
+        for batch in sliced(batches, 0):
             numbers, starts, pieces = [], [], []
             for cell in batch.column(0).to_pylist():
                 spot, n = 0, len(cell) // width
@@ -150,7 +154,7 @@ def training_records(
             fill = np.full(length - n, end, dtype=dtype).tobytes()
             return n.to_bytes(4, "little") + data + fill
 
-        for batch in batches:
+        for batch in sliced(batches, 3):
             out: list[tuple[int, int, bytes]] = []
             for s, t, piece in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
                 if t != slot and parts:
@@ -205,17 +209,19 @@ def read_slots(spark: SparkSession, folder: str, first: int = 0) -> DataFrame:
     width = np.dtype(layout["dtype"]).itemsize
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shard = int(re.search(r"part-(\d+)", path)[1])
-                base = shard * per_shard
-                slots = np.arange(max(base, first), base + len(data) // stride)
+        # A batch holds whole shards; they are looked at where they lie, some slots at a time.
+        for path, data in ((p.as_py(), d.as_buffer()) for b in batches for p, d in zip(b.column(0), b.column(1))):
+            shard = int(re.search(r"part-(\d+)", path)[1])
+            base = shard * per_shard
+            end = base + len(data) // stride
+            for start in range(max(base, first), end, READ_SLOTS):
+                slots = np.arange(start, min(start + READ_SLOTS, end))
                 counts, tokens = [], []
                 for slot in slots.tolist():
                     at = (slot - base) * stride
-                    n = int.from_bytes(data[at : at + 4], "little")
+                    n = int.from_bytes(data[at : at + 4].to_pybytes(), "little")
                     counts.append(n)
-                    tokens.append(data[at + 4 : at + 4 + n * width])
+                    tokens.append(data[at + 4 : at + 4 + n * width].to_pybytes())
                 yield pa.record_batch(
                     [
                         pa.array(slots), pa.array(np.full(len(slots), shard, dtype=np.int32)),

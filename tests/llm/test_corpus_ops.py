@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -530,3 +531,21 @@ def test_pipeline_of_odd_and_no_documents(spark):
         last = corpus_pipeline.STAGES[-1][1](spark, held, FOLDER).collect()
         assert len(last) == held.count()
         assert bool(last) == (start is docs)
+
+
+def test_shards_are_read_some_slots_at_a_time(spark, tmp_path, monkeypatch):
+    """The batches that come out hold a bounded number of slots, whatever a task's files hold."""
+    encoded = spark.createDataFrame([(i, [i] * 30) for i in range(60)], "k bigint, ids array<int>")
+    trainorder.write_shards(encoded, str(tmp_path / "s"), ["k"], length=8)
+    wanted = sorted(trainorder.read_slots(spark, str(tmp_path / "s")).collect())
+    taken, plain = [], type(encoded).mapInArrow
+    monkeypatch.setattr(
+        type(encoded), "mapInArrow", lambda self, f, *rest: taken.append(f) or plain(self, f, *rest)
+    )
+    monkeypatch.setattr(trainorder, "READ_SLOTS", 50)
+    trainorder.read_slots(spark, str(tmp_path / "s"), 7)
+    files = sorted((tmp_path / "s" / "shards").glob("part-*"))
+    held = pa.record_batch([pa.array([str(f) for f in files]), pa.array([f.read_bytes() for f in files])], ["path", "content"])
+    made = list(taken[0](iter([held])))
+    assert len(made) > 3 and max(b.num_rows for b in made) == 50
+    assert sorted(tuple(r.values()) for b in made for r in b.to_pylist()) == [tuple(r) for r in wanted if r["slot"] >= 7]
