@@ -484,6 +484,80 @@ def test_nearest_of_odd_rows(spark):
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_visits_come_out_some_at_a_time(spark, monkeypatch):
+    """A batch of queries gives batches of a bounded size, however many cells a round visits."""
+    monkeypatch.setattr(nearest, "CELL_ROWS", 2)
+    x = np.random.default_rng(9).standard_normal((500, 8))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(500), "embedding": list(x)}))
+    taken, plain = [], type(df).mapInArrow
+
+    def seen(self, f, schema, *rest):
+        if "query_id" in schema and "cell" in schema:
+            taken.append(f)
+        return plain(self, f, schema, *rest)
+
+    monkeypatch.setattr(type(df), "mapInArrow", seen)
+    nearest.nearest(df, F.col("vec_id") % 20 == 0)
+    assert len(taken) == 4
+    queries = [r.tobytes() for r in np.tile(x, (6, 1))]
+    batch = pa.record_batch(
+        [pa.array(np.arange(3000)), pa.array(queries), pa.nulls(3000, pa.float64())], ["id", "x", "worst"]
+    )
+    parts = list(taken[3](iter([batch])))
+    assert max(p.nbytes for p in parts) < 2_000_000
+    # Places 84 to 256 of each query's order.
+    cells = pa.Table.from_batches(parts).to_pandas()
+    assert len(cells) == 3000 * 172 and (cells.groupby("query_id")["cell"].nunique() == 172).all()
+
+
+def test_nearest_does_not_depend_on_packs_and_turns(spark, monkeypatch):
+    """Tasks of one part each, hot cells in parts, and queries in turns: the same rows."""
+    monkeypatch.setattr(nearest, "CELL_ROWS", 150)
+    monkeypatch.setattr(nearest, "PART_ROWS", 90)
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((1200, 6)).astype(np.float32)
+    x[200:500] = x[0]
+    rows = [(f"k{i:04d}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    asks = F.substring("vec_id", 5, 1) == "0"
+    wanted = sorted(nearest.nearest(df, asks).collect())
+    assert len(wanted) == 120 * 20
+    names = []
+    plain = nearest.Scratch.store
+    monkeypatch.setattr(nearest.Scratch, "store", lambda self, f, name="table": names.append(name) or plain(self, f, name))
+    monkeypatch.setattr(nearest, "PACK_BYTES", 8 * 6 * 60)
+    monkeypatch.setattr(nearest, "TURN_BYTES", 0)
+    assert sorted(nearest.nearest(df, asks).collect()) == wanted
+    assert names.count("visits") > names.count("best")
+
+
+def test_nearest_of_all_lengths_is_exact_within_a_leaf(spark):
+    """Products in single precision only leave rows out; scores and ranks are those of doubles."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((200, 12))
+    x[:120] = x[0] + 1e-11 * rng.standard_normal((120, 12))
+    for scale in (np.ones((200, 1)), 10.0 ** rng.integers(-30, 30, (200, 1)), np.full((200, 1), 1e-170)):
+        v = x * scale
+        df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(200), "embedding": list(v)}))
+        got = found(nearest.nearest(df, F.col("vec_id") % 20 == 0))
+        assert got == {i: best(np.arange(200), v, i) for i in range(0, 200, 20)}
+
+
+def test_first_cells_and_packs():
+    values = np.random.default_rng(12).integers(0, 6, (50, 40)).astype(float)
+    for count in (0, 1, 7, 39, 40, 41):
+        order = np.argsort(values, axis=1, kind="stable")[:, :count]
+        want = np.zeros(values.shape, dtype=bool)
+        np.put_along_axis(want, order, True, axis=1)
+        assert (nearest._first(values, count) == want).all()
+    sizes = {c: 10 for c in range(300)} | {300: 3 * nearest.PART_ROWS, 301: 5}
+    cells = nearest.packed(sizes, nearest.PART_ROWS)
+    spots = [(p, s) for _, packs, places in cells for p, s in zip(packs, places)]
+    assert [c for c, _, _ in cells] == sorted(sizes) and [len(p) for _, p, _ in cells] == [1] * 300 + [3, 1]
+    assert len(set(spots)) == len(spots) == 304 and spots == sorted(spots)
+    assert max(s for _, s in spots) < nearest.BITS * nearest.WORDS and len({p for p, _ in spots}) >= 5
+
+
 # ----------------------------------------------------------------------------- pipeline
 
 
